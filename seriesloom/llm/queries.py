@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from seriesloom.llm.bpe import bpe
 from seriesloom.llm.chat import chat_digests, format_chats, with_control_case
 from seriesloom.llm.exact_dedup import exact_dedup
+from seriesloom.llm.fingerprints import edited_fingerprints
+from seriesloom.llm.language_id import language_id
 from seriesloom.llm.mixing import ALPHA, SEED, mix
 from seriesloom.llm.ngram_join import similarity_classes
 from seriesloom.llm.toxicity import toxicity
@@ -40,6 +42,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -48,7 +58,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(format_chats(with_control_case(spark, table(spark, sf_dir, "conversations"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_bpe, op4_toxicity, op5_mixing, op6_exact_dedup, op9_token_counts, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_bpe, op4_toxicity, op5_mixing, op6_exact_dedup, op7_language_id, op8_fingerprints, op9_token_counts, op10_chat_format)}
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 

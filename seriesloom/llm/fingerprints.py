@@ -7,7 +7,8 @@ C = 1/16 of the bins, so the likeness is (share that agrees - C) / (1 - C), cut
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +19,8 @@ from seriesloom.llm.common import SPACE, is_small
 #: log2 of the number of bins, bits kept of a value, bins in a long.
 BIN_BITS, BITS = 9, 4
 BINS, PACKED = 1 << BIN_BITS, 64 // BITS
-#: Tries of an empty bin that are looked at together; the last look is at all bins.
-TRIES = (4, 24, BINS)
+#: Tries of an empty bin that are looked up in tables; the rest of its walk is worked out from the full bins.
+TRIES = 12
 #: Documents in a run of neighbouring ids, and the most runs.
 RUN_ROWS, MOST_RUNS = 2_000, 1 << 16
 
@@ -41,33 +42,45 @@ def shingle_hashes(text: Column, width: int) -> Column:
     return let(hashes, grams)
 
 
-def _dense(grams: Column) -> Column:
-    """Low-order bits of the least hash of each bin in order, -1 for an empty bin."""
-    bin_of = lambda x: F.shiftright(x, 64 - BIN_BITS).cast("int") + BINS // 2
+def bin_of(h: Column) -> Column:
+    return F.shiftright(h, 64 - BIN_BITS).cast("int") + BINS // 2
 
-    def firsts(s: Column) -> Column:
-        return F.filter(s, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(s, i - 1))))
 
-    def fill(least: Column) -> Column:
-        empty = lambda n: F.array_repeat(F.lit(-1), n)
-        value = lambda x: F.array(x.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int"))
-        run = F.transform(least, lambda x, i: F.concat(empty(bin_of(x) - F.when(i == 0, F.lit(0)).otherwise(bin_of(F.get(least, i - 1)) + 1)), value(x)))
-        return F.concat(F.flatten(run), empty(BINS - 1 - bin_of(F.element_at(least, -1))))
+def _least(grams: Column) -> Column:
+    """The least hash of each bin that has any, in order of bins."""
+    return let(F.sort_array(grams), lambda s: F.filter(s, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(s, i - 1)))))
 
-    return let(F.sort_array(grams), lambda s: let(firsts(s), fill))
 
+def _dense(least: Column) -> Column:
+    """Low-order bits of each bin's value in order, null for an empty bin."""
+    empty = lambda n: F.array_repeat(F.lit(None).cast("int"), n)
+    value = lambda x: F.array(x.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int"))
+    run = F.transform(least, lambda x, i: F.concat(empty(bin_of(x) - F.when(i == 0, F.lit(0)).otherwise(bin_of(F.get(least, i - 1)) + 1)), value(x)))
+    return F.concat(F.flatten(run), empty(BINS - 1 - bin_of(F.element_at(least, -1))))
 
-def _densified(dense: Column) -> Column:
-    def look(h: Column, tries: int) -> Column:
-        a, b = h.bitwiseAND(F.lit(BINS - 1)).cast("int"), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(BINS - 1)).bitwiseOR(F.lit(1)).cast("int")
-        start_step = F.array(a, b)
-        tried = let(start_step, lambda p: F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda t: F.get(dense, (p[0] + t * p[1]).bitwiseAND(F.lit(BINS - 1)))))
-        return F.get(F.filter(tried, lambda v: v >= 0), F.lit(0))
 
-    def first_full(i: Column) -> Column:
-        return let(F.xxhash64(i), lambda h: F.coalesce(*[look(h, n) for n in TRIES]))
+def _steps() -> list[tuple[int, int]]:
+    """a and odd b of each bin."""
+    draw = [int.from_bytes(hashlib.md5(f"bin {i}".encode()).digest()[:8], "little") for i in range(BINS)]
+    return [(h % BINS, (h >> 32) % BINS | 1) for h in draw]
 
-    return F.transform(dense, lambda v, i: F.when(v >= 0, v).otherwise(first_full(i)))
+
+def _table(values: Iterable[int]) -> Column:
+    """An array that the optimiser folds to one literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+
+
+def _densified(least: Column, dense: Column) -> Column:
+    steps = _steps()
+    tries = [_table((a + t * b) % BINS for a, b in steps) for t in range(TRIES)]
+    start, back = _table(a for a, _ in steps), _table(pow(b, -1, BINS) for _, b in steps)
+
+    def farther(i: Column, full: Column) -> Column:
+        """The full bin that the walk of bin i meets first: bin j is met after (j - a) / b steps."""
+        met = F.transform(full, lambda j: ((j - F.get(start, i)) * F.get(back, i)).bitwiseAND(F.lit(BINS - 1)) * BINS + j)
+        return F.get(dense, F.array_min(met).bitwiseAND(F.lit(BINS - 1)))
+
+    return let(F.transform(least, bin_of), lambda full: F.transform(dense, lambda v, i: F.coalesce(v, *[F.get(dense, F.get(t, i)) for t in tries], farther(i, full))))
 
 
 def _packed(values: Column) -> Column:
@@ -80,7 +93,7 @@ def _packed(values: Column) -> Column:
 def signature(text: Column, width: int = 5) -> Column:
     """The packed values as array<bigint>; without words, an empty array. Equal texts have equal signatures."""
     empty = F.array().cast("array<bigint>")
-    return let(shingle_hashes(text, width), lambda g: F.when(F.size(g) > 0, let(_dense(g), lambda d: let(_densified(d), _packed))).otherwise(empty))
+    return let(shingle_hashes(text, width), lambda g: F.when(F.size(g) > 0, let(_least(g), lambda m: let(_dense(m), lambda d: let(_densified(m, d), _packed)))).otherwise(empty))
 
 
 def as_text(sig: Column) -> Column:

@@ -10,6 +10,7 @@ from seriesloom.llm.bpe import bpe
 from seriesloom.llm.chat import chat_digests, format_chats, with_control_case
 from seriesloom.llm.exact_dedup import exact_dedup
 from seriesloom.llm.fingerprints import edited_fingerprints
+from seriesloom.llm.html_extract import extract_pages
 from seriesloom.llm.language_id import language_id
 from seriesloom.llm.mixing import ALPHA, SEED, mix
 from seriesloom.llm.ngram_join import similarity_classes
@@ -25,6 +26,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(table(spark, sf_dir, "documents"), width=4, num=85, den=100, lower=True)
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = extract_pages(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -58,7 +64,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(format_chats(with_control_case(spark, table(spark, sf_dir, "conversations"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_bpe, op4_toxicity, op5_mixing, op6_exact_dedup, op7_language_id, op8_fingerprints, op9_token_counts, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_html_extract, op3_bpe, op4_toxicity, op5_mixing, op6_exact_dedup, op7_language_id, op8_fingerprints, op9_token_counts, op10_chat_format)}
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 

@@ -30,7 +30,8 @@ IDENTITIES = (
 TOXIC_ROWS, CLEAN_ROWS = 2_000, 4_000
 #: Features kept, the documents (distinct ones) that must hold one, and the lengths in bytes of the word beginnings.
 FEATURES, LEAST_DOCS, BEGINNINGS = 3_000, 4, (3, 4, 5, 6, 7)
-L1, L2, SWAP_WEIGHT, STEPS = 2e-4, 1e-5, 1.0, 500
+#: Penalties of the selection; share of the first that is left for the selected features; weight of the swaps; steps.
+L1, L2, RELAXED, SWAP_WEIGHT, STEPS = 2e-3, 1e-5, 0.02, 1.0, 300
 THRESHOLD = 0.7
 
 _inside = np.zeros(256, bool)
@@ -106,6 +107,11 @@ class ToxicityModel:
     def __init__(self, hashes: np.ndarray, weights: np.ndarray, bias: float) -> None:
         self.hashes, self.weights, self.bias = hashes, weights, bias
 
+    def margin_of(self, features: np.ndarray) -> float:
+        """Of a document given by its distinct features."""
+        place = np.minimum(np.searchsorted(self.hashes, features), len(self.hashes) - 1)
+        return self.bias + float(self.weights[place[self.hashes[place] == features]].sum())
+
     def margin(self, texts: pa.Array) -> np.ndarray:
         out = np.full(len(texts), self.bias)
         if not len(self.hashes):
@@ -130,19 +136,46 @@ class ToxicityModel:
 
 
 def fit(rows: list, l1: float = L1, l2: float = L2, swap_weight: float = SWAP_WEIGHT, steps: int = STEPS) -> ToxicityModel:
-    """Accelerated proximal gradient on mean log-loss + l1 |w| + l2 w^2 + swap_weight * mean squared score change of the swaps.
+    """The model of all rows, its bias moved so that THRESHOLD lies where it errs least on rows that a first model hasn't seen.
 
     Documents of equal features count once. Without both labels the model is the constant share of the label, smoothed."""
     unique: dict[bytes, tuple[int, np.ndarray]] = {}
     for r in sorted(rows, key=lambda r: r["doc_id"]):
         f = np.array(r["features"], np.int64).view(np.uint64)
         unique.setdefault(f.tobytes(), (r["toxic"], f))
-    y = np.array([t for t, _ in unique.values()], float)
+    known = list(unique.values())
+    pairs = [tuple(np.array(f, np.int64).view(np.uint64) for f in p) for r in rows for p in r["swap"]]
+    whole = _fit(known, pairs, l1, l2, swap_weight, steps)
+    aside = [known[i] for i in range(0, len(known), 4)]
+    if len({t for t, _ in aside}) == 2 and len(whole.hashes):
+        part = _fit([k for i, k in enumerate(known) if i % 4], pairs, l1, l2, swap_weight, steps)
+        if len(part.hashes):
+            cut = _cut(np.array([part.margin_of(f) for _, f in aside]), np.array([t for t, _ in aside]))
+            whole.bias += float(np.log(THRESHOLD / (1 - THRESHOLD))) - cut
+    return whole
+
+
+def _cut(margin: np.ndarray, y: np.ndarray) -> float:
+    """The middle of the widest gap between margins at which the fewest documents are on the wrong side; a clean one counts three times."""
+    order = np.argsort(margin, kind="stable")
+    margin, y = margin[order], y[order]
+    below = np.concatenate([[0], np.cumsum(y == 1)])  # toxic ones under the cut
+    above = np.concatenate([[0], np.cumsum((y == 0)[::-1])])[::-1]
+    wrong = (below + 3 * above)[1:-1]
+    gaps = np.diff(margin)
+    best = np.flatnonzero(wrong == wrong.min())
+    i = int(best[np.argmax(gaps[best])])
+    return float((margin[i] + margin[i + 1]) / 2)
+
+
+def _fit(known: list[tuple[int, np.ndarray]], pairs: list, l1: float, l2: float, swap_weight: float, steps: int) -> ToxicityModel:
+    """Accelerated proximal gradient on mean log-loss + l1 |w| + l2 w^2 + swap_weight * mean squared score change of the swaps."""
+    y = np.array([t for t, _ in known], float)
     n, positive = len(y), float(y.sum())
     empty = np.zeros(0, np.uint64)
     if positive == 0 or positive == n:
         return ToxicityModel(empty, np.zeros(0), float(np.log((positive + 0.5) / (n - positive + 0.5))))
-    sets = [f for _, f in unique.values()]
+    sets = [f for _, f in known]
     names, inverse = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(n), [len(f) for f in sets])
     pos = np.bincount(inverse, y[owner], len(names))
@@ -165,32 +198,42 @@ def fit(rows: list, l1: float = L1, l2: float = L2, swap_weight: float = SWAP_WE
             row[place[hashes[place] == f]] += sign
         return row
 
-    pairs = [tuple(np.array(f, np.int64).view(np.uint64) for f in p) for r in rows for p in r["swap"]]
     bare = _distinct(pa.array([t for g in IDENTITIES for t in g]))
     bare_of = dict(zip((t for g in IDENTITIES for t in g), bare))
-    pairs += [(bare_of[a], bare_of[b]) for g in IDENTITIES for a, b in zip(g, g[1:])]
+    pairs = pairs + [(bare_of[a], bare_of[b]) for g in IDENTITIES for a, b in zip(g, g[1:])]
     swaps = np.array([row for row in (difference(a, b) for a, b in pairs) if row.any()], np.float32).reshape(-1, d)
     scale = swap_weight / max(1, len(swaps))
 
-    w, b = np.zeros(d, np.float32), float(np.log(positive / (n - positive)))
-    v = np.ones(d, np.float32)  # power iteration for the step
+    weight = np.where(y == 1, n / (2 * positive), n / (2 * (n - positive)))  # both labels weigh alike
+    w, b = _descend(x, y, weight, swaps, scale, l1, l2, steps)
+    used = np.flatnonzero(w)
+    x, swaps = np.ascontiguousarray(x[:, used]), np.ascontiguousarray(swaps[:, used])
+    w, b = _descend(x, y, weight, swaps, scale, l1 * RELAXED, l2, steps)  # what was selected is no longer shrunk as much
+    return ToxicityModel(hashes[used], w.astype(float), b)
+
+
+def _descend(x: np.ndarray, y: np.ndarray, weight: np.ndarray, swaps: np.ndarray, scale: float, l1: float, l2: float, steps: int) -> tuple[np.ndarray, float]:
+    n, d = x.shape
+    v, size = np.ones(d, np.float32), 1.0  # power iteration for the step
+    rows = weight[:, None].astype(np.float32) * x
     for _ in range(20):
-        v = x.T @ (x @ v) / (4 * n) + 2 * scale * (swaps.T @ (swaps @ v))
+        v = rows.T @ (x @ v) / (4 * n) + 2 * scale * (swaps.T @ (swaps @ v))
         size = float(np.linalg.norm(v)) or 1.0
         v /= size
     step = 1 / (1.2 * size + 2 * l2 + 0.25)
-    w_old, b_old, t = w, b, 1.0
+    w = w_old = np.zeros(d, np.float32)
+    b = b_old = 0.0
+    t = 1.0
     for _ in range(steps):
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         wz, bz = w + (t - 1) / t_new * (w - w_old), b + (t - 1) / t_new * (b - b_old)
-        p = 1 / (1 + np.exp(-np.clip(x @ wz + bz, -30, 30)))
-        g = x.T @ ((p - y) / n).astype(np.float32) + 2 * l2 * wz + 2 * scale * (swaps.T @ (swaps @ wz))
+        off = weight * (1 / (1 + np.exp(-np.clip(x @ wz + bz, -30, 30))) - y) / n
+        g = x.T @ off.astype(np.float32) + 2 * l2 * wz + 2 * scale * (swaps.T @ (swaps @ wz))
         w_old, b_old, t = w, b, t_new
         w = wz - step * g
         w = (np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)).astype(np.float32)
-        b = bz - step * float(np.mean(p - y))
-    used = np.flatnonzero(w)
-    return ToxicityModel(hashes[used], w[used].astype(float), b)
+        b = bz - step * float(off.sum())
+    return w, b
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> ToxicityModel:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,17 +20,28 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 48 << 20
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share. Only where that is unset, and only on a local master, a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = _own_folder()
+    return found.rstrip("/")
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="seriesloom-")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder named by spark.checkpoint.dir.
+    """Cuts the lineage: writes df as a Parquet table in the shared folder and reads it again.
 
-    Only where that is unset, and only on a local master, a temporary folder is used."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="seriesloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    A lost executor costs a read, not the work before, and the planner knows the table's true size."""
+    path = f"{shared_folder(df.sparkSession)}/seriesloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:

@@ -6,6 +6,7 @@ hardly names it. Scores of neutral group mentions thus stay together, and can't
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import held_out, mix, pieces, range_hashes, runs
+from seriesloom.llm.common import checkpoint, held_out, mix, pieces, range_hashes, runs
 
 #: Interchangeable identity terms, by group.
 IDENTITIES = (
@@ -96,9 +97,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic_rows: int, clean_row
                 pairs = swapped_sentences(text)
                 both = _distinct(pa.array([x for p in pairs for x in p], pa.string()))
                 swap.append([[np.setdiff1d(a, b).view(np.int64), np.setdiff1d(b, a).view(np.int64)] for a, b in zip(both[::2], both[1::2])])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([f.view(np.int64) for f in own], pa.list_(pa.int64())), pa.array(swap, pa.list_(pa.list_(pa.list_(pa.int64()))))], names=["doc_id", "toxic", "features", "swap"])
+            key = [hashlib.md5(f.tobytes()).hexdigest() for f in own]
+            arrays = [pa.array(key), pa.array([f.view(np.int64) for f in own], pa.list_(pa.int64())), pa.array(swap, pa.list_(pa.list_(pa.list_(pa.int64()))))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *arrays], names=["doc_id", "toxic", "key", "features", "swap"])
 
-    return rows.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, features array<long>, swap array<array<array<long>>>")
+    return rows.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, key string, features array<long>, swap array<array<array<long>>>")
 
 
 class ToxicityModel:
@@ -107,11 +110,6 @@ class ToxicityModel:
     def __init__(self, hashes: np.ndarray, weights: np.ndarray, bias: float) -> None:
         self.hashes, self.weights, self.bias = hashes, weights, bias
 
-    def margin_of(self, features: np.ndarray) -> float:
-        """Of a document given by its distinct features."""
-        place = np.minimum(np.searchsorted(self.hashes, features), len(self.hashes) - 1)
-        return self.bias + float(self.weights[place[self.hashes[place] == features]].sum())
-
     def margin(self, texts: pa.Array) -> np.ndarray:
         out = np.full(len(texts), self.bias)
         if not len(self.hashes):
@@ -135,24 +133,84 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.margin(texts), -40, 40)))
 
 
-def fit(rows: list, l1: float = L1, l2: float = L2, swap_weight: float = SWAP_WEIGHT, steps: int = STEPS) -> ToxicityModel:
-    """The model of all rows, its bias moved so that THRESHOLD lies where it errs least on rows that a first model hasn't seen.
+def _place(hashes: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """Indexes of the known among the features."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    place = np.minimum(np.searchsorted(hashes, features), len(hashes) - 1)
+    return place[hashes[place] == features]
+
+
+def screened(sample: DataFrame, learn: DataFrame) -> np.ndarray:
+    """Sorted hashes of the FEATURES features whose presence tells most about the label, by log-odds times the root of their documents.
+
+    sample: training_rows; learn(doc_id): those that count. Sums by feature, then a top-k: only the chosen ones reach the driver."""
+    rows = sample.join(F.broadcast(learn), "doc_id").select("doc_id", F.col("toxic").cast("double").alias("toxic"), "features")
+    n, positive = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    found = rows.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("all"), F.sum("toxic").alias("pos"))
+    found = found.filter(F.col("all") >= LEAST_DOCS)
+    odds = F.ln((F.col("pos") + 0.5) / F.lit(positive + 1)) - F.ln((F.col("all") - F.col("pos") + 0.5) / F.lit(n - positive + 1))
+    top = found.withColumn("rank", F.round(F.abs(odds) * F.sqrt("all"), 9)).orderBy(F.desc("rank"), "feature").limit(FEATURES)
+    return np.sort(np.array([r["feature"] for r in top.select("feature").collect()], np.int64).view(np.uint64))
+
+
+def fit(sample: DataFrame, l1: float = L1, l2: float = L2, swap_weight: float = SWAP_WEIGHT, steps: int = STEPS) -> ToxicityModel:
+    """The model of all sampled rows, its bias moved so that THRESHOLD lies where it errs least on rows that a first model hasn't seen.
 
     Documents of equal features count once. Without both labels the model is the constant share of the label, smoothed."""
-    unique: dict[bytes, tuple[int, np.ndarray]] = {}
-    for r in sorted(rows, key=lambda r: r["doc_id"]):
-        f = np.array(r["features"], np.int64).view(np.uint64)
-        unique.setdefault(f.tobytes(), (r["toxic"], f))
+    sample = checkpoint(sample)
+    unique: dict[str, tuple[int, int]] = {}
+    for r in sorted(sample.select("doc_id", "toxic", "key").collect()):  # a bounded sample: ids, labels and digests
+        unique.setdefault(r["key"], (r["doc_id"], r["toxic"]))
     known = list(unique.values())
-    pairs = [tuple(np.array(f, np.int64).view(np.uint64) for f in p) for r in rows for p in r["swap"]]
-    whole = _fit(known, pairs, l1, l2, swap_weight, steps)
-    aside = [known[i] for i in range(0, len(known), 4)]
-    if len({t for t, _ in aside}) == 2 and len(whole.hashes):
-        part = _fit([k for i, k in enumerate(known) if i % 4], pairs, l1, l2, swap_weight, steps)
-        if len(part.hashes):
-            cut = _cut(np.array([part.margin_of(f) for _, f in aside]), np.array([t for t, _ in aside]))
-            whole.bias += float(np.log(THRESHOLD / (1 - THRESHOLD))) - cut
-    return whole
+    n, positive = len(known), sum(t for _, t in known)
+    if positive in (0, n):
+        return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), float(np.log((positive + 0.5) / (n - positive + 0.5))))
+    number = {doc_id: i for i, (doc_id, _) in enumerate(known)}
+    spark = sample.sparkSession
+    ids = lambda chosen: spark.createDataFrame([(known[i][0],) for i in chosen], "doc_id long")
+    hashes = screened(sample, ids(i for i in range(n) if i % 4))
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        as_bytes = lambda f: _place(hashes, np.sort(np.array(f, np.int64).view(np.uint64))).astype(np.int16).tobytes()
+        for batch in batches:
+            own = [as_bytes(f) for f in batch.column(1).to_pylist()]
+            swap = [[[as_bytes(f) for f in p] for p in s] for s in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary()), pa.array(swap, pa.list_(pa.list_(pa.binary())))], names=["doc_id", "features", "swap"])
+
+    rows = sample.join(F.broadcast(ids(range(n))), "doc_id").select("doc_id", "features", "swap").mapInArrow(shrink, "doc_id long, features binary, swap array<array<binary>>").collect()
+    d = len(hashes)
+    x, swaps = np.zeros((n, d), np.float32), []
+    for r in sorted(rows, key=lambda r: r["doc_id"]):
+        x[number[r["doc_id"]], np.frombuffer(r["features"], np.int16)] = 1
+        swaps += [(np.frombuffer(a, np.int16), np.frombuffer(b, np.int16)) for a, b in r["swap"]]
+    terms = [t for g in IDENTITIES for t in g]
+    bare = dict(zip(terms, (_place(hashes, f) for f in _distinct(pa.array(terms)))))
+    swaps += [(bare[a], bare[b]) for g in IDENTITIES for a, b in zip(g, g[1:])]
+    y = np.array([t for _, t in known], float)
+    part = np.arange(n) % 4 != 0
+    differences = _differences(swaps, d)
+    w, b = _relaxed(x, y, differences, l1, l2, swap_weight, steps)
+    aside = y[~part]
+    if 0 < aside.sum() < len(aside) and 0 < y[part].sum() < part.sum():
+        w_part, b_part = _relaxed(x[part], y[part], differences, l1, l2, swap_weight, steps)
+        b += float(np.log(THRESHOLD / (1 - THRESHOLD))) - _cut(x[~part] @ w_part + b_part, aside)
+    used = np.flatnonzero(w)
+    return ToxicityModel(hashes[used], w[used].astype(float), b)
+
+
+def _differences(swaps: list[tuple[np.ndarray, np.ndarray]], d: int) -> np.ndarray:
+    """A row for each distinct swap that any known feature tells apart, times the root of how often it occurs."""
+    count: dict[tuple[bytes, bytes], int] = {}
+    for a, b in swaps:
+        a, b = (np.unique(v).astype(np.int16) for v in (a, b))
+        if len(a) or len(b):
+            count[a.tobytes(), b.tobytes()] = count.get((a.tobytes(), b.tobytes()), 0) + 1
+    rows = np.zeros((len(count), d), np.float32)
+    for row, ((a, b), k) in zip(rows, sorted(count.items())):
+        row[np.frombuffer(a, np.int16)] -= np.sqrt(k)
+        row[np.frombuffer(b, np.int16)] += np.sqrt(k)
+    return rows / np.sqrt(max(1, sum(count.values())))
 
 
 def _cut(margin: np.ndarray, y: np.ndarray) -> float:
@@ -168,48 +226,16 @@ def _cut(margin: np.ndarray, y: np.ndarray) -> float:
     return float((margin[i] + margin[i + 1]) / 2)
 
 
-def _fit(known: list[tuple[int, np.ndarray]], pairs: list, l1: float, l2: float, swap_weight: float, steps: int) -> ToxicityModel:
-    """Accelerated proximal gradient on mean log-loss + l1 |w| + l2 w^2 + swap_weight * mean squared score change of the swaps."""
-    y = np.array([t for t, _ in known], float)
-    n, positive = len(y), float(y.sum())
-    empty = np.zeros(0, np.uint64)
-    if positive == 0 or positive == n:
-        return ToxicityModel(empty, np.zeros(0), float(np.log((positive + 0.5) / (n - positive + 0.5))))
-    sets = [f for _, f in known]
-    names, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(n), [len(f) for f in sets])
-    pos = np.bincount(inverse, y[owner], len(names))
-    neg = np.bincount(inverse, 1 - y[owner], len(names))
-    odds = np.log((pos + 0.5) / (positive + 1)) - np.log((neg + 0.5) / (n - positive + 1))
-    rank = np.abs(odds) * np.sqrt(pos + neg) * (pos + neg >= LEAST_DOCS)
-    chosen = np.sort(np.argsort(-rank, kind="stable")[:FEATURES])
-    chosen = chosen[rank[chosen] > 0]
-    hashes, d = names[chosen], len(chosen)
-    column = np.full(len(names), -1)
-    column[chosen] = np.arange(d)
-    x = np.zeros((n, d), np.float32)
-    at = column[inverse]
-    x[owner[at >= 0], at[at >= 0]] = 1
-
-    def difference(minus: np.ndarray, plus: np.ndarray) -> np.ndarray:
-        row = np.zeros(d, np.float32)
-        for sign, f in ((-1, minus), (1, plus)):
-            place = np.minimum(np.searchsorted(hashes, f), max(d - 1, 0))
-            row[place[hashes[place] == f]] += sign
-        return row
-
-    bare = _distinct(pa.array([t for g in IDENTITIES for t in g]))
-    bare_of = dict(zip((t for g in IDENTITIES for t in g), bare))
-    pairs = pairs + [(bare_of[a], bare_of[b]) for g in IDENTITIES for a, b in zip(g, g[1:])]
-    swaps = np.array([row for row in (difference(a, b) for a, b in pairs) if row.any()], np.float32).reshape(-1, d)
-    scale = swap_weight / max(1, len(swaps))
-
-    weight = np.where(y == 1, n / (2 * positive), n / (2 * (n - positive)))  # both labels weigh alike
-    w, b = _descend(x, y, weight, swaps, scale, l1, l2, steps)
+def _relaxed(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, l1: float, l2: float, swap_weight: float, steps: int) -> tuple[np.ndarray, float]:
+    """Weights of mean log-loss + l1 |w| + l2 w^2 + swap_weight * mean squared score change of the swaps, both labels weighing alike; what is
+    selected is then fitted again and shrunk less."""
+    n, positive = len(y), y.sum()
+    weight = np.where(y == 1, n / (2 * positive), n / (2 * (n - positive)))
+    w, b = _descend(x, y, weight, swaps, swap_weight, l1, l2, steps)
     used = np.flatnonzero(w)
-    x, swaps = np.ascontiguousarray(x[:, used]), np.ascontiguousarray(swaps[:, used])
-    w, b = _descend(x, y, weight, swaps, scale, l1 * RELAXED, l2, steps)  # what was selected is no longer shrunk as much
-    return ToxicityModel(hashes[used], w.astype(float), b)
+    part, b = _descend(np.ascontiguousarray(x[:, used]), y, weight, np.ascontiguousarray(swaps[:, used]), swap_weight, l1 * RELAXED, l2, steps)
+    w[used] = part
+    return w, b
 
 
 def _descend(x: np.ndarray, y: np.ndarray, weight: np.ndarray, swaps: np.ndarray, scale: float, l1: float, l2: float, steps: int) -> tuple[np.ndarray, float]:
@@ -238,7 +264,7 @@ def _descend(x: np.ndarray, y: np.ndarray, weight: np.ndarray, swaps: np.ndarray
 
 def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> ToxicityModel:
     """Fits on a sample bounded by toxic_rows + clean_rows documents; learns nothing from held-out rows, lang, source or doc_id."""
-    return fit(training_rows(docs, labels, toxic_rows, clean_rows).collect())
+    return fit(training_rows(docs, labels, toxic_rows, clean_rows))
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:

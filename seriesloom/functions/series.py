@@ -49,12 +49,12 @@ def znorm(values: Column, with_mean: bool = True) -> Column:
 
 def subsequence(values: Column, offset: int, width: int) -> Column:
     """Cut at the end of the series, then normalised again."""
-    return let(F.slice(values, offset + 1, width), znorm)
+    return let(F.slice(values, offset + 1, width), lambda v: znorm(v))
 
 
 def prefix(values: Column, width: Column) -> Column:
     """B11 for a test series: its first points, normalised again."""
-    return let(F.slice(values, F.lit(1), width), znorm)
+    return let(F.slice(values, F.lit(1), width), lambda v: znorm(v))
 
 
 def raw_windows(values: Column, width: int) -> Column:

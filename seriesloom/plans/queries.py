@@ -20,11 +20,18 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
+def rnd(value: Column | str, digits: int = 4) -> Column:
+    """Rounded, without a negative zero."""
+    return F.round(value, digits) + F.lit(0.0)
+
+
 def query(sql: str | None = None):
+    """Registers a query under its name, with its SQL if SQL can express it; rounded zeros lose their sign there too."""
+
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLE[f.__name__] = sql
+            ORACLE[f.__name__] = sql.replace("round(", "0 + round(")
         return f
 
     return add
@@ -32,7 +39,7 @@ def query(sql: str | None = None):
 
 def long(df: DataFrame, column: Column, name: str, *keys: str, pos: str = "pos") -> DataFrame:
     out = df.select(*keys, F.posexplode(column).alias(pos, "_x"))
-    return out.select(*keys, pos, F.round("_x", 4).alias(name))
+    return out.select(*keys, pos, rnd("_x", 4).alias(name))
 
 
 # ---- SQL views ----------------------------------------------------------------------------------
@@ -74,10 +81,10 @@ def bags_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- series -------------------------------------------------------------------------------------
 
 
-@query(f"WITH {EV}, {stat('ev')} SELECT series_id, n, round(m, 4) AS mean, round(s, 4) AS std FROM st")
+@query(f"WITH {EV}, {stat('ev')} SELECT series_id, n, round(m, 8) AS mean, round(s, 4) AS std FROM st")
 def series_stats(spark, sf_dir):
     v = F.col("values")
-    return event_series(spark, sf_dir).select("series_id", F.size(v).cast("long").alias("n"), F.round(S.mean(v), 4).alias("mean"), F.round(S.stddev(v), 4).alias("std"))
+    return event_series(spark, sf_dir).select("series_id", F.size(v).cast("long").alias("n"), rnd(S.mean(v), 8).alias("mean"), rnd(S.stddev(v), 4).alias("std"))
 
 
 @query(f"WITH {EV}, {stat('ev')} SELECT series_id, pos, round((x - m) / CASE WHEN s > 0 THEN s ELSE 1 END, 4) AS z FROM ev JOIN st USING (series_id)")
@@ -95,10 +102,10 @@ def subsequence(spark, sf_dir):
     return long(event_series(spark, sf_dir), S.subsequence(F.col("values"), 40, 16), "z", "series_id")
 
 
-@query(f"WITH {EV}, {win('ev')} SELECT series_id, off AS offset, round(avg(x), 4) AS mean, round(sqrt(greatest(avg(x*x) - pow(avg(x), 2), 0)), 4) AS std FROM win GROUP BY series_id, off HAVING count(*) = {W}")
+@query(f"WITH {EV}, {win('ev')} SELECT series_id, off AS offset, round(avg(x), 8) AS mean, round(sqrt(greatest(avg(x*x) - pow(avg(x), 2), 0)), 4) AS std FROM win GROUP BY series_id, off HAVING count(*) = {W}")
 def sliding_stats(spark, sf_dir):
     rows = event_series(spark, sf_dir).select("series_id", F.posexplode(S.window_stats(F.col("values"), W)).alias("offset", "w"))
-    return rows.select("series_id", "offset", F.round("w.mean", 4).alias("mean"), F.round("w.std", 4).alias("std"))
+    return rows.select("series_id", "offset", rnd("w.mean", 8).alias("mean"), rnd("w.std", 4).alias("std"))
 
 
 @query(f"WITH {EV}, {win('ev')}, ws AS (SELECT series_id, off, avg(x) AS m, {STD} AS s FROM win GROUP BY series_id, off HAVING count(*) = {W}) SELECT series_id, off AS offset, j AS pos, round((x - m) / s, 4) AS z FROM win JOIN ws USING (series_id, off)")
@@ -118,13 +125,13 @@ def derivatives(spark, sf_dir):
     return long(with_derivatives(part_series(spark, sf_dir)), F.col("values"), "x", "series_id", "dim")
 
 
-@query(f"WITH {EV}, mx AS (SELECT max(n) AS longest FROM (SELECT count(*) AS n FROM ev GROUP BY series_id)), sn AS (SELECT series_id, s, x FROM ev, mx, (SELECT unnest(range(2, 11)) AS s) WHERE pos < floor(longest / 10.0 * s + 0.5)), st AS (SELECT series_id, s, count(*) AS length, avg(x) AS m, sqrt(greatest(avg(x*x) - pow(avg(x), 2), 0)) AS std FROM sn GROUP BY series_id, s) SELECT series_id, s, length, round(m, 4) AS mean, round(std, 4) AS std FROM st")
+@query(f"WITH {EV}, mx AS (SELECT max(n) AS longest FROM (SELECT count(*) AS n FROM ev GROUP BY series_id)), sn AS (SELECT series_id, s, x FROM ev, mx, (SELECT unnest(range(2, 11)) AS s) WHERE pos < floor(longest / 10.0 * s + 0.5)), st AS (SELECT series_id, s, count(*) AS length, avg(x) AS m, sqrt(greatest(avg(x*x) - pow(avg(x), 2), 0)) AS std FROM sn GROUP BY series_id, s) SELECT series_id, s, length, round(m, 8) AS mean, round(std, 4) AS std FROM st")
 def prefix_snapshots(spark, sf_dir):
     rows = event_series(spark, sf_dir)
     longest = rows.agg(F.max(F.size("values")).alias("longest"))
     rows = rows.join(F.broadcast(longest), F.lit(True)).withColumn("s", F.explode(F.sequence(F.lit(2), F.lit(10))))
     rows = rows.withColumn("p", F.slice("values", F.lit(1), F.floor(F.col("longest") / 10.0 * F.col("s") + 0.5).cast("int")))
-    return rows.select("series_id", "s", F.size("p").cast("long").alias("length"), F.round(S.mean(F.col("p")), 4).alias("mean"), F.round(S.stddev(F.col("p")), 4).alias("std"))
+    return rows.select("series_id", "s", F.size("p").cast("long").alias("length"), rnd(S.mean(F.col("p")), 8).alias("mean"), rnd(S.stddev(F.col("p")), 4).alias("std"))
 
 
 @query(f"WITH {EV} SELECT label, count(*) AS series, least(max(n), 90) AS longest, min(n) AS shortest FROM (SELECT series_id, label, count(*) AS n FROM ev GROUP BY ALL) GROUP BY label")
@@ -172,7 +179,7 @@ DIST = "SELECT a.series_id, round({w}, 4) AS distance FROM rp a JOIN rp b ON b.s
 
 def distance_query(name: str, f, d, sql: str | None) -> None:
     def run(spark, sf_dir):
-        return pairs(spark, sf_dir, f).select("series_id", F.round(d(F.col("t"), F.col("u")), 4).alias("distance"))
+        return pairs(spark, sf_dir, f).select("series_id", rnd(d(F.col("t"), F.col("u")), 4).alias("distance"))
 
     add(name, run, sql)
 
@@ -196,7 +203,7 @@ distance_query("dft_distance", lambda v: R.dft(v, N, P), R.dft_distance, f"WITH
 @query()
 def apca(spark, sf_dir):
     rows = R.apca(fixed_series(spark, sf_dir), P)
-    return rows.select("series_id", F.posexplode("segments").alias("segment", "s")).select("series_id", "segment", F.round("s.value", 4).alias("value"), "s.stop")
+    return rows.select("series_id", F.posexplode("segments").alias("segment", "s")).select("series_id", "segment", rnd("s.value", 4).alias("value"), "s.stop")
 
 
 @query()
@@ -209,7 +216,7 @@ def apca_distance(spark, sf_dir):
     rows = R.apca(fixed_series(spark, sf_dir), P).join(fixed_series(spark, sf_dir), "series_id")
     other = rows.select((F.col("series_id") - 1).alias("series_id"), F.col("segments").alias("u"), F.col("values").alias("y"))
     rows = rows.join(other, "series_id")
-    return rows.select("series_id", F.round(R.apca_distance(F.col("segments"), F.col("u")), 4).alias("between_segments"), F.round(R.apca_query_distance(F.col("segments"), F.col("y")), 4).alias("to_query"))
+    return rows.select("series_id", rnd(R.apca_distance(F.col("segments"), F.col("u")), 4).alias("between_segments"), rnd(R.apca_query_distance(F.col("segments"), F.col("y")), 4).alias("to_query"))
 
 
 @query(f"WITH {FX}, {stat('fx')}, z AS (SELECT series_id, pos, (x - m) / CASE WHEN s > 0 THEN s ELSE 1 END AS x FROM fx JOIN st USING (series_id)), {frames(P)}, rp AS (SELECT series_id, coef, sum(x * CASE WHEN coef % 2 = 0 THEN cos(2 * pi() * (coef // 2 + 1) * pos / {N}) ELSE sin(2 * pi() * (coef // 2 + 1) * pos / {N}) END) / sqrt({N}) AS v FROM z, fr GROUP BY series_id, coef), lo AS (SELECT a.series_id, 2 * sum(pow(a.v - b.v, 2)) AS d FROM rp a JOIN rp b ON b.series_id = a.series_id + 1 AND a.coef = b.coef GROUP BY a.series_id), tr AS (SELECT a.series_id, sum(pow(a.x - b.x, 2)) AS d FROM z a JOIN z b ON b.series_id = a.series_id + 1 AND a.pos = b.pos GROUP BY a.series_id) SELECT count(*) AS pairs, round(avg(sqrt(lo.d) / sqrt(tr.d)), 4) AS tightness, count(*) FILTER (WHERE lo.d > tr.d + 1e-9) AS violations FROM lo JOIN tr USING (series_id) WHERE tr.d > 0")
@@ -218,7 +225,7 @@ def tightness(spark, sf_dir):
     rows = rows.select("series_id", R.dft(F.col("values"), N, P).alias("t"), F.col("values").alias("x"))
     rows = rows.join(rows.select((F.col("series_id") - 1).alias("series_id"), F.col("t").alias("u"), F.col("x").alias("y")), "series_id")
     rows = rows.select(R.dft_distance(F.col("t"), F.col("u")).alias("lo"), R.squared(F.col("x"), F.col("y")).alias("d")).filter("d > 0")
-    return rows.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(F.sqrt("lo") / F.sqrt("d")), 4).alias("tightness"), F.sum((F.col("lo") > F.col("d") + 1e-9).cast("int")).cast("long").alias("violations"))
+    return rows.agg(F.count(F.lit(1)).alias("pairs"), rnd(F.avg(F.sqrt("lo") / F.sqrt("d")), 4).alias("tightness"), F.sum((F.col("lo") > F.col("d") + 1e-9).cast("int")).cast("long").alias("violations"))
 
 
 # ---- words --------------------------------------------------------------------------------------
@@ -232,11 +239,11 @@ def fourier_whole(spark, sf_dir):
 @query(f"WITH {FX}, {win('fx')}, {WF} SELECT series_id, off AS offset, round(c0, 4) AS c0, round(c1, 4) AS c1, round(c2, 4) AS c2, round(c3, 4) AS c3 FROM wf")
 def fourier_windows(spark, sf_dir):
     rows = fixed_series(spark, sf_dir).select("series_id", F.posexplode(S.window_fourier(F.col("values"), W, L)).alias("offset", "f"))
-    return rows.select("series_id", "offset", *[F.round(F.col("f")[i], 4).alias(f"c{i}") for i in range(L)])
+    return rows.select("series_id", "offset", *[rnd(F.col("f")[i], 4).alias(f"c{i}") for i in range(L)])
 
 
 def edges_out(edges: DataFrame) -> DataFrame:
-    return edges.select("coef", F.posexplode("edges").alias("bin", "e")).select("coef", "bin", F.round("e", 4).alias("edge"))
+    return edges.select("coef", F.posexplode("edges").alias("bin", "e")).select("coef", "bin", rnd("e", 4).alias("edge"))
 
 
 @query(f"WITH {FX}, {win('fx')}, {WF}, {TR}, {EW} SELECT coef, unnest([0, 1, 2]) AS bin, round(unnest([e1, e2, e3]), 4) AS edge FROM ed")
@@ -263,7 +270,7 @@ def label_entropy(spark, sf_dir):
     g = v.groupBy("coef", (F.col("value") > 0).alias("up"), "label").agg(F.count(F.lit(1)).alias("n"))
     total = g.groupBy("coef", "up").agg(F.sum("n").alias("total"))
     p = F.col("n") / F.col("total")
-    return g.join(total, ["coef", "up"]).groupBy("coef", "up").agg(F.max("total").alias("n"), F.round(-F.sum(p * F.log2(p)), 4).alias("entropy"))
+    return g.join(total, ["coef", "up"]).groupBy("coef", "up").agg(F.max("total").alias("n"), rnd(-F.sum(p * F.log2(p)), 4).alias("entropy"))
 
 
 @query(f"WITH {ALL} SELECT series_id, off AS offset, word, word & 15 AS short_word FROM wd")
@@ -286,7 +293,7 @@ ANOVA = "bl AS (SELECT {k}, label, count(*) AS n, sum(v) AS s, sum(v*v) AS q FRO
 
 @query(f"WITH {FX}, {win('fx')}, {WF}, {TR}, tv AS (SELECT coef, label, value AS v FROM tr), {ANOVA.format(k='coef', t='tv')} SELECT coef, round((b - s*s/n) / (c - 1) / ((q - b) / (n - c)), 4) AS f, row_number() OVER (ORDER BY (b - s*s/n) / (c - 1) / ((q - b) / (n - c)) DESC, coef)::INT AS rank FROM an")
 def anova_f(spark, sf_dir):
-    return Q.anova_f(Q.fourier_values(fixed_series(spark, sf_dir), W, L)).withColumn("f", F.round("f", 4))
+    return Q.anova_f(Q.fourier_values(fixed_series(spark, sf_dir), W, L)).withColumn("f", rnd("f", 4))
 
 
 @query(f"WITH {ALL}, {BAG}, sr AS (SELECT DISTINCT series_id, label FROM fx), ln AS (SELECT label, count(*) AS n FROM sr GROUP BY label), wl AS (SELECT word, label, sum(cnt) AS s, sum(cnt*cnt) AS q FROM bg GROUP BY word, label), an AS (SELECT word, sum(s) AS s, sum(q) AS q, sum(s*s/n) AS b FROM wl JOIN ln USING (label) GROUP BY word), t AS (SELECT sum(n) AS n, count(*) AS c FROM ln) SELECT word, round(CASE WHEN q - b <= 1e-12 THEN 0 ELSE (b - s*s/n) / (c - 1) / ((q - b) / (n - c)) END, 4) AS f FROM an, t")
@@ -298,7 +305,7 @@ def anova_f_sparse(spark, sf_dir):
     by = by.groupBy("word").agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b")).join(F.broadcast(totals), F.lit(True))
     within = F.col("q") - F.col("b")
     f = (F.col("b") - F.col("s") * F.col("s") / F.col("n_all")) / (F.col("c") - 1) / F.nullif(within / (F.col("n_all") - F.col("c")), F.lit(0.0))
-    return by.select("word", F.round(F.when(within <= 1e-12, F.lit(0.0)).otherwise(f), 4).alias("f"))
+    return by.select("word", rnd(F.when(within <= 1e-12, F.lit(0.0)).otherwise(f), 4).alias("f"))
 
 
 @query()
@@ -314,7 +321,7 @@ def symbolic_lower_bound(spark, sf_dir):
     rows = Q.with_edges(rows.withColumn("f", S.fourier(F.col("w"), W, L)), edges).withColumn("word", Q.symbols(F.col("f"), F.col("all_edges")))
     one = rows.filter("series_id = 0 AND window = 0").select(F.col("f").alias("qf"), F.col("word").alias("qw"))
     rows = rows.join(F.broadcast(one), F.lit(True))
-    return rows.select("series_id", "window", F.round(Q.symbolic_distance(F.col("word"), F.col("qw"), F.col("qf"), F.col("all_edges")), 4).alias("bound"))
+    return rows.select("series_id", "window", rnd(Q.symbolic_distance(F.col("word"), F.col("qw"), F.col("qf"), F.col("all_edges")), 4).alias("bound"))
 
 
 # ---- bags ---------------------------------------------------------------------------------------
@@ -330,7 +337,7 @@ TF = "tf AS (SELECT label, word, sum(cnt) AS tf FROM bg{where} GROUP BY label, w
 
 @query(f"WITH {ALL}, {BAG}, {TF.format(where='')} SELECT label, word, round(weight, 4) AS weight FROM mt")
 def tfidf_matrix(spark, sf_dir):
-    return B.tfidf(bags_of(spark, sf_dir)).withColumn("weight", F.round("weight", 4))
+    return B.tfidf(bags_of(spark, sf_dir)).withColumn("weight", rnd("weight", 4))
 
 
 BIGRAMS = f"b2 AS (SELECT series_id, label, -1 AS prev, word FROM wd UNION ALL SELECT a.series_id, a.label, b.word, a.word FROM wd a JOIN wd b ON a.series_id = b.series_id AND b.off = a.off - {W} WHERE b.word > 0), bb AS (SELECT series_id, label, prev, word, count(*) AS cnt FROM b2 GROUP BY ALL)"
@@ -351,12 +358,12 @@ CHI = CHI.replace("FROM ft, pr LEFT JOIN ob USING (prev, word, label)", "FROM (S
 
 @query(f"WITH {ALL}, {BIGRAMS}, {CHI} SELECT prev::BIGINT AS prev, word, round(max(chi), 4) AS chi FROM ch GROUP BY prev, word HAVING max(chi) >= 2")
 def chi2_features(spark, sf_dir):
-    return B.chi_squared(bigrams_of(spark, sf_dir), ["prev", "word"], 2.0).withColumn("chi", F.round("chi", 4))
+    return B.chi_squared(bigrams_of(spark, sf_dir), ["prev", "word"], 2.0).withColumn("chi", rnd("chi", 4))
 
 
 @query(f"WITH {ALL}, {BIGRAMS}, {CHI} SELECT prev::BIGINT AS prev, word, round(sum(chi), 4) AS chi FROM ch GROUP BY prev, word HAVING sum(chi) >= 16.918977604620448")
 def chi2_by_p(spark, sf_dir):
-    return B.chi_squared_by_p(bigrams_of(spark, sf_dir), ["prev", "word"], 0.05).withColumn("chi", F.round("chi", 4))
+    return B.chi_squared_by_p(bigrams_of(spark, sf_dir), ["prev", "word"], 0.05).withColumn("chi", rnd("chi", 4))
 
 
 @query(f"WITH {ALL}, {BIGRAMS} SELECT prev, word, row_number() OVER (ORDER BY prev, word) AS feature_id FROM (SELECT DISTINCT prev::BIGINT AS prev, word FROM bb)")
@@ -403,25 +410,25 @@ ZW = f"ws AS (SELECT series_id, off, avg(x) AS m, {STD} AS s FROM win GROUP BY s
 @query(f"WITH {FX}, {win('fx')}, {ZW} SELECT series_id, off AS offset, round(d, 4) AS distance FROM di ORDER BY round(d, 9), series_id, off LIMIT 10")
 def knn_search(spark, sf_dir):
     index = index_of(spark, sf_dir)
-    return X.nearest(index, query_row(index), 10).withColumn("distance", F.round("distance", 4))
+    return X.nearest(index, query_row(index), 10).withColumn("distance", rnd("distance", 4))
 
 
 @query(f"WITH {FX}, {win('fx')}, {ZW} SELECT series_id, off AS offset, round(d, 4) AS distance FROM di WHERE d < 12")
 def range_search(spark, sf_dir):
     index = index_of(spark, sf_dir)
-    return X.within(index, query_row(index), 12.0).withColumn("distance", F.round("distance", 4))
+    return X.within(index, query_row(index), 12.0).withColumn("distance", rnd("distance", 4))
 
 
 @query(f"WITH {ALL}, {ZW} SELECT di.series_id, off AS offset, round(d, 4) AS distance FROM di JOIN wd w USING (series_id, off) WHERE w.word & 63 = (SELECT word & 63 FROM wd WHERE series_id = 3 AND off = 5) ORDER BY round(d, 9), di.series_id, off LIMIT 10")
 def approx_search(spark, sf_dir):
     index = index_of(spark, sf_dir)
-    return X.approximate(index, query_row(index), 10, 3).withColumn("distance", F.round("distance", 4))
+    return X.approximate(index, query_row(index), 10, 3).withColumn("distance", rnd("distance", 4))
 
 
 @query(f"WITH {ALL} SELECT array_to_string(syms[1:2], '') AS prefix, count(*) AS size, round(min(c0), 4) AS low0, round(max(c0), 4) AS high0, round(min(c3), 4) AS low3, round(max(c3), 4) AS high3 FROM wd JOIN wf USING (series_id, off) GROUP BY 1")
 def prefix_index_stats(spark, sf_dir):
     rows = X.boxes(index_of(spark, sf_dir), 2)
-    return rows.select("prefix", "size", *[F.round(F.col(c)[i], 4).alias(f"{c}{i}") for i in (0, 3) for c in ("low", "high")])
+    return rows.select("prefix", "size", *[rnd(F.col(c)[i], 4).alias(f"{c}{i}") for i in (0, 3) for c in ("low", "high")])
 
 
 @query(f"WITH {ALL}, p AS (SELECT array_to_string(syms[1:1], '') AS p1, array_to_string(syms[1:2], '') AS p2, array_to_string(syms[1:3], '') AS p3, array_to_string(syms, '') AS p4 FROM wd), n AS (SELECT *, count(*) OVER (PARTITION BY p1) AS n1, count(*) OVER (PARTITION BY p2) AS n2, count(*) OVER (PARTITION BY p3) AS n3, count(*) OVER (PARTITION BY p4) AS n4 FROM p) SELECT DISTINCT CASE WHEN n1 <= 500 THEN p1 WHEN n2 <= 500 THEN p2 WHEN n3 <= 500 THEN p3 ELSE p4 END AS prefix, CASE WHEN n1 <= 500 THEN 1 WHEN n2 <= 500 THEN 2 WHEN n3 <= 500 THEN 3 ELSE 4 END AS depth, CASE WHEN n1 <= 500 THEN n1 WHEN n2 <= 500 THEN n2 WHEN n3 <= 500 THEN n3 ELSE n4 END AS size FROM n")
@@ -459,7 +466,7 @@ def bag_1nn_accuracy(spark, sf_dir):
 def vector_space_predict(spark, sf_dir):
     train, test = halves(bags_of(spark, sf_dir))
     scores = B.class_scores(test, B.tfidf(train))
-    return B.best_label(scores.withColumn("score", F.round("score", 9)))
+    return B.best_label(scores.withColumn("score", rnd("score", 9)))
 
 
 SHOT = f"wn AS (SELECT series_id, label, off, j, (x - m) / s AS z FROM win JOIN ws USING (series_id, off)), wl AS (SELECT series_id, label, off, list(z ORDER BY j) AS v FROM wn GROUP BY series_id, label, off), sd AS (SELECT q.series_id, q.off, t.series_id AS train_id, t.label AS tl, min(32 - 2 * list_dot_product(q.v, t.v)) AS d FROM wl q JOIN wl t ON q.series_id % 2 = 1 AND q.off % {W} = 0 AND t.series_id % 2 = 0 GROUP BY ALL), sh AS (SELECT series_id, train_id, tl, round(sum(greatest(d, 0)), 9) AS d FROM sd GROUP BY ALL), sr AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY d, train_id) AS rn FROM sh)"
@@ -468,13 +475,13 @@ SHOT = f"wn AS (SELECT series_id, label, off, j, (x - m) / s AS z FROM win JOIN
 @query(f"WITH {FX}, {win('fx')}, ws AS (SELECT series_id, off, avg(x) AS m, {STD} AS s FROM win GROUP BY series_id, off HAVING count(*) = {W}), {SHOT} SELECT series_id, train_id, tl AS predicted, round(d, 4) AS distance FROM sr WHERE rn = 1")
 def window_1nn(spark, sf_dir):
     train, test = halves(fixed_series(spark, sf_dir))
-    return C.window_nearest(C.window_distances(test, train, W)).withColumn("distance", F.round("distance", 4))
+    return C.window_nearest(C.window_distances(test, train, W)).withColumn("distance", rnd("distance", 4))
 
 
 @query()
 def window_ensemble(spark, sf_dir):
     train, _ = halves(fixed_series(spark, sf_dir))
-    return C.window_sweep(train, [8, 16, 32]).withColumn("score", F.round("score", 4))
+    return C.window_sweep(train, [8, 16, 32]).withColumn("score", rnd("score", 4))
 
 
 @query("SELECT vec_id AS series_id, label::DOUBLE AS label, ((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) % 10)::INT AS fold FROM embeddings")
@@ -490,8 +497,8 @@ def ensemble_vote(spark, sf_dir):
 
 @query("WITH m AS (SELECT label AS model, round(avg(embedding[1])::DOUBLE + 2, 9) AS score FROM embeddings GROUP BY label) SELECT model, round(score, 4) AS score FROM m WHERE score >= (SELECT max(score) FROM m) * 0.98")
 def ensemble_filter(spark, sf_dir):
-    rows = fixed_series(spark, sf_dir).groupBy(F.col("label").cast("int").alias("model")).agg(F.round(F.avg(F.col("values")[0]) + 2, 9).alias("score"))
-    return C.ensemble_filter(rows, 0.98).withColumn("score", F.round("score", 4))
+    rows = fixed_series(spark, sf_dir).groupBy(F.col("label").cast("int").alias("model")).agg(rnd(F.avg(F.col("values")[0]) + 2, 9).alias("score"))
+    return C.ensemble_filter(rows, 0.98).withColumn("score", rnd("score", 4))
 
 
 SNAP = "sn AS (SELECT user_id AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s, (length(event_type) % 3)::DOUBLE AS label_at, value > 20 AS accepted, count(*) OVER (PARTITION BY user_id) AS length FROM events), ac AS (SELECT * FROM sn WHERE s <= 30 AND (accepted OR s >= 30)), ch AS (SELECT *, CASE WHEN label_at = lag(label_at) OVER (PARTITION BY series_id ORDER BY s) THEN 0 ELSE 1 END AS c FROM ac), ru AS (SELECT *, sum(c) OVER (PARTITION BY series_id ORDER BY s) AS run FROM ch), ir AS (SELECT *, row_number() OVER (PARTITION BY series_id, run ORDER BY s) AS k FROM ru), de AS (SELECT series_id, min(s) AS s, min_by(label_at, s) AS predicted, min(length) AS length FROM ir WHERE k >= 3 OR s >= 30 GROUP BY series_id)"
@@ -517,21 +524,21 @@ def earliness(spark, sf_dir):
     done = C.early_decisions(snaps.filter("s <= 30"), 3, 30).join(size, "series_id").withColumnsRenamed({"predicted": "label", "s": "offset"})
     hit = done.groupBy("label").agg(F.avg((F.col("label") == F.col("series_id") % 3).cast("int")).alias("a"))
     out = C.earliness(done).join(hit, "label")
-    return out.select("label", "n", F.round("earliness", 4).alias("earliness"), F.round(C.harmonic(F.col("a"), F.col("earliness")), 4).alias("harmonic"))
+    return out.select("label", "n", rnd("earliness", 4).alias("earliness"), rnd(C.harmonic(F.col("a"), F.col("earliness")), 4).alias("harmonic"))
 
 
 @query()
 def linear_fit_predict(spark, sf_dir):
     train, test = halves(bigrams_of(spark, sf_dir))
     out = C.linear_fit_predict(train, test, ["prev", "word"])
-    return out.select("series_id", "label", "predicted", F.round(F.array_max("probabilities"), 4).alias("probability"))
+    return out.select("series_id", "label", "predicted", rnd(F.array_max("probabilities"), 4).alias("probability"))
 
 
 @query()
 def multivariate_fit_predict(spark, sf_dir):
     bags = multi_bags(spark, sf_dir)
     out = C.linear_fit_predict(*halves(bags), ["dim", "prev", "word"], cap=None)
-    return out.select("series_id", "label", "predicted", F.round(F.array_max("probabilities"), 4).alias("probability"))
+    return out.select("series_id", "label", "predicted", rnd(F.array_max("probabilities"), 4).alias("probability"))
 
 
 @query()

@@ -14,7 +14,6 @@ import heapq
 import json
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +21,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.llm.common import worker_state
+
 #: Fixed value: the pattern that cuts text before byte-level merges.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of a text cut into pretokens at once.
 BLOCK = 1 << 16
-#: Entries of the memo of short pretokens, and of the memo of token pairs; a full memo is emptied.
-MEMO = 500_000
+#: Entries of a generation of the memo of short pretokens, and of the memo of token pairs. A full generation becomes the old one, from which
+#: pretokens that come again are taken over; so frequent ones stay known and memory is bounded.
+MEMO = 300_000
 SHORT = 48
 
 
@@ -54,12 +56,16 @@ class Merges:
             left, right = bytes(of[c] for c in a), bytes(of[c] for c in b)
             self.merge.setdefault((self.ids[left], self.ids[right]), (rank, self.ids[left + right]))
         self.single = [self.ids[bytes([b])] for b in range(256)]
-        self.lengths: dict[bytes, list[int]] = {}
+        # lengths of the tokens that can end where the last three bytes (or two, if no longer token ends so) are these; longest first
+        self.by_two = {t: (2, 1) for t in self.ids if len(t) == 2}
+        found: dict[bytes, set[int]] = {}
         for token in self.ids:
-            self.lengths.setdefault(token[-2:], []).append(len(token))
-        self.lengths = {k: sorted(set(v), reverse=True) for k, v in self.lengths.items()}
-        self.pair_memo: dict[tuple[int, int], bool] = {}
+            if len(token) > 2:
+                found.setdefault(token[-3:], {1} | ({2} if token[-2:] in self.by_two else set())).add(len(token))
+        self.by_three = {k: tuple(sorted(v, reverse=True)) for k, v in found.items()}
+        self.pair_memo: dict[int, bool] = {}
         self.word_memo: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
         self.lookahead = self.sufficient_lookahead()
         self.cut = regex.compile(PRETOKEN)
         self.marks = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
@@ -81,7 +87,7 @@ class Merges:
 
     def apart(self, before: int, token: int) -> bool:
         """Whether a token stands after another (-1: at the start) in an encoding."""
-        key = (before, token)
+        key = before << 32 | token
         found = self.pair_memo.get(key)
         if found is None:
             data = self.bytes_of[token]
@@ -109,12 +115,12 @@ class Transducer:
     def push(self, data: bytes) -> list[int]:
         """Takes bytes; returns the ids that became final."""
         m, out = self.m, []
-        ids, lengths = m.ids, m.lengths
+        ids = m.ids
         for b in data:
             self.data.append(b)
             at = self.base + len(self.data)
             have = len(self.data)
-            for n in lengths.get(bytes(self.data[-2:]), ()):
+            for n in m.by_three.get(bytes(self.data[-3:])) or m.by_two.get(bytes(self.data[-2:]), (1,)):
                 if n <= have:
                     token = ids.get(bytes(self.data[have - n :]))
                     if token is not None and m.apart(self.last[have - n], token):
@@ -161,15 +167,15 @@ class Transducer:
 
 def short_word(m: Merges, data: bytes) -> list[int]:
     """The transducer's pass for a pretoken that is shorter than its step: nothing is emitted before the end."""
-    ids, lengths, memo = m.ids, m.lengths, m.pair_memo
+    get, memo, three, two, one = m.ids.get, m.pair_memo, m.by_three.get, m.by_two.get, (1,)
     last, parent = [-1], [0]
     for at in range(1, len(data) + 1):
-        for n in lengths.get(data[at - 2 if at > 1 else 0 : at], ()):
+        for n in (at > 2 and three(data[at - 3 : at])) or (at > 1 and two(data[at - 2 : at])) or one:
             if n <= at:
-                token = ids.get(data[at - n : at])
+                token = get(data[at - n : at])
                 if token is not None:
                     before = last[at - n]
-                    fits = memo.get((before, token))
+                    fits = memo.get(before << 32 | token)
                     if fits or fits is None and m.apart(before, token):
                         break
         else:
@@ -207,8 +213,9 @@ def encode(m: Merges, text: str) -> Iterator[bytes]:
 
     def one(word: str) -> bytes:
         if len(word) <= SHORT:
-            out = array("I", short_word(m, word.encode())).tobytes()
+            out = m.old_words.get(word) or array("I", short_word(m, word.encode())).tobytes()
             if len(memo) >= MEMO:
+                m.old_words = memo.copy()
                 memo.clear()
             memo[word] = out
             return out
@@ -244,25 +251,14 @@ def decode(m: Merges, packed: bytes, step: int = 1 << 16) -> str:
     return "".join([run.push(ids[i : i + step].tolist()) for i in range(0, len(ids), step)] + [run.push([], True)])
 
 
-@lru_cache(maxsize=2)
-def _merges(source: "_Source") -> Merges:
-    return Merges(source())
-
-
 class _Source:
-    """A broadcast file that compares by its digest, so that a worker builds its tables once."""
+    """A broadcast file with its digest, by which a worker knows the tables that it has built."""
 
     def __init__(self, spark, path: str) -> None:
         text = open(path, encoding="utf-8").read()
         self.digest = hashlib.sha256(text.encode()).hexdigest()
         self.value = spark.sparkContext.broadcast(text)
 
-    def __hash__(self) -> int:
-        return hash(self.digest)
-
-    def __eq__(self, other: object) -> bool:
-        return isinstance(other, _Source) and other.digest == self.digest
-
     def __call__(self) -> str:
         return self.value.value
 
@@ -283,7 +279,7 @@ def bpe(docs: DataFrame, path: str, decoded: bool = True, keep: tuple[str, ...]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text") + ", ids binary" + ", decoded string" * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _merges(source)
+        m = worker_state(("bpe", source.digest), lambda: Merges(source()))
         for batch in batches:
             texts = batch.column(len(columns) - 1)
             at, ids, back, size = 0, [], [], 0
@@ -310,7 +306,7 @@ def bpe_decode(rows: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_ids") + ", decoded string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _merges(source)
+        m = worker_state(("bpe", source.digest), lambda: Merges(source()))
         for batch in batches:
             text = [decode(m, x.as_py() or b"") for x in batch.columns[-1]]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(text, pa.string())], names=[*keep, "decoded"])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -76,6 +78,31 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(bucket_of(doc_id, 3) == 1, F.lit(False))
 
 
+# ---- state of Python workers --------------------------------------------------------------------
+
+_state: dict[object, object] = {}
+
+
+def _give_back() -> None:
+    """Where the C library is glibc: hands free memory back, and has large arrays mapped on their own, so that they are given back when freed."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim") and hasattr(libc, "mallopt"):
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        libc.malloc_trim(0)
+
+
+def worker_state(key: object, make: Callable[[], object] = lambda: None) -> object:
+    """What an operator keeps in a Python worker between tasks, such as vocabulary tables and memos. A worker serves any operator that comes, so it
+    keeps one operator's state at a time: the first call under another key frees what was kept."""
+    if key not in _state:
+        _state.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _give_back()
+        _state[key] = make()
+    return _state[key]
+
+
 # ---- word hashes over Arrow buffers -------------------------------------------------------------
 
 #: Odd multipliers of the polynomial and finaliser hashes.
@@ -83,8 +110,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _M1, _M2, _LEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93)
 
-#: Bytes of text hashed at once; a piece is cut between words.
-PIECE = 1 << 20
+#: Bytes of text hashed at once (its arrays take about a hundred times as much); a piece is cut between words.
+PIECE = 1 << 17
 
 _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seriesloom.llm.common import held_out, mix, pieces
+from seriesloom.llm.common import held_out, mix, pieces, worker_state
 
 #: Hashed features, and the lengths of the n-grams.
 FEATURE_BITS, ORDERS = 15, (1, 2, 3)
@@ -80,6 +80,7 @@ def document_frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
     """Documents, and how many hold each feature: counted within partitions, then summed by feature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("language")
         total, n = np.zeros(FEATURES, np.int64), 0
         for batch in batches:
             n += batch.num_rows
@@ -217,6 +218,7 @@ def language_id(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> DataF
     model = train(docs, per_language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("language")
         for batch in batches:
             lang, score = model.predict(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])

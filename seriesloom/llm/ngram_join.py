@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seriesloom.llm.common import by_ids, checkpoint, mix, shingle_sets
+from seriesloom.llm.common import by_ids, checkpoint, mix, shingle_sets, worker_state
 from seriesloom.llm.components import connected_components
 from seriesloom.llm.prefix_trie import spanning_links
 
@@ -41,6 +41,7 @@ def _node(doc_id: pa.Array, at: int, n: int, k1: np.ndarray, k2: np.ndarray, own
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int, lower: bool, own: bool) -> Iterator[tuple]:
     """doc_id column, node numbers, gram hashes, offsets, keys of the sets."""
+    worker_state("n-gram join")
     for batch in batches:
         doc_id = batch.column(0).cast(pa.int64())
         for at, grams, cut in shingle_sets(batch.column(1), width, lower):

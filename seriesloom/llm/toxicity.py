@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import checkpoint, held_out, mix, pieces, range_hashes, runs
+from seriesloom.llm.common import checkpoint, held_out, mix, pieces, range_hashes, runs, worker_state
 
 #: Interchangeable identity terms, by group.
 IDENTITIES = (
@@ -91,6 +91,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic_rows: int, clean_row
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").join(F.broadcast(sample), "doc_id")  # bounded above
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("toxicity")
         for batch in batches:
             own, swap = _distinct(batch.column(1)), []
             for text in batch.column(1).to_pylist():
@@ -273,8 +274,11 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     Equal texts score alike; an empty table gives no rows; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("toxicity")
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(batch.column(1)))], names=["doc_id", "score"])
+            for at in range(0, batch.num_rows, 1_000):
+                part = batch.slice(at, 1_000)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores(part.column(1)))], names=["doc_id", "score"])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
@@ -291,7 +295,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("toxicity")
         for batch in batches:
-            yield batch.filter(pa.array(model.scores(batch.column(names.index("text")).cast(pa.string())) < threshold))
+            for at in range(0, batch.num_rows, 1_000):
+                part = batch.slice(at, 1_000)
+                yield part.filter(pa.array(model.scores(part.column(names.index("text")).cast(pa.string())) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.bpe import _Source, byte_characters
+from seriesloom.llm.common import worker_state
 
 #: Fixed value: the pattern that cuts lower-cased text into words.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -115,11 +115,6 @@ def _blocks(text: str, size: int = 1 << 16) -> Iterator[str]:
     yield text[at:]
 
 
-@lru_cache(maxsize=2)
-def _counter(source: _Source) -> Counter:
-    return Counter(source())
-
-
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_words, n_tokens for each row of docs(doc_id, text): words of the lower-cased whole text, and the tokens of their greedy
     longest-match segmentation over the vocabulary file's tokens, in which "</w>" ends a word.
@@ -130,7 +125,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(source)
+        counter = worker_state(("word pieces", source.digest), lambda: Counter(source()))
         for batch in batches:
             both = [counter.text(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([b[k] for b in both], pa.int64()) for k in (0, 1))], names=["doc_id", "n_words", "n_tokens"])

@@ -29,7 +29,7 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 BLOCK = 1 << 16
 #: Entries of a generation of the memo of short pretokens, and of the memo of token pairs. A full generation becomes the old one, from which
 #: pretokens that come again are taken over; so frequent ones stay known and memory is bounded.
-MEMO = 300_000
+MEMO = 200_000
 SHORT = 48
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seriesloom.functions.series import pack
+from seriesloom.functions.tables import settled
 
 
 def packed_words(words: DataFrame, bits: int) -> DataFrame:
@@ -38,16 +39,18 @@ def bigram_bag(words: DataFrame, width: int, skip_zero: bool = True) -> DataFram
     return rows.groupBy("series_id", "label", F.col("p.prev").alias("prev"), F.col("p.word").alias("word")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def tfidf(counts: DataFrame) -> DataFrame:
-    """Label, word, weight: (1 + log10 tf) divided by log10(1 + C / df), C labels; 0 for words of all labels; each label's vector of length 1."""
-    tf = counts.groupBy("label", "word").agg(F.sum("cnt").cast("double").alias("tf"))
-    df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    classes = counts.select("label").distinct().agg(F.count(F.lit(1)).alias("classes"))  # one row
-    rows = tf.join(df, "word").join(F.broadcast(classes), F.lit(True))
+def tfidf(counts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Keys, label, word, weight: (1 + log10 tf) divided by log10(1 + C / df), C labels; 0 for words of all labels; each label's vector of
+    length 1. keys tell apart matrices that are built together (folds, word lengths)."""
+    tf = counts.groupBy(*keys, "label", "word").agg(F.sum("cnt").cast("double").alias("tf"))
+    df = tf.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("df"))
+    classes = counts.select(*keys, "label").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("classes"))  # one row a matrix
+    rows = tf.join(df, [*keys, "word"])
+    rows = rows.join(F.broadcast(classes), list(keys)) if keys else rows.join(F.broadcast(classes), F.lit(True))
     raw = F.when(F.col("df") == F.col("classes"), F.lit(0.0)).otherwise((1 + F.log10("tf")) / F.log10(1 + F.col("classes") / F.col("df")))
-    rows = rows.select("label", "word", raw.alias("raw"))
-    norm = rows.groupBy("label").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))  # one row a label
-    return rows.join(norm, "label").select("label", "word", F.when(F.col("norm") > 0, F.col("raw") / F.col("norm")).otherwise(F.lit(0.0)).alias("weight"))
+    rows = rows.select(*keys, "label", "word", raw.alias("raw"))
+    norm = rows.groupBy(*keys, "label").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))  # one row a label
+    return rows.join(norm, [*keys, "label"]).select(*keys, "label", "word", F.when(F.col("norm") > 0, F.col("raw") / F.col("norm")).otherwise(F.lit(0.0)).alias("weight"))
 
 
 def chi_squared(counts: DataFrame, features: list[str], limit: float = 2.0, cap: int | None = None) -> DataFrame:
@@ -115,23 +118,23 @@ def dictionary(counts: DataFrame, features: list[str]) -> DataFrame:
     """Features and feature_id, dense from 1 in the order of the features.
 
     Ids come from ranks within ranges of the features and the sizes of the ranges before, so no task ranks all of them."""
-    known = counts.select(*features).distinct().repartitionByRange(*features).withColumn("_part", F.spark_partition_id())
-    known = known.persist()
+    known = settled(counts.select(*features).distinct().repartitionByRange(*features).withColumn("_part", F.spark_partition_id()))
     sizes = known.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("_part", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("_part")) - F.col("n")).alias("before"))  # one row a range
     ranked = known.withColumn("rank", F.row_number().over(Window.partitionBy("_part").orderBy(*features)))
     return ranked.join(F.broadcast(before), "_part").select(*features, (F.col("rank") + F.col("before")).cast("long").alias("feature_id"))
 
 
-def class_scores(counts: DataFrame, matrix: DataFrame) -> DataFrame:
-    """series_id, label, score = sum of cnt * (weight + 1) over a series' words, for each label of the matrix."""
-    labels = F.broadcast(matrix.select(F.col("label")).distinct())  # one row a label
-    size = counts.groupBy("series_id").agg(F.sum("cnt").cast("double").alias("all"))
-    hits = counts.drop("label").join(matrix, "word").groupBy("series_id", "label").agg(F.sum(F.col("cnt") * F.col("weight")).alias("hit"))
-    return size.join(labels, F.lit(True)).join(hits, ["series_id", "label"], "left").select("series_id", "label", (F.col("all") + F.coalesce("hit", F.lit(0.0))).alias("score"))
+def class_scores(counts: DataFrame, matrix: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Keys, series_id, label, score = sum of cnt * (weight + 1) over a series' words, for each label of the matrix."""
+    labels = matrix.select(*keys, "label").distinct()  # one row a label
+    size = counts.groupBy(*keys, "series_id").agg(F.sum("cnt").cast("double").alias("all"))
+    hits = counts.drop("label").join(matrix, [*keys, "word"]).groupBy(*keys, "series_id", "label").agg(F.sum(F.col("cnt") * F.col("weight")).alias("hit"))
+    rows = size.join(F.broadcast(labels), list(keys)) if keys else size.join(F.broadcast(labels), F.lit(True))
+    return rows.join(hits, [*keys, "series_id", "label"], "left").select(*keys, "series_id", "label", (F.col("all") + F.coalesce("hit", F.lit(0.0))).alias("score"))
 
 
-def best_label(scores: DataFrame, score: str = "score") -> DataFrame:
+def best_label(scores: DataFrame, score: str = "score", keys: tuple[str, ...] = ()) -> DataFrame:
     """The label with the largest score above 0; ties go to the smaller label."""
     top = F.max_by("label", F.struct(F.col(score), -F.col("label")))
-    return scores.filter(F.col(score) > 0).groupBy("series_id").agg(top.alias("predicted"))
+    return scores.filter(F.col(score) > 0).groupBy(*keys, "series_id").agg(top.alias("predicted"))

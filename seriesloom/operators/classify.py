@@ -11,19 +11,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from seriesloom.functions.tables import settled
 from seriesloom.operators.bags import chi_squared, dictionary
 
 
-def bag_nearest(test: DataFrame, train: DataFrame) -> DataFrame:
-    """series_id, train_id, predicted, distance. Sum over the query's words of (q - t)^2; distance 0 and pairs without a common word don't count,
-    so an inner join on the word is exact. Ties go to the smaller train id; a series without a match isn't returned."""
-    q = test.select("series_id", "word", F.col("cnt").cast("double").alias("q"))
-    square = q.groupBy("series_id").agg(F.sum(F.col("q") * F.col("q")).alias("qq"))
-    t = train.select(F.col("series_id").alias("train_id"), F.col("label").alias("train_label"), "word", F.col("cnt").cast("double").alias("t"))
-    pairs = q.join(t, "word").groupBy("series_id", "train_id", "train_label").agg(F.sum(F.col("t") * F.col("t") - 2 * F.col("q") * F.col("t")).alias("d"))
-    pairs = pairs.join(square, "series_id").withColumn("distance", F.col("qq") + F.col("d")).filter("distance <> 0 AND d <> 0")
-    best = pairs.groupBy("series_id").agg(F.min(F.struct("distance", "train_id", "train_label")).alias("b"))
-    return best.select("series_id", F.col("b.train_id").alias("train_id"), F.col("b.train_label").alias("predicted"), F.col("b.distance").alias("distance"))
+def bag_nearest(test: DataFrame, train: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Keys, series_id, train_id, predicted, distance. Sum over the query's words of (q - t)^2; distance 0 and pairs without a common word don't
+    count, so an inner join on the word is exact, and a series never finds itself. Ties go to the smaller train id; a series without a match isn't
+    returned. keys tell apart runs that are done together (window and word lengths)."""
+    q = test.select(*keys, "series_id", "word", F.col("cnt").cast("double").alias("q"))
+    square = q.groupBy(*keys, "series_id").agg(F.sum(F.col("q") * F.col("q")).alias("qq"))
+    t = train.select(*keys, F.col("series_id").alias("train_id"), F.col("label").alias("train_label"), "word", F.col("cnt").cast("double").alias("t"))
+    pairs = q.join(t, [*keys, "word"]).groupBy(*keys, "series_id", "train_id", "train_label").agg(F.sum(F.col("t") * F.col("t") - 2 * F.col("q") * F.col("t")).alias("d"))
+    pairs = pairs.join(square, [*keys, "series_id"]).withColumn("distance", F.col("qq") + F.col("d")).filter("distance <> 0 AND d <> 0")
+    best = pairs.groupBy(*keys, "series_id").agg(F.min(F.struct("distance", "train_id", "train_label")).alias("b"))
+    return best.select(*keys, "series_id", F.col("b.train_id").alias("train_id"), F.col("b.train_label").alias("predicted"), F.col("b.distance").alias("distance"))
 
 
 def window_distances(test: DataFrame, train: DataFrame, width: int, same: bool = False, with_mean: bool = True, block: int = 256) -> DataFrame:
@@ -136,12 +138,13 @@ def linear_fit_predict(train: DataFrame, test: DataFrame, features: list[str], c
     """series_id, label, predicted, probabilities. Bags of train select features by chi-squared; one-vs-rest logistic regression without
     intercept and with C = 1; probabilities are sigmoids scaled to sum 1."""
     kept = chi_squared(train, features, chi, cap).select(*features)
-    known = dictionary(kept, features).persist()
+    known = settled(dictionary(kept, features))
     size = known.count() + 1
-    learn = vectors(train, known, features, size).persist()
-    n = learn.count()  # also fills the cache: every class and step reads it
+    learn = vectors(train, known, features, size).persist()  # every class and step reads it
+    n = learn.count()
     base = LogisticRegression(fitIntercept=False, standardization=False, regParam=1.0 / max(1, n), maxIter=iterations)
     model = OneVsRest(classifier=base, parallelism=8).fit(learn)
+    learn.unpersist()
     out = model.transform(vectors(test, known, features, size))
     raw = vector_to_array("rawPrediction")
     sig = F.transform(raw, lambda x: 1 / (1 + F.exp(-x)))

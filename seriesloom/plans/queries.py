@@ -9,6 +9,7 @@ from seriesloom.functions import representations as R
 from seriesloom.functions import series as S
 from seriesloom.operators import bags as B
 from seriesloom.operators import classify as C
+from seriesloom.operators import ensembles as E
 from seriesloom.operators import quantise as Q
 from seriesloom.operators import search as X
 from seriesloom.sources.readers import event_series, fixed_series, part_series, random_walks, with_derivatives
@@ -544,3 +545,25 @@ def multivariate_fit_predict(spark, sf_dir):
 @query()
 def walk_source(spark, sf_dir):
     return long(random_walks(spark, 100, 32), F.col("values"), "x", "series_id")
+
+
+SWEEP, LENGTHS = [12, 24, 32], (4, 6, 8)
+
+
+@query()
+def bag_ensemble(spark, sf_dir):
+    train, test = halves(fixed_series(spark, sf_dir))
+    return E.ensemble_predict(E.bag_ensemble(train, SWEEP, LENGTHS), train, test, SWEEP, LENGTHS)
+
+
+@query()
+def vector_space_ensemble(spark, sf_dir):
+    train, test = halves(fixed_series(spark, sf_dir))
+    return E.ensemble_predict(E.vector_space_ensemble(train, SWEEP, LENGTHS), train, test, SWEEP, LENGTHS)
+
+
+@query()
+def early_classify(spark, sf_dir):
+    train, test = halves(event_series(spark, sf_dir).withColumn("label", F.floor(F.col("series_id") / 2) % 2.0))
+    out = E.early_classify(train, test, [8, 12], snapshots=4)
+    return out.select("series_id", "label", "s", "predicted", "threshold", "offset")

@@ -12,6 +12,7 @@ from seriesloom.functions import representations as R
 from seriesloom.functions import series as S
 from seriesloom.operators import bags as B
 from seriesloom.operators import classify as C
+from seriesloom.operators import ensembles as E
 from seriesloom.operators import quantise as Q
 from seriesloom.operators import search as X
 from seriesloom.sources import readers as I
@@ -222,3 +223,19 @@ def test_window_distances(spark):
                 want = sum(min(((norm(q[a : a + w]) - norm(t[b : b + w])) ** 2).sum() for b in range(len(t) - w + 1)) for a in range(0, len(q) - w + 1, w))
                 assert got.pop((qi, ti)) == pytest.approx(want, abs=1e-6)
     assert not got
+
+
+def test_ensembles(spark):
+    data = [(i, float(i % 2), (np.sin(np.arange(40) * (0.4 + 0.6 * (i % 2))) + 0.1 * rng.normal(size=40)).tolist()) for i in range(24)]
+    rows = spark.createDataFrame(data, "series_id long, label double, values array<double>")
+    train, test = rows.filter("series_id < 14"), rows.filter("series_id >= 14")
+    for fit in (E.bag_ensemble, lambda *a: E.vector_space_ensemble(*a, folds=3)):
+        model = fit(train, [10, 16], (4, 6))
+        got = {r.series_id: r.predicted for r in E.ensemble_predict(model, train, test, [10, 16], (4, 6)).collect()}
+        assert np.mean([got[i] == i % 2 for i in range(14, 24)]) >= 0.8
+
+
+def test_equidistant_widths():
+    assert E.equidistant_widths(9) == [] and E.equidistant_widths(10) == [10] and E.equidistant_widths(12) == [12]
+    widths = E.equidistant_widths(100)
+    assert widths[0] == 10 and widths[-1] <= 100 and len(widths) <= 12

@@ -26,7 +26,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors share. Only where that is unset, and only on a local master, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = _own_folder()
     return found.rstrip("/")

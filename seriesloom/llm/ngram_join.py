@@ -5,8 +5,9 @@
    that no other document holds has no partner. Grams in a fixed part of the hash space are counted to find those; the rest go on.
 3. The sets that are left are ordered by (documents that hold the gram, gram), rarest first. Linked sets share one of their first
    n - ceil(t n) + 1 grams. Sets connected through such grams form blocks, and every link lies within a block.
-4. A block's sets meet in tasks of bounded size (a large block in pairs of chunks) and are joined by a prefix trie.
-5. The links found connect whatever any link connects; components over them go back to all documents.
+4. A block's sets meet in tasks of bounded size (a large block in pairs of chunks). Every link is counted, and links that connect
+   whatever any link connects are kept; where only the classes are wanted, a prefix trie finds such links without meeting every pair.
+5. Components over the kept links and the counts go back to all documents.
 No pair is ever listed for copies, and no posting list or block is capped."""
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql.window import Window
 
 from seriesloom.llm.common import by_ids, checkpoint, mix, shingle_sets, worker_state
 from seriesloom.llm.components import connected_components
-from seriesloom.llm.prefix_trie import spanning_links
+from seriesloom.llm.prefix_trie import count_links, spanning_links
 
 #: Grams whose hash modulo 8 is below this are counted in step 2.
 COUNTED_EIGHTHS = 2
@@ -106,53 +107,61 @@ def _blocks(sets: DataFrame, num: int, den: int) -> DataFrame:
     return connected_components(edges).withColumnRenamed("component", "block")
 
 
-def _links(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: links that connect whatever the threshold connects."""
+def _links(sets: DataFrame, copies: DataFrame, num: int, den: int, count: bool) -> DataFrame:
+    """a, b: links that connect whatever the threshold connects; if `count`, also rows with a null b: a, links (rows that link with a's set, part by part)."""
     blocks = checkpoint(_blocks(sets, num, den))
     sizes = sets.select("node", F.size("grams").cast("long").alias("n")).join(blocks.hint("merge"), "node").groupBy("block").agg(F.sum("n").alias("grams_all"))
     chunks = sizes.select("block", F.ceil(F.col("grams_all") / F.lit(CHUNK_GRAMS)).cast("int").alias("chunks"))
     place = blocks.join(chunks.hint("merge"), "block").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     rows = sets.join(place.hint("merge"), "node")
+    rows = rows.join(copies.hint("merge"), "node") if count else rows.withColumn("copies", F.lit(1).cast("long"))
     others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: (j != F.col("chunk")) | (F.col("chunks") == 1))
     rows = rows.withColumn("other", F.explode(others))
-    rows = rows.select(F.xxhash64("block", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("unit"), "block", "node", "grams")
+    #  a chunk meets all others once, and itself in its pair with the next one
+    home = (F.col("chunks") == 1) | (F.col("other") == (F.col("chunk") + 1) % F.col("chunks"))
+    low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
+    rows = rows.select(F.xxhash64("block", low, high).alias("unit"), "block", low.alias("low"), high.alias("high"), (F.col("chunk") > F.col("other")).alias("side"), home.alias("home"), "node", "copies", "grams")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, held = None, [], []
 
         def links() -> pa.RecordBatch:
-            found = spanning_links(held, num, den)
-            a, b = (np.array([nodes[p[k]] for p in found], np.int64) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            own = np.array([row[0] for row in nodes], np.int64)
+            counts = np.zeros(len(own), np.int64)
+            if count:
+                copies_, side, home_ = (np.array([row[k] for row in nodes], kind) for k, kind in ((1, np.int64), (2, bool), (3, bool)))
+                counts, found = count_links(held, copies_, side, home_, num, den)
+            else:
+                found = spanning_links(held, num, den)
+            ends = np.array(found, np.int64).reshape(-1, 2)
+            some = np.flatnonzero(counts)
+            a = pa.array(np.concatenate([own[ends[:, 0]], own[some]]))
+            b = pa.concat_arrays([pa.array(own[ends[:, 1]]), pa.nulls(len(some), pa.int64())])
+            return pa.RecordBatch.from_arrays([a, b, pa.array(np.concatenate([np.zeros(len(ends), np.int64), counts[some]]))], names=["a", "b", "links"])
 
         for batch in batches:
-            units, own = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            blocks_ = batch.column(1).to_pylist()
-            lists = batch.column(3)
+            units = zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))
+            rows_ = zip(*(batch.column(k).to_pylist() for k in (6, 7, 4, 5)))
+            lists = batch.column(8)
             cut = lists.offsets.to_numpy()
             values = lists.values.to_numpy().view(np.uint64)
-            for i, unit in enumerate(zip(units, blocks_)):
+            for i, (unit, row) in enumerate(zip(units, rows_)):
                 if unit != key:
                     if len(held) > 1:
                         yield links()
                     key, nodes, held = unit, [], []
-                nodes.append(own[i])
+                nodes.append(row)
                 held.append(values[cut[i] : cut[i + 1]].copy())
         if len(held) > 1:
             yield links()
 
-    rows = rows.repartition("unit").sortWithinPartitions("unit", "block", "node")
-    return rows.mapInArrow(run, "a long, b long")
+    rows = rows.repartition("unit").sortWithinPartitions("unit", "block", "low", "high", "node")
+    return rows.mapInArrow(run, "a long, b long, links long")
 
 
-def similarity_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, lower: bool = True) -> DataFrame:
-    """One row for each row of docs(doc_id, text): doc_id, n_shingles, component_id, class_size.
-
-    Words are runs of anything but ASCII white space, A-Z lower-cased if `lower`. A document's set holds its distinct runs of `width`
-    words; with fewer words, the whole sequence; without words (empty or null text), nothing, and it links with nothing. Two documents
-    link when den * |both| >= num * |either|. component_id is the smallest doc_id reachable by links, itself included; class_size is the
-    number of rows of the component. Rows that repeat an id stand for themselves; equal sets link whatever their ids. Null ids are
-    larger than any other: a component of null ids only has a null component_id. An empty table gives no rows. Other columns are ignored."""
+def _classes(docs: DataFrame, width: int, num: int, den: int, lower: bool, count: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs as by set_keys, and one row for each distinct set: k1, k2, n, least (its smallest doc_id), component_id, class_size, head
+    (a number of the class) and, if `count`, n_links."""
     keys = checkpoint(set_keys(docs, width, lower))
     own = not keys.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty()
     if own:
@@ -169,20 +178,39 @@ def similarity_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int
         rows = by_ids(_docs(docs), left.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
         sets = _arrays(rows, width, lower, own)
     sets = checkpoint(sets)
-    found = connected_components(_links(sets, num, den))
+    links = checkpoint(_links(sets, reps.select(F.col("rep").alias("node"), "copies"), num, den, count))
+    found = connected_components(links.filter("b IS NOT NULL").select("a", "b"))
     heads = reps.join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("head", F.coalesce("component", "rep"))
+    if count:
+        linked = links.filter("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+        heads = heads.join(linked.hint("merge"), "rep", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
     heads = checkpoint(heads)
     classes = heads.groupBy("head").agg(F.min("least").alias("component_id"), F.sum("copies").alias("class_size"))
-    heads = heads.join(classes.hint("merge"), "head").select("k1", "k2", "n", "component_id", "class_size")
-    rows = keys.join(heads.hint("merge"), ["k1", "k2", "n"], "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    return keys, heads.join(classes.hint("merge"), "head").drop("rep", "copies", "component", "links")
+
+
+def similarity_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, lower: bool = True) -> DataFrame:
+    """One row for each row of docs(doc_id, text): doc_id, n_shingles, component_id, class_size, n_links.
+
+    Words are runs of anything but ASCII white space, A-Z lower-cased if `lower`. A document's set holds its distinct runs of `width`
+    words; with fewer words, the whole sequence; without words (empty or null text), nothing, and it links with nothing. Two documents
+    link when den * |both| >= num * |either|. component_id is the smallest doc_id reachable by links, itself included; class_size is the
+    number of rows of the component; n_links is the number of other rows that the row links with, copies included. Rows that repeat an
+    id stand for themselves; equal sets link whatever their ids. Null ids are larger than any other: a component of null ids only has a
+    null component_id. An empty table gives no rows. Other columns are ignored."""
+    keys, heads = _classes(docs, width, num, den, lower, True)
+    rows = keys.join(heads.select("k1", "k2", "n", "component_id", "class_size", "n_links").hint("merge"), ["k1", "k2", "n"], "left")
+    own_id = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), own_id.alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one document of each class of similar texts (the smallest doc_id), columns unchanged.
 
     Rows without words all stay. Null ids: of a class of null ids only, one stays by dropping repeated sets."""
-    classes = checkpoint(similarity_classes(docs, width, num, den))
+    keys, heads = _classes(docs, width, num, den, True, False)
+    classes = keys.join(heads.select("k1", "k2", "n", "component_id").hint("merge"), ["k1", "k2", "n"], "left")
+    classes = checkpoint(classes.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
     dropped = classes.filter("component_id < doc_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select("doc_id").distinct()
     kept = by_ids(docs, dropped, "doc_id", "left_anti")
     repeated = classes.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1")

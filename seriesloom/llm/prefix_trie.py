@@ -1,4 +1,4 @@
-"""A prefix tree over globally ordered token sets, for similarity joins of one bounded block."""
+"""Similarity joins of one bounded block of token sets: a prefix tree that finds what is connected, and a count of every link."""
 
 from __future__ import annotations
 
@@ -132,3 +132,87 @@ def _insert(root: Node, x: int, path: np.ndarray, size: int, forest: Forest) ->
             node.children[int(path[at])] = upper
             child = upper
         node, at = child, at + same
+
+
+def count_links(sets: list[np.ndarray], weights: np.ndarray, side: np.ndarray, home: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """For each set the weight of all other sets j with den * |i and j| >= num * |i or j|, and links that connect whatever these connect.
+
+    sets: sorted distinct tokens; weights: the copies each stands for. Sets of one side meet only where home is true, sets of different
+    sides always. Sets of one side that have equal size and hold the same shared tokens stand for each other. The rest is taken by
+    size; a set meets the smaller ones that share one of its n - ceil(t n) + 1 rarest tokens, and each such overlap is counted in full."""
+    n = len(sets)
+    counts, links = np.zeros(n, np.int64), []
+    size = np.array([len(s) for s in sets], np.int64)
+    if n < 2 or not size.sum():
+        return counts, links
+    tokens, inverse, held_by = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(tokens), np.int64)
+    rank[np.argsort(held_by, kind="stable")] = np.arange(len(tokens))
+    rank -= int((held_by == 1).sum())  # tokens of one set only are negative
+    ranks, cut = rank[inverse], np.cumsum([0, *size])
+    groups: dict[tuple, list[int]] = {}
+    for x in range(n):
+        path = ranks[cut[x] : cut[x + 1]]
+        path = np.sort(path[path >= 0])
+        if len(path):
+            groups.setdefault((size[x], bool(side[x]), path.tobytes()), []).append(x)
+    if not groups:
+        return counts, links
+    keys = sorted(groups, key=lambda k: k[:2])
+    members = [groups[k] for k in keys]
+    paths = [np.frombuffer(k[2], np.int64) for k in keys]
+    size, on = np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], bool)
+    first = np.array([m[0] for m in members], np.int64)
+    own, mass = home[first], np.array([weights[m].sum() for m in members], np.int64)
+    long = np.array([len(p) for p in paths], np.int64)
+    prefix = np.clip(size - (num * size + den - 1) // den + 1 - (size - long), 0, long)
+    flat, at = np.concatenate(paths), np.cumsum([0, *long])
+    #  postings of prefix tokens, in the order in which sets are taken
+    who = np.repeat(np.arange(len(keys)), prefix)
+    heads = np.concatenate([p[:k] for p, k in zip(paths, prefix)])
+    who = who[np.argsort(heads, kind="stable")]
+    begin = np.cumsum([0, *np.bincount(heads, minlength=int(flat.max()) + 1)])
+    filled = begin[:-1].copy()
+    held, mark, degree = np.zeros(len(filled), bool), np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    group = np.arange(len(keys))  # what is connected so far
+    least = np.searchsorted(size, (num * size + den - 1) // den)  # the first set that is large enough
+    for x, path in enumerate(paths):
+        rare = path[: prefix[x]]
+        if own[x] and len(members[x]) > 1 and den * long[x] >= num * (2 * size[x] - long[x]):
+            for m in members[x]:
+                counts[m] += mass[x] - weights[m]
+            links.extend((members[x][0], m) for m in members[x][1:])
+        for t in rare.tolist():
+            mark[who[begin[t] : filled[t]]] = True
+        filled[rare] += 1
+        lo = int(least[x])
+        met = np.flatnonzero(mark[lo:x]) + lo
+        mark[:x] = False
+        if not own[x]:
+            met = met[on[met] != on[x]]
+        if not len(met):
+            continue
+        held[path] = True
+        if 3 * len(met) > x - met[0]:
+            lo = int(met[0])
+            overlap = np.add.reduceat(held[flat[at[lo] : at[x]]], at[lo:x] - at[lo], dtype=np.int64)[met - lo]
+        else:
+            ends = np.cumsum(long[met])
+            index = np.arange(ends[-1]) + np.repeat(at[met] - ends + long[met], long[met])
+            overlap = np.add.reduceat(held[flat[index]], ends - long[met], dtype=np.int64)
+        held[path] = False
+        met = met[(num + den) * overlap >= num * (size[x] + size[met])]
+        if not len(met):
+            continue
+        degree[x] += mass[met].sum()
+        degree[met] += mass[x]
+        found, some = np.unique(group[met], return_index=True)
+        links.extend((int(first[x]), int(first[y])) for y in met[some])
+        if len(found) > 1:
+            group[:x][np.isin(group[:x], found[1:])] = found[0]
+        group[x] = found[0]
+    for x, of in enumerate(members):
+        counts[of] += degree[x]
+        if degree[x]:
+            links.extend((of[0], m) for m in of[1:])
+    return counts, links

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from seriesloom.llm.components import connected_components
 from seriesloom.llm.exact_dedup import drop_copies, exact_dedup
 from seriesloom.llm.ngram_join import drop_near_copies, similarity_classes
-from seriesloom.llm.prefix_trie import spanning_links
+from seriesloom.llm.prefix_trie import count_links, spanning_links
 
 from .fixtures import frame, rows
 
@@ -137,3 +137,52 @@ def test_trie_links_connect_all(sets, threshold):
     true = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])]
     assert {(max(p), min(p)) for p in links} <= set(true)
     assert roots(links) == roots(true)
+
+
+def links_of(data, width, num, den):
+    sets = []
+    for r in data:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), r[1] or ""))
+        sets.append({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set()))
+    return [(r[0], sum(bool(a) and i != j and den * len(a & b) >= num * len(a | b) for j, b in enumerate(sets))) for i, (r, a) in enumerate(zip(data, sets))]
+
+
+@pytest.mark.parametrize("chunk", [None, 300])
+@pytest.mark.parametrize("repeat", [False, True])
+def test_every_link_is_counted(spark, monkeypatch, chunk, repeat):
+    import seriesloom.llm.ngram_join as module
+
+    if chunk:
+        monkeypatch.setattr(module, "CHUNK_GRAMS", chunk)
+    data = rows(11, 90)
+    base = " ".join(f"w{i}" for i in range(60))
+    data += [(10_000 + i, f"{base} tail{i}" if i % 2 else base.replace(f"w{i}", "other"), *data[0][2:]) for i in range(12)]
+    if repeat:
+        data = data + data[:9] + data[-3:] + [(None, data[40][1], *data[0][2:]), (None, None, *data[0][2:])]
+    got = similarity_classes(frame(spark, data), 2, 80, 100).collect()
+    assert sorted(((r.doc_id, r.n_links) for r in got), key=key) == sorted(links_of(data, 2, 80, 100), key=key)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=key) == sorted(classes_of(data, 2, 80, 100), key=key)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.frozensets(st.integers(0, 14), max_size=10), st.integers(1, 3), st.booleans()), max_size=14), st.booleans(), st.booleans(), st.sampled_from([(85, 100), (80, 100), (50, 100)]))
+def test_links_are_counted_between_and_within_sides(found, first, second, threshold):
+    num, den = threshold
+    sets, weights, side = [s for s, _, _ in found], [w for _, w, _ in found], [b for _, _, b in found]
+    home = [second if b else first for b in side]
+    counts, links = count_links([np.array(sorted(s), np.uint64) for s in sets], np.array(weights, np.int64), np.array(side, bool), np.array(home, bool), num, den)
+
+    def linked(i, j):
+        return i != j and (side[i] != side[j] or home[i]) and sets[i] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])
+
+    n = len(sets)
+    assert counts.tolist() == [sum(weights[j] for j in range(n) if linked(i, j)) for i in range(n)]
+
+    def roots(pairs):
+        up = list(range(n))
+        for i, j in pairs:
+            a, b = up[i], up[j]
+            up = [min(a, b) if u in (a, b) else u for u in up]
+        return up
+
+    assert roots(links) == roots([(i, j) for i in range(n) for j in range(i) if linked(i, j)])

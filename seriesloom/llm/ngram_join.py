@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from seriesloom.llm.common import by_ids, checkpoint, mix, shingle_sets, worker_state
@@ -40,6 +41,16 @@ def _node(doc_id: pa.Array, at: int, n: int, k1: np.ndarray, k2: np.ndarray, own
     return mix(raw.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + null + mix(k1) + k2).view(np.int64)
 
 
+def _sums(grams: np.ndarray, cut: np.ndarray) -> list[np.ndarray]:
+    """The two halves of each set's key."""
+    sums = []
+    for h in (mix(grams + np.uint64(1)), mix(grams ^ np.uint64(0xD6E8FEB86659FD93))):
+        total = np.zeros(len(grams) + 1, np.uint64)
+        np.cumsum(h, out=total[1:])
+        sums.append(total[cut[1:]] - total[cut[:-1]])
+    return sums
+
+
 def _sets(batches: Iterator[pa.RecordBatch], width: int, lower: bool, own: bool) -> Iterator[tuple]:
     """doc_id column, node numbers, gram hashes, offsets, keys of the sets."""
     worker_state("n-gram join")
@@ -47,11 +58,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, lower: bool, own: bool)
         doc_id = batch.column(0).cast(pa.int64())
         for at, grams, cut in shingle_sets(batch.column(1), width, lower):
             n = len(cut) - 1
-            sums = []
-            for h in (mix(grams + np.uint64(1)), mix(grams ^ np.uint64(0xD6E8FEB86659FD93))):
-                total = np.zeros(len(grams) + 1, np.uint64)
-                np.cumsum(h, out=total[1:])
-                sums.append(total[cut[1:]] - total[cut[:-1]])
+            sums = _sums(grams, cut)
             yield doc_id.slice(at, n), _node(doc_id, at, n, *sums, own), grams, cut, sums
 
 
@@ -69,6 +76,23 @@ def set_keys(docs: DataFrame, width: int, lower: bool, own: bool = False) -> Dat
     return _docs(docs).mapInArrow(run, "doc_id long, node long, n long, k1 long, k2 long")
 
 
+def _keyed_rows(docs: DataFrame, width: int, lower: bool) -> DataFrame:
+    """doc_id, row (a struct of all columns), n, k1, k2 for each row of docs."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("n-gram join")
+        for batch in batches:
+            for at, grams, cut in shingle_sets(batch.column(1), width, lower):
+                n = len(cut) - 1
+                k1, k2 = _sums(grams, cut)
+                columns = [batch.column(0).slice(at, n), batch.column(2).slice(at, n), pa.array(np.diff(cut).astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "n", "k1", "k2"])
+
+    schema = StructType([rows.schema["doc_id"], rows.schema["row"], *(StructField(c, LongType()) for c in ("n", "k1", "k2"))])
+    return rows.mapInArrow(run, schema)
+
+
 def _lonely_grams(docs: DataFrame, width: int, lower: bool, own: bool) -> DataFrame:
     """node, alone: counted grams that no other row holds."""
 
@@ -159,9 +183,9 @@ def _links(sets: DataFrame, copies: DataFrame, num: int, den: int, count: bool)
     return rows.mapInArrow(run, "a long, b long, links long")
 
 
-def _classes(docs: DataFrame, width: int, num: int, den: int, lower: bool, count: bool) -> tuple[DataFrame, DataFrame]:
-    """Rows of docs as by set_keys, and one row for each distinct set: k1, k2, n, least (its smallest doc_id), component_id, class_size, head
-    (a number of the class) and, if `count`, n_links."""
+def _classes(docs: DataFrame, width: int, num: int, den: int, lower: bool, count: bool) -> tuple[DataFrame, DataFrame, bool]:
+    """Rows of docs as by set_keys, one row for each distinct set: k1, k2, n, least (its smallest doc_id), component_id, class_size, head
+    (a number of the class) and, if `count`, n_links; and whether doc_ids repeat or are null."""
     keys = checkpoint(set_keys(docs, width, lower))
     own = not keys.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty()
     if own:
@@ -186,7 +210,7 @@ def _classes(docs: DataFrame, width: int, num: int, den: int, lower: bool, count
         heads = heads.join(linked.hint("merge"), "rep", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
     heads = checkpoint(heads)
     classes = heads.groupBy("head").agg(F.min("least").alias("component_id"), F.sum("copies").alias("class_size"))
-    return keys, heads.join(classes.hint("merge"), "head").drop("rep", "copies", "component", "links")
+    return keys, heads.join(classes.hint("merge"), "head").drop("rep", "copies", "component", "links"), own
 
 
 def similarity_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, lower: bool = True) -> DataFrame:
@@ -198,20 +222,26 @@ def similarity_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int
     number of rows of the component; n_links is the number of other rows that the row links with, copies included. Rows that repeat an
     id stand for themselves; equal sets link whatever their ids. Null ids are larger than any other: a component of null ids only has a
     null component_id. An empty table gives no rows. Other columns are ignored."""
-    keys, heads = _classes(docs, width, num, den, lower, True)
+    keys, heads, _ = _classes(docs, width, num, den, lower, True)
     rows = keys.join(heads.select("k1", "k2", "n", "component_id", "class_size", "n_links").hint("merge"), ["k1", "k2", "n"], "left")
     own_id = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), own_id.alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one document of each class of similar texts (the smallest doc_id), columns unchanged.
-
-    Rows without words all stay. Null ids: of a class of null ids only, one stays by dropping repeated sets."""
-    keys, heads = _classes(docs, width, num, den, True, False)
-    classes = keys.join(heads.select("k1", "k2", "n", "component_id").hint("merge"), ["k1", "k2", "n"], "left")
-    classes = checkpoint(classes.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
-    dropped = classes.filter("component_id < doc_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select("doc_id").distinct()
-    kept = by_ids(docs, dropped, "doc_id", "left_anti")
-    repeated = classes.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    """docs with one row of each class of similar texts (the smallest doc_id), columns unchanged.
+
+    Rows are told apart by id and text, so unrelated texts that share an id or have none all stay. Null ids are larger than any other. Where
+    the smallest id, or a null id in a class of null ids only, has several texts in a class, the one of the smallest set key stays, then the
+    smallest text. Rows without words all stay."""
+    keys, heads, own = _classes(docs, width, num, den, True, False)
+    if not own:
+        classes = keys.join(heads.select("k1", "k2", "n", "component_id").hint("merge"), ["k1", "k2", "n"])
+        return by_ids(docs, checkpoint(classes.filter("component_id < doc_id").select("doc_id")), "doc_id", "left_anti")
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "k1", "k2", "n")).alias("first")
+    stay = checkpoint(heads.groupBy("head").agg(first).select("first.*"))
+    rows = _keyed_rows(docs, width, True)
+    same = [rows[c] == stay[c] for c in ("k1", "k2", "n")]
+    full = rows.filter("n > 0").join(stay.hint("merge"), [*same, rows["doc_id"].eqNullSafe(stay["least"])], "left_semi")
+    full = full.groupBy("k1", "k2", "n").agg(F.min_by("row", F.col("row.text")).alias("row"))
+    return rows.filter("n = 0").select("row").union(full.select("row")).select("row.*")

@@ -186,3 +186,25 @@ def test_links_are_counted_between_and_within_sides(found, first, second, thresh
         return up
 
     assert roots(links) == roots([(i, j) for i in range(n) for j in range(i) if linked(i, j)])
+
+
+def test_near_copies_go_by_row(spark):
+    rest = (None, None, None, *["x"] * 10)
+    base = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdefg"]
+    data = [
+        (1, base[0]), (1, base[1]),  # unrelated texts of one id
+        (None, base[2]), (None, base[3]),  # unrelated texts without id
+        (2, base[0] + " tail"), (2, base[4]),  # only one text of id 2 is a near copy
+        (None, base[1] + " tail"),  # a near copy without id
+        (None, base[5]), (None, base[5] + " tail"),  # a class without ids
+        (3, base[6]), (3, base[6] + " tail"), (4, base[6]),  # the smallest id has two texts of the class
+        (1, ""), (1, None), (2, " "), (None, ""), (None, None),
+    ]
+    docs = frame(spark, [(*d, *rest) for d in data])
+    out = drop_near_copies(docs)
+    assert out.columns == docs.columns and out.schema == docs.schema
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert sorted((d for d in got if not (d[1] or "").strip()), key=key) == sorted(data[-5:], key=key)
+    full = [d for d in got if (d[1] or "").strip()]
+    assert sorted((d for d in full if d[1][0] not in "fg"), key=key) == sorted([(1, base[0]), (1, base[1]), (None, base[2]), (None, base[3]), (2, base[4])], key=key)
+    assert [d[0] for d in full if d[1][0] == "f"] == [None] and [d[0] for d in full if d[1][0] == "g"] == [3]

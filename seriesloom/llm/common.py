@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +46,32 @@ def checkpoint(df: DataFrame) -> DataFrame:
     A lost executor costs a read, not the work before, and the planner knows the table's true size."""
     path = f"{shared_folder(df.sparkSession)}/seriesloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `checkpoint` wrote, once nothing reads them any more (what came from them is written itself)."""
+    for df in tables:
+        path = _written.pop(df, None)
+        if path:
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def unused(names: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, each with underscores in front until no column (in any case) has it."""
+    taken, out = {n.lower() for n in names}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -68,6 +96,21 @@ def salted_lookup(rows: DataFrame, table: DataFrame, key: str, small: bool, salt
     return left.join(right.hint("merge"), [key, "_salt"], "left").drop("_salt")
 
 
+#: A key is hot if it has more than this share of the rows, so there are at most HOT_KEYS of them.
+HOT_KEYS = 1_000
+
+
+def split_lookup(rows: DataFrame, table: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join of rows with a (checkpointed) table that has one row for a key and, in column `size`, at least the number of rows that hold the key.
+
+    Keys with more than total / HOT_KEYS rows are broadcast: at most HOT_KEYS, as their rows can't add up to more than all. The others
+    shuffle, none of them large."""
+    hot = table.filter(F.col(size) > F.lit(max(1.0, total / HOT_KEYS)))
+    common = F.broadcast(hot)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.join(F.broadcast(hot.select(key)), key, "left_anti").hint("merge"), key)
+    return rows.join(common, key).unionByName(rest)
+
+
 def bucket_of(spark_id: Column, modulus: int) -> Column:
     """crc32 of an id's decimal text, modulo; null for a null id."""
     return F.crc32(spark_id.cast("string").cast("binary")) % modulus
@@ -189,6 +232,23 @@ def pieces(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         at = to
 
 
+def encoded_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.DictionaryArray:
+    """The words of a buffer, which are all that isn't white space in it, as numbers and a dictionary."""
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    data = raw[~is_space(raw)]
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+
+
+#: Seed of the word hash.
+WORD_SEED = 0x5EED0F3A11C7
+
+
+def dictionary_hashes(words: pa.DictionaryArray) -> np.ndarray:
+    """A 64-bit hash (xxh3, seeded) of each word of the dictionary."""
+    one = xxhash.xxh3_64_intdigest
+    return np.array([one(w, WORD_SEED) for w in words.dictionary.to_pylist()], np.uint64)
+
+
 def words_by_document(texts: pa.Array, lower: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first document, documents, word hashes, word offsets of each document); words are runs of anything but ASCII white space."""
     held: list[np.ndarray] = []
@@ -197,7 +257,10 @@ def words_by_document(texts: pa.Array, lower: bool) -> Iterator[tuple[int, int,
         if lower:
             raw = np.where((raw >= 65) & (raw <= 90), raw | 32, raw)
         s, e = runs(~is_space(raw), starts[starts < len(raw)]) if len(raw) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        hashes = range_hashes(raw, (s, e))[0] if len(s) else np.zeros(0, np.uint64)
+        hashes = np.zeros(0, np.uint64)
+        if len(s):
+            coded = encoded_words(raw, s, e)
+            hashes = dictionary_hashes(coded)[coded.indices.to_numpy()]
         if held_at >= 0 and at != held_at:
             yield _one(held_at, held)
             held_at = -1
@@ -210,6 +273,50 @@ def words_by_document(texts: pa.Array, lower: bool) -> Iterator[tuple[int, int,
         yield _one(held_at, held)
 
 
+def normalised_texts(texts: pa.Array, lower: bool) -> list[bytes]:
+    """Each text's words with one space between them; nulls are empty."""
+    out: list[list[bytes]] = [[] for _ in range(len(texts))]
+    for raw, starts, at in pieces(texts):
+        raw = np.where((raw >= 65) & (raw <= 90), raw | 32, raw) if lower else raw.copy()
+        keep = ~is_space(raw)
+        s = runs(keep, starts[starts < len(raw)])[0] if len(raw) else np.zeros(0, np.int64)
+        first = np.searchsorted(s, starts)  # the first word of each document has no space before it
+        later = np.ones(len(s), bool)
+        later[first[first < len(s)]] = False
+        raw[s[later] - 1] = 32
+        keep[s[later] - 1] = True
+        cut = np.append(np.concatenate([[0], np.cumsum(keep)])[starts], keep.sum())
+        data = raw[keep].tobytes()
+        for i in range(len(starts)):
+            if cut[i] < cut[i + 1]:
+                out[at + i].append(data[cut[i] : cut[i + 1]])
+    return [b" ".join(parts) for parts in out]
+
+
+def sha256s(texts: list[bytes]) -> pa.Array:
+    return pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())
+
+
+def shingle_places(size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For words of documents of these sizes: the document of each word, words from it to the document's end, and whether a shingle begins there.
+
+    With fewer words than the width, the whole sequence is one shingle."""
+    doc = np.repeat(np.arange(len(size)), size)
+    whole = np.repeat(size, size)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+    return doc, whole - place, (place + width <= whole) | ((whole < width) & (place == 0))
+
+
+def shingle_hashes(words: np.ndarray, left: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of the shingles that begin at the words `at`, from word hashes."""
+    factors = mix(np.arange(1, width + 1, dtype=np.uint64) * _BASE) | np.uint64(1)
+    value, left = np.zeros(len(at), np.uint64), left[at]
+    for j in range(width):
+        there = np.flatnonzero(left > j)
+        value[there] += words[at[there] + j] * factors[j]
+    return mix(value + np.minimum(left, width).astype(np.uint64) * _LEN)
+
+
 def _one(at: int, parts: list[np.ndarray]) -> tuple[int, int, np.ndarray, np.ndarray]:
     hashes = np.concatenate(parts)
     return at, 1, hashes, np.array([0, len(hashes)])
@@ -219,20 +326,10 @@ def shingle_sets(texts: pa.Array, width: int, lower: bool) -> Iterator[tuple[int
     """(first document, sorted distinct shingle hashes of a run of documents, offsets by document).
 
     With fewer words than the width, the whole sequence is one shingle; without words the set is empty."""
-    factors = mix(np.arange(1, width + 1, dtype=np.uint64) * _BASE) | np.uint64(1)
     for at, n, hashes, cut in words_by_document(texts, lower):
-        size = np.diff(cut)
-        doc = np.repeat(np.arange(n), size)
-        place = np.arange(len(hashes)) - np.repeat(cut[:-1], size)
-        whole = np.repeat(size, size)
-        value = np.zeros(len(hashes), np.uint64)
-        for j in range(width):
-            there = place + j < whole
-            index = np.flatnonzero(there)
-            value[index] += hashes[index + j] * factors[j]
-        value = mix(value + np.minimum(whole, width).astype(np.uint64) * _LEN)
-        keep = (place + width <= whole) | ((whole < width) & (place == 0))
-        doc, value = doc[keep], value[keep]
+        doc, left, begins = shingle_places(np.diff(cut), width)
+        begins = np.flatnonzero(begins)
+        doc, value = doc[begins], shingle_hashes(hashes, left, begins, width)
         order = np.lexsort((value, doc))
         doc, value = doc[order], value[order]
         if len(value):

@@ -1,14 +1,12 @@
-"""Set-similarity join on word n-grams, with exact links and connected components.
-
-1. Every document's set of n-grams is hashed (64 bits a gram). Documents of equal sets share one representative.
-2. A set of n grams that links with another (Jaccard >= t) lacks at most n - ceil(t n) of them in it. So a document with more grams
-   that no other document holds has no partner. Grams in a fixed part of the hash space are counted to find those; the rest go on.
-3. The sets that are left are ordered by (documents that hold the gram, gram), rarest first. Linked sets share one of their first
-   n - ceil(t n) + 1 grams. Sets connected through such grams form blocks, and every link lies within a block.
-4. A block's sets meet in tasks of bounded size (a large block in pairs of chunks). Every link is counted, and links that connect
-   whatever any link connects are kept; where only the classes are wanted, a prefix trie finds such links without meeting every pair.
-5. Components over the kept links and the counts go back to all documents.
-No pair is ever listed for copies, and no posting list or block is capped."""
+"""Set-similarity join on word n-grams by a prefix trie, with exact links and connected components.
+
+1. Texts that are equal word for word share one row, grouped by their content.
+2. Each of these gives signatures, of which linked sets share at least one (see signatures.py). They are combined within tasks first, so a
+   signature that a third of all texts has comes once from each part of a task. What shares signatures forms blocks, and every link lies in a block.
+3. The texts of a block meet in tasks of bounded size, a large block in pairs of chunks, where a prefix trie over their globally ordered shingles
+   finds every link (see prefix_trie.py). Shingles are compared by their words there: no link rests on a hash.
+4. Components over the links and the counts go back to all documents.
+No pair is ever listed for copies, and no signature, block or partner is capped."""
 
 from __future__ import annotations
 
@@ -18,199 +16,184 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
-from pyspark.sql.window import Window
-
-from seriesloom.llm.common import by_ids, checkpoint, mix, shingle_sets, worker_state
-from seriesloom.llm.components import connected_components
-from seriesloom.llm.prefix_trie import count_links, spanning_links
-
-#: Grams whose hash modulo 8 is below this are counted in step 2.
-COUNTED_EIGHTHS = 2
-#: Grams in a chunk of a block; two chunks meet in a task.
-CHUNK_GRAMS = 1_500_000
-
-
-def _node(doc_id: pa.Array, at: int, n: int, k1: np.ndarray, k2: np.ndarray, own: bool) -> np.ndarray:
-    """The number by which a row is told apart: doc_id, or where ids repeat or are null a hash of id and set."""
-    ids = doc_id.slice(at, n)
-    raw = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    if not own:
-        return raw
-    null = ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint64)
-    return mix(raw.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + null + mix(k1) + k2).view(np.int64)
-
-
-def _sums(grams: np.ndarray, cut: np.ndarray) -> list[np.ndarray]:
-    """The two halves of each set's key."""
-    sums = []
-    for h in (mix(grams + np.uint64(1)), mix(grams ^ np.uint64(0xD6E8FEB86659FD93))):
-        total = np.zeros(len(grams) + 1, np.uint64)
-        np.cumsum(h, out=total[1:])
-        sums.append(total[cut[1:]] - total[cut[:-1]])
-    return sums
-
-
-def _sets(batches: Iterator[pa.RecordBatch], width: int, lower: bool, own: bool) -> Iterator[tuple]:
-    """doc_id column, node numbers, gram hashes, offsets, keys of the sets."""
-    worker_state("n-gram join")
-    for batch in batches:
-        doc_id = batch.column(0).cast(pa.int64())
-        for at, grams, cut in shingle_sets(batch.column(1), width, lower):
-            n = len(cut) - 1
-            sums = _sums(grams, cut)
-            yield doc_id.slice(at, n), _node(doc_id, at, n, *sums, own), grams, cut, sums
+from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
+
+from seriesloom.llm.common import by_ids, checkpoint, discard, is_small, mix, normalised_texts, salted_lookup, sha256s, shingle_sets, split_lookup, worker_state
+from seriesloom.llm.components import connected_components, stars
+from seriesloom.llm.prefix_trie import join_units
+from seriesloom.llm.signatures import signatures
+
+#: Bytes of text in a chunk of a block; two chunks meet in a task.
+CHUNK_BYTES = 3 << 20
+#: Signatures that a task combines at once; bytes of text of the units that are joined at once.
+SIGNATURES_AT_ONCE, JOINED_BYTES = 1_000_000, 1 << 18
 
 
 def _docs(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def set_keys(docs: DataFrame, width: int, lower: bool, own: bool = False) -> DataFrame:
-    """doc_id, node, n (size of the set), k1, k2 (its 128-bit key)."""
+def set_sizes(docs: DataFrame, width: int, lower: bool) -> DataFrame:
+    """doc_id, sha (SHA-256 of the text's words with one space between them), n (size of its set) for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, node, _, cut, (k1, k2) in _sets(batches, width, lower, own):
-            yield pa.RecordBatch.from_arrays([ids, pa.array(node), pa.array(np.diff(cut).astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))], names=["doc_id", "node", "n", "k1", "k2"])
+        worker_state("n-gram join")
+        for batch in batches:
+            n = np.zeros(batch.num_rows, np.int64)
+            for at, _, cut in shingle_sets(batch.column(1), width, lower):
+                n[at : at + len(cut) - 1] = np.diff(cut)
+            yield pa.RecordBatch.from_arrays([batch.column(0), sha256s(normalised_texts(batch.column(1), lower)), pa.array(n)], names=["doc_id", "sha", "n"])
 
-    return _docs(docs).mapInArrow(run, "doc_id long, node long, n long, k1 long, k2 long")
+    return _docs(docs).mapInArrow(run, "doc_id long, sha binary, n long")
 
 
-def _keyed_rows(docs: DataFrame, width: int, lower: bool) -> DataFrame:
-    """doc_id, row (a struct of all columns), n, k1, k2 for each row of docs."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+def distinct_texts(docs: DataFrame, lower: bool) -> DataFrame:
+    """node (a number), sha, words (the normalised text), least (the smallest doc_id), copies (rows), bytes: one row for each text with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("n-gram join")
         for batch in batches:
-            for at, grams, cut in shingle_sets(batch.column(1), width, lower):
-                n = len(cut) - 1
-                k1, k2 = _sums(grams, cut)
-                columns = [batch.column(0).slice(at, n), batch.column(2).slice(at, n), pa.array(np.diff(cut).astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "n", "k1", "k2"])
-
-    schema = StructType([rows.schema["doc_id"], rows.schema["row"], *(StructField(c, LongType()) for c in ("n", "k1", "k2"))])
-    return rows.mapInArrow(run, schema)
+            for at in range(0, batch.num_rows, 1_000):
+                part = batch.slice(at, 1_000)
+                words = normalised_texts(part.column(1), lower)
+                rows = pa.RecordBatch.from_arrays([part.column(0), sha256s(words), pa.array(words, pa.binary()).cast(pa.string())], names=["doc_id", "sha", "words"])
+                yield rows.filter(pa.array([len(w) > 0 for w in words], pa.bool_()))
 
+    rows = _docs(docs).mapInArrow(run, "doc_id long, sha binary, words string")
+    found = rows.groupBy("sha", "words").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    return found.select(F.monotonically_increasing_id().alias("node"), "sha", "words", "least", "copies", F.octet_length("words").cast("long").alias("bytes"))
 
-def _lonely_grams(docs: DataFrame, width: int, lower: bool, own: bool) -> DataFrame:
-    """node, alone: counted grams that no other row holds."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, node, grams, cut, _ in _sets(batches, width, lower, own):
-            keep = (grams & np.uint64(7)) < np.uint64(COUNTED_EIGHTHS)
-            yield pa.RecordBatch.from_arrays([pa.array(grams[keep].view(np.int64)), pa.array(np.repeat(node, np.diff(cut))[keep])], names=["gram", "node"])
+def candidate_edges(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(a, b): edges that connect any two nodes of texts(node, words) that can link."""
 
-    grams = _docs(docs).mapInArrow(run, "gram long, node long")
-    held = grams.groupBy("gram").agg(F.min("node").alias("node"), F.max("node").alias("other"))
-    return held.filter("node = other").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("n-gram join")
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        count = 0
+
+        def out() -> pa.RecordBatch:
+            """Each signature once; what else held it is tied to that node here."""
+            node, sign = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(sign, kind="stable")
+            node, sign = node[order], sign[order]
+            new = np.ones(len(sign), bool)
+            new[1:] = sign[1:] != sign[:-1]
+            hub = node[np.flatnonzero(new)][np.cumsum(new) - 1]
+            tied = np.flatnonzero(node != hub)
+            a, b = stars(node[tied], hub[tied]) if len(tied) else (np.zeros(0, np.int64),) * 2
+            key = np.concatenate([sign[new], mix(a.view(np.uint64) + mix(b.view(np.uint64)))]).view(np.int64)
+            other = pa.concat_arrays([pa.nulls(int(new.sum()), pa.int64()), pa.array(b)])
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate([node[new], a])), other], names=["key", "node", "other"])
 
+        for batch in batches:
+            nodes = batch.column(0).to_numpy(zero_copy_only=False)
+            for at, grams, cut in shingle_sets(batch.column(1), width, False):
+                of, sign = signatures(grams, cut, num, den)
+                held.append((nodes[at + of], sign))
+                count += len(sign)
+                if count >= SIGNATURES_AT_ONCE:
+                    yield out()
+                    held, count = [], 0
+        if count:
+            yield out()
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in the order of their keys: those of one key are tied to the first."""
+        last, hub_before = None, 0
+        for batch in batches:
+            key, node = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            if not len(key):
+                continue
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            new[0] = last is None or key[0] != last
+            hubs = np.concatenate([[hub_before], node[new]])
+            hub = hubs[np.cumsum(new)]
+            last, hub_before = key[-1], int(hub[-1])
+            tied = np.flatnonzero(node != hub)
+            local = batch.column(2)
+            given = np.flatnonzero(local.is_valid().to_numpy(zero_copy_only=False))
+            a = np.concatenate([node[tied], node[given]])
+            b = np.concatenate([hub[tied], local.fill_null(0).to_numpy(zero_copy_only=False)[given]])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in stars(a, b)], names=["a", "b"])
+
+    rows = texts.select("node", "words").mapInArrow(make, "key long, node long, other long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(tie, "a long, b long")
+
+
+def _units(texts: DataFrame, blocks: DataFrame) -> DataFrame:
+    """unit, cross, side, node, copies, words: the texts that meet in a task. A block of c chunks gives a unit for each chunk and each pair of chunks."""
+    rows = checkpoint(blocks.withColumnRenamed("component", "block").join(texts.select("node", "bytes", "copies").hint("merge"), "node"))
+    sizes = rows.groupBy("block").agg(F.sum("bytes").alias("all_bytes"))
+    large = checkpoint(sizes.filter(F.col("all_bytes") > CHUNK_BYTES).select("block", F.ceil(F.col("all_bytes") / F.lit(CHUNK_BYTES)).cast("int").alias("chunks")))
+    rows = salted_lookup(rows, large, "block", is_small(large), spread=F.col("node")).withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    rows = checkpoint(rows.select("node", "block", "copies", "chunk", "chunks"))
+    rows = texts.select("node", "words").join(F.broadcast(rows) if is_small(rows) else rows.hint("merge"), "node")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    unit = F.concat_ws(":", "block", F.least("chunk", "other"), F.greatest("chunk", "other"))
+    rows = rows.select(unit.alias("unit"), (F.col("chunk") != F.col("other")).alias("cross"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "node", "copies", "words")
+    return rows.repartition("unit").sortWithinPartitions("unit")
+
+
+def _links(texts: DataFrame, edges: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """a, b, links: with b, edges that connect what links connect; with a null b, rows that link with a's text, unit by unit."""
 
-def _arrays(docs: DataFrame, width: int, lower: bool, own: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, node, grams, cut, _ in _sets(batches, width, lower, own):
-            lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(grams.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(node), lists], names=["node", "grams"])
-
-    return _docs(docs).mapInArrow(run, "node long, grams array<long>")
-
-
-def _blocks(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """node, block: sets in different blocks can't link. Sets without any candidate partner are left out."""
-    rows = sets.select("node", F.size("grams").cast("long").alias("n"), F.explode("grams").alias("gram"))
-    held = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
-    rows = rows.join(held.hint("merge"), "gram")
-    #  prefix: n - ceil(num n / den) + 1; grams of one set come first in it and match nothing
-    prefix = F.col("n") - F.ceil(F.col("n") * num / F.lit(den)).cast("long") + 1
-    by_node = Window.partitionBy("node")
-    rows = rows.withColumn("m", F.count(F.lit(1)).over(by_node)).withColumn("place", F.row_number().over(by_node.orderBy("held", "gram")))
-    rows = rows.filter(F.col("place") <= prefix - (F.col("n") - F.col("m"))).select("node", "gram")
-    rows = checkpoint(rows)
-    hubs = rows.groupBy("gram").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("gram", "hub")
-    edges = rows.join(hubs.hint("merge"), "gram").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    return connected_components(edges).withColumnRenamed("component", "block")
-
-
-def _links(sets: DataFrame, copies: DataFrame, num: int, den: int, count: bool) -> DataFrame:
-    """a, b: links that connect whatever the threshold connects; if `count`, also rows with a null b: a, links (rows that link with a's set, part by part)."""
-    blocks = checkpoint(_blocks(sets, num, den))
-    sizes = sets.select("node", F.size("grams").cast("long").alias("n")).join(blocks.hint("merge"), "node").groupBy("block").agg(F.sum("n").alias("grams_all"))
-    chunks = sizes.select("block", F.ceil(F.col("grams_all") / F.lit(CHUNK_GRAMS)).cast("int").alias("chunks"))
-    place = blocks.join(chunks.hint("merge"), "block").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    rows = sets.join(place.hint("merge"), "node")
-    rows = rows.join(copies.hint("merge"), "node") if count else rows.withColumn("copies", F.lit(1).cast("long"))
-    others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: (j != F.col("chunk")) | (F.col("chunks") == 1))
-    rows = rows.withColumn("other", F.explode(others))
-    #  a chunk meets all others once, and itself in its pair with the next one
-    home = (F.col("chunks") == 1) | (F.col("other") == (F.col("chunk") + 1) % F.col("chunks"))
-    low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
-    rows = rows.select(F.xxhash64("block", low, high).alias("unit"), "block", low.alias("low"), high.alias("high"), (F.col("chunk") > F.col("other")).alias("side"), home.alias("home"), "node", "copies", "grams")
+        worker_state("n-gram join")
+        last, unit, cross, side, node, copies, words, size = None, [], [], [], [], [], [], 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, held = None, [], []
-
-        def links() -> pa.RecordBatch:
-            own = np.array([row[0] for row in nodes], np.int64)
-            counts = np.zeros(len(own), np.int64)
-            if count:
-                copies_, side, home_ = (np.array([row[k] for row in nodes], kind) for k, kind in ((1, np.int64), (2, bool), (3, bool)))
-                counts, found = count_links(held, copies_, side, home_, num, den)
-            else:
-                found = spanning_links(held, num, den)
-            ends = np.array(found, np.int64).reshape(-1, 2)
-            some = np.flatnonzero(counts)
-            a = pa.array(np.concatenate([own[ends[:, 0]], own[some]]))
-            b = pa.concat_arrays([pa.array(own[ends[:, 1]]), pa.nulls(len(some), pa.int64())])
-            return pa.RecordBatch.from_arrays([a, b, pa.array(np.concatenate([np.zeros(len(ends), np.int64), counts[some]]))], names=["a", "b", "links"])
+        def out() -> pa.RecordBatch:
+            own = np.array(node, np.int64)
+            links, label = join_units(np.array(unit, np.int64), words, np.array(copies, np.int64), np.array(side, np.int64), np.array(cross, bool), width, num, den)
+            tied, some = np.flatnonzero(label != np.arange(len(label))), np.flatnonzero(links)
+            b = pa.concat_arrays([pa.array(own[label[tied]]), pa.nulls(len(some), pa.int64())])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([own[tied], own[some]])), b, pa.array(np.concatenate([np.zeros(len(tied), np.int64), links[some]]))], names=["a", "b", "links"])
 
         for batch in batches:
-            units = zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))
-            rows_ = zip(*(batch.column(k).to_pylist() for k in (6, 7, 4, 5)))
-            lists = batch.column(8)
-            cut = lists.offsets.to_numpy()
-            values = lists.values.to_numpy().view(np.uint64)
-            for i, (unit, row) in enumerate(zip(units, rows_)):
-                if unit != key:
-                    if len(held) > 1:
-                        yield links()
-                    key, nodes, held = unit, [], []
-                nodes.append(row)
-                held.append(values[cut[i] : cut[i + 1]].copy())
-        if len(held) > 1:
-            yield links()
-
-    rows = rows.repartition("unit").sortWithinPartitions("unit", "block", "low", "high", "node")
-    return rows.mapInArrow(run, "a long, b long, links long")
-
-
-def _classes(docs: DataFrame, width: int, num: int, den: int, lower: bool, count: bool) -> tuple[DataFrame, DataFrame, bool]:
-    """Rows of docs as by set_keys, one row for each distinct set: k1, k2, n, least (its smallest doc_id), component_id, class_size, head
-    (a number of the class) and, if `count`, n_links; and whether doc_ids repeat or are null."""
-    keys = checkpoint(set_keys(docs, width, lower))
-    own = not keys.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty()
-    if own:
-        keys = checkpoint(set_keys(docs, width, lower, own))
-    full = keys.filter("n > 0")
-    reps = checkpoint(full.groupBy("k1", "k2", "n").agg(F.min("node").alias("rep"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
-    alone = _lonely_grams(docs, width, lower, own)
-    spare = F.floor(F.col("n") * (den - num) / F.lit(den))
-    left = reps.select(F.col("rep").alias("node"), "n").join(alone.hint("merge"), "node", "left").filter(F.coalesce("alone", F.lit(0)) <= spare)
-    left = checkpoint(left.select("node"))
-    if own:  # nodes aren't ids: pick the rows after hashing
-        sets = by_ids(_arrays(docs, width, lower, own).dropDuplicates(["node"]), left, "node", "left_semi")
-    else:
-        rows = by_ids(_docs(docs), left.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-        sets = _arrays(rows, width, lower, own)
-    sets = checkpoint(sets)
-    links = checkpoint(_links(sets, reps.select(F.col("rep").alias("node"), "copies"), num, den, count))
-    found = connected_components(links.filter("b IS NOT NULL").select("a", "b"))
-    heads = reps.join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("head", F.coalesce("component", "rep"))
-    if count:
-        linked = links.filter("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-        heads = heads.join(linked.hint("merge"), "rep", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
-    heads = checkpoint(heads)
-    classes = heads.groupBy("head").agg(F.min("least").alias("component_id"), F.sum("copies").alias("class_size"))
-    return keys, heads.join(classes.hint("merge"), "head").drop("rep", "copies", "component", "links"), own
+            rows = zip(*(batch.column(k).to_pylist() for k in range(5)), batch.column(5).cast(pa.binary()).to_pylist())
+            for key, crossed, on, name, weight, text in rows:
+                if key != last:
+                    if size >= JOINED_BYTES:
+                        yield out()
+                        unit, cross, side, node, copies, words, size = [], [], [], [], [], [], 0
+                    last = key
+                    cross.append(crossed)
+                unit.append(len(cross) - 1)
+                side.append(on)
+                node.append(name)
+                copies.append(weight)
+                words.append(text)
+                size += len(text)
+        if unit:
+            yield out()
+
+    blocks = checkpoint(connected_components(edges))
+    return _units(texts, blocks).mapInArrow(run, "a long, b long, links long")
+
+
+def _classes(docs: DataFrame, width: int, num: int, den: int, lower: bool) -> tuple[DataFrame, DataFrame, int]:
+    """Rows of docs as by set_sizes; one row for each distinct text with words: sha, least, copies, head (a number of its class),
+    component_id, class_size, n_links; and the rows of docs."""
+    keys = checkpoint(set_sizes(docs, width, lower))
+    total = keys.count()
+    texts = checkpoint(distinct_texts(docs, lower))
+    edges = checkpoint(candidate_edges(texts, width, num, den))
+    links = checkpoint(_links(texts, edges, width, num, den))
+    discard(edges)
+    found = checkpoint(connected_components(links.filter("b IS NOT NULL").select("a", "b")))
+    rows = texts.select("node", "sha", "least", "copies")
+    linked = checkpoint(found.join(rows.select("node", "least", "copies").hint("merge"), "node"))
+    classes = checkpoint(linked.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("members")))
+    linked = split_lookup(linked.select("node", "component"), classes, "component", "members", linked.count())
+    counts = links.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    out = rows.join(linked.join(counts.hint("merge"), "node").hint("merge"), "node", "left")
+    own = (F.coalesce("component", "node").alias("head"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("class_size", "copies").alias("class_size"))
+    out = checkpoint(out.select("sha", "least", "copies", *own, (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    discard(texts, links, found)
+    return keys, out, total
 
 
 def similarity_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, lower: bool = True) -> DataFrame:
@@ -221,27 +204,43 @@ def similarity_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int
     link when den * |both| >= num * |either|. component_id is the smallest doc_id reachable by links, itself included; class_size is the
     number of rows of the component; n_links is the number of other rows that the row links with, copies included. Rows that repeat an
     id stand for themselves; equal sets link whatever their ids. Null ids are larger than any other: a component of null ids only has a
-    null component_id. An empty table gives no rows. Other columns are ignored."""
-    keys, heads, _ = _classes(docs, width, num, den, lower, True)
-    rows = keys.join(heads.select("k1", "k2", "n", "component_id", "class_size", "n_links").hint("merge"), ["k1", "k2", "n"], "left")
-    own_id = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), own_id.alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    null component_id. An empty table gives no rows. Other columns are ignored.
+
+    Links are decided by words, equal texts by SHA-256; n_shingles counts 64-bit hashes of shingles."""
+    keys, classes, total = _classes(docs, width, num, den, lower)
+    some = split_lookup(keys.filter("n > 0"), classes.select("sha", "component_id", "class_size", "n_links", "copies"), "sha", "copies", total)
+    some = some.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_size", "n_links")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    return some.union(keys.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), one, none))
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one row of each class of similar texts (the smallest doc_id), columns unchanged.
 
     Rows are told apart by id and text, so unrelated texts that share an id or have none all stay. Null ids are larger than any other. Where
-    the smallest id, or a null id in a class of null ids only, has several texts in a class, the one of the smallest set key stays, then the
+    the smallest id, or a null id in a class of null ids only, has several texts in a class, the one of the smallest digest stays, then the
     smallest text. Rows without words all stay."""
-    keys, heads, own = _classes(docs, width, num, den, True, False)
-    if not own:
-        classes = keys.join(heads.select("k1", "k2", "n", "component_id").hint("merge"), ["k1", "k2", "n"])
-        return by_ids(docs, checkpoint(classes.filter("component_id < doc_id").select("doc_id")), "doc_id", "left_anti")
-    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "k1", "k2", "n")).alias("first")
-    stay = checkpoint(heads.groupBy("head").agg(first).select("first.*"))
-    rows = _keyed_rows(docs, width, True)
-    same = [rows[c] == stay[c] for c in ("k1", "k2", "n")]
-    full = rows.filter("n > 0").join(stay.hint("merge"), [*same, rows["doc_id"].eqNullSafe(stay["least"])], "left_semi")
-    full = full.groupBy("k1", "k2", "n").agg(F.min_by("row", F.col("row.text")).alias("row"))
-    return rows.filter("n = 0").select("row").union(full.select("row")).select("row.*")
+    keys, classes, total = _classes(docs, width, num, den, True)
+    if keys.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
+        rows = split_lookup(keys.filter("n > 0"), classes.select("sha", "component_id", "copies"), "sha", "copies", total)
+        return by_ids(docs, checkpoint(rows.filter("component_id < doc_id").select("doc_id")), "doc_id", "left_anti")
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "sha")).alias("first")
+    stay = checkpoint(classes.groupBy("head").agg(first).select("first.least", "first.sha"))
+    rows = _keyed_rows(docs)
+    full = rows.filter("words").join(stay.hint("merge"), [rows["sha"] == stay["sha"], rows["doc_id"].eqNullSafe(stay["least"])], "left_semi")
+    full = full.groupBy("sha").agg(F.min_by("row", F.col("row.text")).alias("row"))
+    return rows.filter("NOT words").select("row").union(full.select("row")).select("row.*")
+
+
+def _keyed_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, row (a struct of all columns), sha, words (whether there are any) for each row of docs."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("n-gram join")
+        for batch in batches:
+            words = normalised_texts(batch.column(1), True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sha256s(words), pa.array([len(w) > 0 for w in words], pa.bool_())], names=["doc_id", "row", "sha", "words"])
+
+    schema = StructType([rows.schema["doc_id"], rows.schema["row"], StructField("sha", BinaryType()), StructField("words", BooleanType())])
+    return rows.mapInArrow(run, schema)

@@ -1,218 +1,246 @@
-"""Similarity joins of one bounded block of token sets: a prefix tree that finds what is connected, and a count of every link."""
+"""Similarity join of bounded units of documents by a prefix trie.
+
+Shingles are told apart by their words, not by hashes, and ordered by one global order (their 64-bit hash, equal in every unit). The sets go
+into a path-compressed trie; sets that begin alike share a path, so their common overlap with a query is added up once. All queries of a
+unit go down the trie together, level by level, as arrays of (query, node, overlap): a step adds the overlap of the node's run of tokens, and
+leaves a subtree that can't reach the threshold even with all tokens that remain in the query and below the node."""
 
 from __future__ import annotations
 
-import numpy as np
+from dataclasses import dataclass
 
+import numpy as np
 
-class Node:
-    """A run of tokens (path-compressed), the sets that end here, and bounds over the subtree."""
-
-    __slots__ = ("run", "children", "ends", "deepest", "smallest", "group")
-
-    def __init__(self, run: np.ndarray, deepest: int, smallest: int, group: int) -> None:
-        self.run, self.children, self.ends = run, {}, []
-        self.deepest, self.smallest = deepest, smallest  # longest path (in tokens) and smallest set below
-        self.group = group  # some set below if all of them were connected when last seen, else -1
-
-
-class Forest:
-    """Union-find with the smaller index as root."""
-
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def union(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
-
-
-def spanning_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links between sets i and j with den * |i and j| >= num * |i or j|, enough of them to connect whatever any link connects.
-
-    sets: sorted distinct tokens. Tokens are ordered by how many sets hold them, most first, so that similar sets share paths; tokens
-    of one set only count in its size. Each set in turn goes down the trie, adding up the overlap along shared paths. A subtree is left
-    when even its longest remaining path can't reach the threshold, or when all of it is connected to the set already."""
-    n = len(sets)
-    forest, links = Forest(n), []
-    if n < 2:
-        return links
-    sizes = [len(s) for s in sets]
-    tokens, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(tokens), np.int64)
-    rank[np.argsort(-counts, kind="stable")] = np.arange(len(tokens))
-    shared = int((counts > 1).sum())
-    ranks = rank[inverse]
-    cut = np.cumsum([0, *sizes])
-    held = np.zeros(shared + 1, bool)
-    root = Node(np.zeros(0, np.int64), 0, 1 << 60, -1)
-    for x in range(n):
-        path = ranks[cut[x] : cut[x + 1]]
-        path = np.sort(path[path < shared])
-        if not sizes[x]:
-            continue
-        held[path] = True
-        _probe(root, x, path, held, sizes, num, den, forest, links)
-        held[path] = False
-        _insert(root, x, path, sizes[x], forest)
-    return links
-
-
-def _probe(root: Node, x: int, path: np.ndarray, held: np.ndarray, sizes: list[int], num: int, den: int, forest: Forest, links: list[tuple[int, int]]) -> None:
-    nx, find = sizes[x], forest.find
-    both = num + den
-    stack: list[tuple[Node, int, int, bool]] = [(root, 0, 0, False)]
-    while stack:
-        node, overlap, depth, done = stack.pop()
-        mine = find(x)
-        if done:  # the subtree was walked: is it one group now?
-            heads = {find(c.group) if c.group >= 0 else -1 for c in node.children.values()} | {find(y) for y in node.ends}
-            node.group = heads.pop() if len(heads) == 1 else -1
-            continue
-        if node.group >= 0 and find(node.group) == mine:
-            continue
-        run = node.run
-        if len(run):
-            overlap += int(np.count_nonzero(held[run]))
-            depth += len(run)
-            left = len(path) - int(np.searchsorted(path, run[-1], "right"))
+from seriesloom.llm.common import dictionary_hashes, encoded_words, is_space, runs, shingle_hashes, shingle_places
+
+#: Work taken down the trie at once: tokens of a unit's trie times queries, and cells of the queries' membership table.
+TOKENS_AT_ONCE, CELLS_AT_ONCE = 2_000_000, 16_000_000
+
+
+def shingle_ids(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sizes of the shingle sets, document and number of each distinct shingle of a document): numbers are equal for shingles of equal words only,
+    and ordered by the shingles' hashes. texts: words with one space between them."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    raw = np.frombuffer(b" ".join(texts), np.uint8)
+    s, e = runs(~is_space(raw), starts[lengths > 0]) if len(raw) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    doc, left, begins = shingle_places(np.diff(np.append(np.searchsorted(s, starts), len(s))), width)
+    if not len(s):
+        return np.zeros(len(texts), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    coded = encoded_words(raw, s, e)
+    word = coded.indices.to_numpy().astype(np.int64)
+    at = np.flatnonzero(begins)
+    value = shingle_hashes(dictionary_hashes(coded)[word], left, at, width)
+    words = np.full((len(at), width), -1, np.int64)
+    for j in range(width):
+        there = np.flatnonzero(left[at] > j)
+        words[there, j] = word[at[there] + j]
+    order = np.argsort(value, kind="stable")
+    new = value[order[1:]] != value[order[:-1]]
+    differ = (words[order[1:]] != words[order[:-1]]).any(1)
+    if (differ & ~new).any():  # different words with one hash: their words decide
+        order = np.lexsort((*words.T, value))
+        new = (value[order[1:]] != value[order[:-1]]) | (words[order[1:]] != words[order[:-1]]).any(1)
+    number = np.empty(len(at), np.int64)
+    number[order] = np.concatenate([[0], np.cumsum(new)])
+    top = int(number.max()) + 1
+    pairs = np.unique(doc[at] * top + number)
+    doc = pairs // top
+    return np.bincount(doc, minlength=len(texts)), doc, pairs % top
+
+
+@dataclass
+class Tries:
+    """One trie a unit, as arrays over nodes. A node stands for tokens start to depth of the path of the set `rep`, and for sorted sets up to high - 1;
+    smallest and longest bound what is below. Children of node i are children[child_at[i] : child_at[i + 1]], the sets that end
+    in it ends[end_at[i] : end_at[i + 1]]; roots[u] is the root of unit u, or -1."""
+
+    start: np.ndarray
+    depth: np.ndarray
+    rep: np.ndarray
+    high: np.ndarray
+    smallest: np.ndarray
+    longest: np.ndarray
+    children: np.ndarray
+    child_at: np.ndarray
+    ends: np.ndarray
+    end_at: np.ndarray
+    roots: np.ndarray
+
+
+def _by(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes grouped by key, and where each key's begin."""
+    return np.argsort(keys, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(keys, minlength=n))])
+
+
+def _gather(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indexes at[i], at[i] + 1, ... (size[i] of them) for all i."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(at - ends + size, size)
+
+
+def build(unit: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, cut: np.ndarray, units: int) -> Tries:
+    """Tries of sets that are sorted by unit and path; tokens[cut[i] : cut[i + 1]] is the path of set i."""
+    n = len(unit)
+    long = np.diff(cut)
+    both = np.minimum(long[1:], long[:-1]) * (unit[1:] == unit[:-1])
+    index = _gather(np.zeros(len(both), np.int64), both)
+    owner = np.repeat(np.arange(len(both)), both)
+    differ = tokens[cut[owner + 1] + index] != tokens[cut[owner] + index]
+    shared = both.copy()
+    where = np.flatnonzero(differ)
+    first, some = np.unique(owner[where], return_index=True)
+    shared[first] = index[where[some]]
+    start, depth, rep, high, smallest, longest, parent = [], [], [], [], [], [], []
+    roots, end_of = np.full(units, -1, np.int64), np.zeros(n, np.int64)
+
+    def add(d: int, i: int, size: int, length: int) -> int:
+        for column, value in zip((start, depth, rep, high, smallest, longest, parent), (0, d, i, i, size, length, -1)):
+            column.append(value)
+        return len(depth) - 1
+
+    def hang(x: int, below: int, stop: int) -> None:
+        parent[x], start[x], high[x] = below, depth[below], stop
+        smallest[below], longest[below] = min(smallest[below], smallest[x]), max(longest[below], longest[x])
+
+    stack: list[int] = []
+    for i, (u, size, length, same) in enumerate(zip(unit.tolist(), sizes.tolist(), long.tolist(), [0, *shared.tolist()])):
+        fresh = not i or u != unit[i - 1]
+        while stack and (fresh or depth[stack[-1]] > same):
+            x = stack.pop()
+            if not stack:
+                high[x] = i
+                break
+            if not fresh and depth[stack[-1]] < same:
+                stack.append(add(same, rep[x], smallest[x], longest[x]))
+            hang(x, stack[-1], i)
+        if fresh:
+            stack = [add(0, i, size, length)]
+            roots[u] = stack[0]
+        if length > depth[stack[-1]]:
+            stack.append(add(length, i, size, length))
         else:
-            left = len(path)
-        most = overlap + min(left, node.deepest - depth)
-        if both * most < num * (nx + max(node.smallest, most)):
-            continue
-        for y in node.ends:
-            if both * overlap >= num * (nx + sizes[y]) and forest.union(x, y):
-                links.append((x, y))
-        if node.children:
-            stack.append((node, 0, 0, True))
-            mine_first = None
-            for first, child in node.children.items():
-                if held[first] and mine_first is None:
-                    mine_first = child
-                else:
-                    stack.append((child, overlap, depth, False))
-            if mine_first is not None:
-                stack.append((mine_first, overlap, depth, False))
-
-
-def _insert(root: Node, x: int, path: np.ndarray, size: int, forest: Forest) -> None:
-    node, at = root, 0
-    while True:
-        if node.group >= 0 and forest.find(node.group) != forest.find(x):
-            node.group = -1
-        node.deepest, node.smallest = max(node.deepest, len(path)), min(node.smallest, size)
-        if at == len(path):
-            node.ends.append(x)
-            return
-        child = node.children.get(int(path[at]))
-        if child is None:
-            leaf = Node(path[at:], len(path), size, x)
-            leaf.ends.append(x)
-            node.children[int(path[at])] = leaf
-            return
-        run = child.run
-        m = min(len(run), len(path) - at)
-        differ = np.flatnonzero(run[:m] != path[at : at + m])
-        same = int(differ[0]) if len(differ) else m
-        if same < len(run):  # split the run
-            upper = Node(run[:same], child.deepest, child.smallest, child.group)
-            child.run = run[same:]
-            upper.children[int(run[same])] = child
-            node.children[int(path[at])] = upper
-            child = upper
-        node, at = child, at + same
-
-
-def count_links(sets: list[np.ndarray], weights: np.ndarray, side: np.ndarray, home: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """For each set the weight of all other sets j with den * |i and j| >= num * |i or j|, and links that connect whatever these connect.
-
-    sets: sorted distinct tokens; weights: the copies each stands for. Sets of one side meet only where home is true, sets of different
-    sides always. Sets of one side that have equal size and hold the same shared tokens stand for each other. The rest is taken by
-    size; a set meets the smaller ones that share one of its n - ceil(t n) + 1 rarest tokens, and each such overlap is counted in full."""
-    n = len(sets)
-    counts, links = np.zeros(n, np.int64), []
-    size = np.array([len(s) for s in sets], np.int64)
-    if n < 2 or not size.sum():
-        return counts, links
-    tokens, inverse, held_by = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(tokens), np.int64)
-    rank[np.argsort(held_by, kind="stable")] = np.arange(len(tokens))
-    rank -= int((held_by == 1).sum())  # tokens of one set only are negative
-    ranks, cut = rank[inverse], np.cumsum([0, *size])
-    groups: dict[tuple, list[int]] = {}
-    for x in range(n):
-        path = ranks[cut[x] : cut[x + 1]]
-        path = np.sort(path[path >= 0])
-        if len(path):
-            groups.setdefault((size[x], bool(side[x]), path.tobytes()), []).append(x)
-    if not groups:
-        return counts, links
-    keys = sorted(groups, key=lambda k: k[:2])
-    members = [groups[k] for k in keys]
-    paths = [np.frombuffer(k[2], np.int64) for k in keys]
-    size, on = np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], bool)
-    first = np.array([m[0] for m in members], np.int64)
-    own, mass = home[first], np.array([weights[m].sum() for m in members], np.int64)
-    long = np.array([len(p) for p in paths], np.int64)
-    prefix = np.clip(size - (num * size + den - 1) // den + 1 - (size - long), 0, long)
-    flat, at = np.concatenate(paths), np.cumsum([0, *long])
-    #  postings of prefix tokens, in the order in which sets are taken
-    who = np.repeat(np.arange(len(keys)), prefix)
-    heads = np.concatenate([p[:k] for p, k in zip(paths, prefix)])
-    who = who[np.argsort(heads, kind="stable")]
-    begin = np.cumsum([0, *np.bincount(heads, minlength=int(flat.max()) + 1)])
-    filled = begin[:-1].copy()
-    held, mark, degree = np.zeros(len(filled), bool), np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-    group = np.arange(len(keys))  # what is connected so far
-    least = np.searchsorted(size, (num * size + den - 1) // den)  # the first set that is large enough
-    for x, path in enumerate(paths):
-        rare = path[: prefix[x]]
-        if own[x] and len(members[x]) > 1 and den * long[x] >= num * (2 * size[x] - long[x]):
-            for m in members[x]:
-                counts[m] += mass[x] - weights[m]
-            links.extend((members[x][0], m) for m in members[x][1:])
-        for t in rare.tolist():
-            mark[who[begin[t] : filled[t]]] = True
-        filled[rare] += 1
-        lo = int(least[x])
-        met = np.flatnonzero(mark[lo:x]) + lo
-        mark[:x] = False
-        if not own[x]:
-            met = met[on[met] != on[x]]
-        if not len(met):
-            continue
-        held[path] = True
-        if 3 * len(met) > x - met[0]:
-            lo = int(met[0])
-            overlap = np.add.reduceat(held[flat[at[lo] : at[x]]], at[lo:x] - at[lo], dtype=np.int64)[met - lo]
+            smallest[stack[-1]] = min(smallest[stack[-1]], size)
+        end_of[i] = stack[-1]
+    while stack:
+        x = stack.pop()
+        if stack:
+            hang(x, stack[-1], n)
         else:
-            ends = np.cumsum(long[met])
-            index = np.arange(ends[-1]) + np.repeat(at[met] - ends + long[met], long[met])
-            overlap = np.add.reduceat(held[flat[index]], ends - long[met], dtype=np.int64)
-        held[path] = False
-        met = met[(num + den) * overlap >= num * (size[x] + size[met])]
-        if not len(met):
-            continue
-        degree[x] += mass[met].sum()
-        degree[met] += mass[x]
-        found, some = np.unique(group[met], return_index=True)
-        links.extend((int(first[x]), int(first[y])) for y in met[some])
-        if len(found) > 1:
-            group[:x][np.isin(group[:x], found[1:])] = found[0]
-        group[x] = found[0]
-    for x, of in enumerate(members):
-        counts[of] += degree[x]
-        if degree[x]:
-            links.extend((of[0], m) for m in of[1:])
-    return counts, links
+            high[x] = n
+    columns = [np.array(c, np.int64) for c in (start, depth, rep, high, smallest, longest)]
+    up = np.array(parent, np.int64)
+    inner = np.flatnonzero(up >= 0)
+    order, child_at = _by(up[inner], len(up))
+    ends, end_at = _by(end_of, len(up))
+    return Tries(*columns, inner[order], child_at, ends, end_at, roots)
+
+
+def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (each the smallest member of its group) after joining the groups of a[i] and b[i] for all i."""
+    while len(a):
+        la, lb = label[a], label[b]
+        differ = la != lb
+        a, b, la, lb = a[differ], b[differ], la[differ], lb[differ]
+        low = np.minimum(la, lb)
+        np.minimum.at(label, la, low)
+        np.minimum.at(label, lb, low)
+        while True:
+            further = label[label]
+            if np.array_equal(further, label):
+                break
+            label = further
+    return label
+
+
+def join_units(unit: np.ndarray, texts: list[bytes], weights: np.ndarray, side: np.ndarray, cross: np.ndarray, width: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(links, label) of documents: in each unit two documents link when den * shared shingles >= num * all their shingles. links is the weight of the
+    others that a document links with; documents of one label (an index) are connected by links.
+
+    unit: ascending from 0; in units of which cross holds only documents of different sides meet, in others all. A document is once in a unit."""
+    n, units = len(texts), len(cross)
+    label, links = np.arange(n), np.zeros(n, np.int64)
+    sizes, doc, number = shingle_ids(texts, width)
+    if not len(doc):
+        return links, label
+    # tokens that one document of the unit holds only count in its size
+    top = int(number.max()) + 1
+    key = unit[doc] * top + number
+    known, place, held_by = np.unique(key, return_inverse=True, return_counts=True)
+    rank = np.cumsum(held_by > 1) - 1
+    kept = held_by[place] > 1
+    doc, token = doc[kept], rank[place[kept]]
+    shared = known[held_by > 1] // top
+    token_at = np.searchsorted(shared, np.arange(units + 1))
+    token -= token_at[unit[doc]]
+    cut = np.searchsorted(doc, np.arange(n + 1))
+    long = np.diff(cut)
+    usable = np.flatnonzero(long)
+    stored = usable[~cross[unit[usable]] | (side[usable] == 1)]
+    packed = token.astype(">u4")
+    stored = np.array(sorted(stored.tolist(), key=lambda i: (unit[i], packed[cut[i] : cut[i + 1]].tobytes())), np.int64)
+    if not len(stored):
+        return links, label
+    paths = token[_gather(cut[stored], long[stored])]
+    path_cut = np.concatenate([[0], np.cumsum(long[stored])])
+    trie = build(unit[stored], sizes[stored], paths, path_cut, units)
+    position = np.full(n, -1, np.int64)  # in the sorted sets; a query meets only later ones of its own trie
+    position[stored] = np.arange(len(stored))
+    position[cross[unit]] = -1
+    asked = usable[(~cross[unit[usable]] | (side[usable] == 0)) & (trie.roots[unit[usable]] >= 0)]
+    in_trie = np.zeros(units + 1, np.int64)
+    np.add.at(in_trie, unit[stored[trie.rep]], trie.depth - trie.start)
+    cost = np.maximum(in_trie[unit[asked]] / TOKENS_AT_ONCE, np.diff(token_at)[unit[asked]] / CELLS_AT_ONCE)
+    part = np.floor(np.cumsum(cost)).astype(np.int64)
+    at = 0
+    while at < len(asked):
+        to = int(np.searchsorted(part, part[at], "right"))
+        q, y = _descend(trie, asked[at:to], unit, sizes, token, cut, np.diff(token_at), paths, path_cut, position, stored, num, den)
+        links += np.bincount(q, weights[y], n).astype(np.int64) + np.bincount(y, weights[q], n).astype(np.int64)
+        label = merged(label, q, y)
+        at = to
+    return links, label
+
+
+def _descend(trie: Tries, asked: np.ndarray, unit: np.ndarray, sizes: np.ndarray, token: np.ndarray, cut: np.ndarray, tokens: np.ndarray, paths: np.ndarray, path_cut: np.ndarray, position: np.ndarray, stored: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links (query, stored document) of some queries."""
+    both = num + den
+    long = (cut[asked + 1] - cut[asked]).astype(np.int64)
+    cells = np.cumsum(tokens[unit[asked]]) - tokens[unit[asked]]
+    mine = np.repeat(cells, long) + token[_gather(cut[asked], long)]  # ascending
+    held = np.zeros(int(cells[-1] + tokens[unit[asked[-1]]]), bool)
+    held[mine] = True
+    ends = np.cumsum(long)
+    found_q, found_y = [], []
+    q, node = np.arange(len(asked)), trie.roots[unit[asked]]
+    overlap = np.zeros(len(q), np.int64)
+    while len(q):
+        number = trie.end_at[node + 1] - trie.end_at[node]
+        some = np.flatnonzero(number)
+        if len(some):
+            y = trie.ends[_gather(trie.end_at[node[some]], number[some])]
+            of, o = np.repeat(q[some], number[some]), np.repeat(overlap[some], number[some])
+            hit = (y > position[asked[of]]) & (both * o >= num * (sizes[asked[of]] + sizes[stored[y]]))
+            found_q.append(asked[of[hit]])
+            found_y.append(stored[y[hit]])
+        number = trie.child_at[node + 1] - trie.child_at[node]
+        child = trie.children[_gather(trie.child_at[node], number)]
+        q, overlap = np.repeat(q, number), np.repeat(overlap, number)
+        size = sizes[asked[q]]
+        below = trie.longest[child] - trie.start[child]
+        most = overlap + np.minimum(below, long[q] - overlap)
+        keep = (trie.high[child] > position[asked[q]] + 1) & (both * most >= num * (size + np.maximum(trie.smallest[child], most)))
+        q, child, overlap = q[keep], child[keep], overlap[keep]
+        if not len(q):
+            break
+        run = trie.depth[child] - trie.start[child]
+        at = path_cut[trie.rep[child]] + trie.start[child]
+        hits = held[np.repeat(cells[q], run) + paths[_gather(at, run)]]
+        overlap = overlap + np.add.reduceat(hits, np.cumsum(run) - run, dtype=np.int64)
+        # what remains of the query behind the run, and below the node
+        left = ends[q] - np.searchsorted(mine, cells[q] + paths[at + run - 1], "right")
+        most = overlap + np.minimum(left, trie.longest[child] - trie.depth[child])
+        keep = both * most >= num * (sizes[asked[q]] + np.maximum(trie.smallest[child], most))
+        q, node, overlap = q[keep], child[keep], overlap[keep]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *found_q]), np.concatenate([none, *found_y])

@@ -11,7 +11,8 @@ from hypothesis import strategies as st
 from seriesloom.llm.components import connected_components
 from seriesloom.llm.exact_dedup import drop_copies, exact_dedup
 from seriesloom.llm.ngram_join import drop_near_copies, similarity_classes
-from seriesloom.llm.prefix_trie import count_links, spanning_links
+from seriesloom.llm.prefix_trie import join_units, shingle_ids
+from seriesloom.llm.signatures import signatures
 
 from .fixtures import frame, rows
 
@@ -92,7 +93,7 @@ def test_similarity_classes(spark, width, num, den, repeat):
 def test_large_block_is_split(spark, monkeypatch):
     import seriesloom.llm.ngram_join as module
 
-    monkeypatch.setattr(module, "CHUNK_GRAMS", 300)
+    monkeypatch.setattr(module, "CHUNK_BYTES", 900)
     data = rows(6, 90)
     got = similarity_classes(frame(spark, data), 3, 70, 100).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(classes_of(data, 3, 70, 100))
@@ -116,27 +117,89 @@ def test_components_of_a_path_and_loops(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 200: 200, 201: 200}
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.frozensets(st.integers(0, 14), min_size=0, max_size=10), max_size=14), st.sampled_from([(85, 100), (80, 100), (50, 100)]))
-def test_trie_links_connect_all(sets, threshold):
+def shingles(text, width):
+    w = text.split()
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
+
+
+def roots(n, pairs):
+    up = list(range(n))
+    for i, j in pairs:
+        a, b = up[i], up[j]
+        up = [min(a, b) if u in (a, b) else u for u in up]
+    return up
+
+
+texts_of_few_words = st.lists(st.tuples(st.integers(0, 2), st.lists(st.sampled_from("abc"), max_size=14).map(" ".join), st.integers(1, 3), st.booleans()), max_size=16)
+
+
+@pytest.mark.parametrize("at_once", [None, 5])
+@settings(max_examples=150, deadline=None)
+@given(texts_of_few_words, st.lists(st.booleans(), min_size=3, max_size=3), st.sampled_from([(85, 100), (80, 100), (50, 100), (100, 100)]), st.integers(1, 4))
+def test_trie_finds_every_link(at_once, found, cross, threshold, width):
+    import seriesloom.llm.prefix_trie as module
+
     num, den = threshold
-    links = spanning_links([np.array(sorted(s), np.uint64) for s in sets], num, den)
+    found = sorted(found, key=lambda x: x[0])
+    used = sorted({u for u, *_ in found})
+    unit = np.array([used.index(u) for u, *_ in found], np.int64)
+    cross = np.array(cross[: len(used)], bool)
+    sets, weights, side = [shingles(t, width) for _, t, _, _ in found], [w for _, _, w, _ in found], [int(b) for *_, b in found]
+    before = module.TOKENS_AT_ONCE, module.CELLS_AT_ONCE
+    if at_once:
+        module.TOKENS_AT_ONCE = module.CELLS_AT_ONCE = at_once
+    try:
+        links, label = join_units(unit, [t.encode() for _, t, _, _ in found], np.array(weights, np.int64), np.array(side, np.int64), cross, width, num, den)
+    finally:
+        module.TOKENS_AT_ONCE, module.CELLS_AT_ONCE = before
+
+    def linked(i, j):
+        meet = i != j and unit[i] == unit[j] and (not cross[unit[i]] or side[i] != side[j])
+        return meet and sets[i] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])
+
+    n = len(sets)
+    assert links.tolist() == [sum(weights[j] for j in range(n) if linked(i, j)) for i in range(n)]
+    assert label.tolist() == roots(n, [(i, j) for i in range(n) for j in range(i) if linked(i, j)])
+
+
+def test_shingles_of_one_hash_stay_apart(monkeypatch):
+    import seriesloom.llm.prefix_trie as module
 
-    def roots(pairs):
-        up = list(range(len(sets)))
+    texts = [b"a b c a b", b"c b a", b"", b"a b"]
+    want = [shingles(t.decode(), 2) for t in texts]
+    monkeypatch.setattr(module, "shingle_hashes", lambda words, left, at, width: np.zeros(len(at), np.uint64))
+    sizes, doc, number = shingle_ids(texts, 2)
+    assert sizes.tolist() == [len(s) for s in want]
+    got = [set(number[doc == i]) for i in range(4)]
+    assert all((len(got[i] & got[j]) == len(want[i] & want[j])) for i in range(4) for j in range(4))
 
-        def find(x):
-            while up[x] != x:
-                x = up[x]
-            return x
 
-        for i, j in pairs:
-            up[max(find(i), find(j))] = min(find(i), find(j))
-        return [find(i) for i in range(len(sets))]
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 2**32), st.integers(1, 160), st.sampled_from([(85, 100), (80, 100), (50, 100), (100, 100), (95, 100)]))
+def test_linked_sets_share_a_signature(seed, size, threshold):
+    num, den = threshold
+    r = np.random.default_rng(seed)
+    base = r.integers(0, 2**63, size, dtype=np.uint64)
+    sets = [np.unique(base)]
+    for _ in range(8):  # as far from the first as a link allows
+        lost = int(r.integers(0, size * (den - num) // den + 1))
+        more = int(r.integers(0, size * (den - num) // num + 1))
+        sets.append(np.unique(np.concatenate([r.permutation(base)[lost:], r.integers(0, 2**63, more, dtype=np.uint64)])))
+    sets = [s for s in sets if len(s)]
+    of, sign = signatures(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), num, den)
+    held = [set(sign[of == i].tolist()) for i in range(len(sets))]
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(a, sets[j]))
+            if den * both >= num * (len(a) + len(sets[j]) - both):
+                assert held[i] & held[j]
+
 
-    true = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])]
-    assert {(max(p), min(p)) for p in links} <= set(true)
-    assert roots(links) == roots(true)
+def test_words_that_break_polynomial_hashes_stay_apart(spark):
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    got = similarity_classes(spark.createDataFrame([(1, one), (2, other), (3, one.upper())], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.component_id, r.n_links) for r in got} == {1: (1, 1), 2: (2, 0), 3: (1, 1)}
 
 
 def links_of(data, width, num, den):
@@ -153,7 +216,7 @@ def test_every_link_is_counted(spark, monkeypatch, chunk, repeat):
     import seriesloom.llm.ngram_join as module
 
     if chunk:
-        monkeypatch.setattr(module, "CHUNK_GRAMS", chunk)
+        monkeypatch.setattr(module, "CHUNK_BYTES", chunk)
     data = rows(11, 90)
     base = " ".join(f"w{i}" for i in range(60))
     data += [(10_000 + i, f"{base} tail{i}" if i % 2 else base.replace(f"w{i}", "other"), *data[0][2:]) for i in range(12)]
@@ -164,30 +227,6 @@ def test_every_link_is_counted(spark, monkeypatch, chunk, repeat):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=key) == sorted(classes_of(data, 2, 80, 100), key=key)
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.tuples(st.frozensets(st.integers(0, 14), max_size=10), st.integers(1, 3), st.booleans()), max_size=14), st.booleans(), st.booleans(), st.sampled_from([(85, 100), (80, 100), (50, 100)]))
-def test_links_are_counted_between_and_within_sides(found, first, second, threshold):
-    num, den = threshold
-    sets, weights, side = [s for s, _, _ in found], [w for _, w, _ in found], [b for _, _, b in found]
-    home = [second if b else first for b in side]
-    counts, links = count_links([np.array(sorted(s), np.uint64) for s in sets], np.array(weights, np.int64), np.array(side, bool), np.array(home, bool), num, den)
-
-    def linked(i, j):
-        return i != j and (side[i] != side[j] or home[i]) and sets[i] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])
-
-    n = len(sets)
-    assert counts.tolist() == [sum(weights[j] for j in range(n) if linked(i, j)) for i in range(n)]
-
-    def roots(pairs):
-        up = list(range(n))
-        for i, j in pairs:
-            a, b = up[i], up[j]
-            up = [min(a, b) if u in (a, b) else u for u in up]
-        return up
-
-    assert roots(links) == roots([(i, j) for i in range(n) for j in range(i) if linked(i, j)])
-
-
 def test_near_copies_go_by_row(spark):
     rest = (None, None, None, *["x"] * 10)
     base = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdefg"]

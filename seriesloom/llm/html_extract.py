@@ -1,9 +1,13 @@
 """HTML extraction by wrappers: union-free regular expressions inferred for each host.
 
-A page is a stream of tags and texts. Pages of a host are aligned one after the other: tags that both have stay, what only one has becomes
-an optional group, neighbouring equal groups become a repeated group, and texts become slots. The wrapper then tells which slots are the
-article's. Wrappers merge like sums: each partition aligns its own pages of a host, then the partial wrappers of a host are aligned, so a host
-with a third of all pages gives one row a partition. Every page takes part."""
+A page is a stream of text tokens; a token's label is the path of elements that it stands in and what it is: a text slot (#), a text that is
+mostly links (L), or a text that all pages of the host share (=, a constant). Neighbouring equal tokens, and groups of up to three that repeat,
+become repeated ones. The streams of a host are aligned one after the other: what both have becomes one column, what only some have an
+optional one. The columns then tell template from article: constants and link lists that all pages have are template, and the article is where the
+slots' text is. Tags and class words alone decide only for hosts of a page or two.
+
+Every page takes part, whatever a host's size: counts of texts and class words are sums by host and text, streams are aligned in the order of their
+text by host and salt, then the salts' wrappers, so the result doesn't depend on the order or the partitions of the pages."""
 
 from __future__ import annotations
 
@@ -13,16 +17,19 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import checkpoint, is_small, salted_lookup
+from seriesloom.llm.common import checkpoint, is_small, salted_lookup, worker_state
 
 #: Elements without an end tag; whose content is no text; that are part of a line; that hold boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg object canvas textarea select math audio video head title".split())
+RAW = frozenset("script style noscript template iframe svg object canvas textarea select math audio video title".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
-BOILERPLATE = frozenset("nav header footer aside form menu dialog button fieldset".split())
+BOILERPLATE = frozenset("nav header footer aside form menu dialog button fieldset head".split())
+#: Elements that are no step of a path, as every page may have or leave them, or as they hold a block of text.
+PLAIN = frozenset("html body p h1 h2 h3 h4 h5 h6 li dt dd tr td th tbody thead tfoot pre".split())
 #: Words of class, id and role that mark boilerplate, and that mark an article.
 BOILERPLATE_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget cookie cookies consent gdpr banner notice notices alert popup modal overlay share sharing social comment comments reply replies respond disqus related recommended newsletter subscribe subscription signup login search pagination pager toolbar contentinfo complementary".split())
 ARTICLE_WORDS = frozenset("article content post entry story main body text".split())
@@ -30,332 +37,462 @@ ARTICLE_WORDS = frozenset("article content post entry story main body text".spli
 IMPLIED_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements that an implied end doesn't look past.
 SCOPE = frozenset("article main section div table ul ol dl body html nav aside header footer form blockquote".split())
-#: Depth from which elements become siblings, and children from which a wrapper's level forgets their order.
-DEEPEST, WIDEST = 150, 48
+#: Pages from which a host's wrapper decides; part of its pages that must share a class word for it to be a step's mark; part of the pages of the hosts
+#: where a text occurs at all that must have it for it to be a host's template, and not a line that many articles share.
+WRAPPED_PAGES, MARK_SHARE, TEMPLATE_SHARE = 3, 0.1, 0.8
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|object|canvas|textarea|select|math|audio|video|title)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-zA-Z][^>]*+>",
     re.S | re.I,
 )
-_MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_MARK = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
-
-
-class Element:
-    __slots__ = ("tag", "marks", "children")
-
-    def __init__(self, tag: str, marks: str = "") -> None:
-        self.tag, self.marks, self.children = tag, marks, []
-
-    @property
-    def key(self) -> str:
-        return f"{self.tag}.{self.marks}" if self.marks else self.tag
-
-
-def parse(source: str) -> Element:
-    """A tolerant tree of elements and texts; comments and raw elements are left out."""
-    root = Element("#root")
-    stack = [root]
-    at = 0
-    for token in TOKEN.finditer(source):
-        if token.start() > at:
-            stack[-1].children.append(source[at : token.start()])
+_raw_ends = {name: re.compile(rf"<(/?){name}(?=[\s/>])[^>]*+(/?)>", re.I) for name in RAW}
+
+
+class Block:
+    """A block of text: its path (keys of the elements around it, outermost first), the text, its characters and those in links."""
+
+    __slots__ = ("path", "text", "chars", "linked")
+
+    def __init__(self, path: tuple[str, ...], text: str, chars: int, linked: int) -> None:
+        self.path, self.text, self.chars, self.linked = path, text, chars, linked
+
+
+def hash_of(text: str) -> int:
+    """A signed 64-bit hash."""
+    value = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return value - (1 << 64) if value >> 63 else value
+
+
+def words_of_attributes(attrs: str) -> set[str]:
+    return {w for m in _MARK.finditer(attrs) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())}
+
+
+def _raw_end(source: str, name: str, at: int, missing: set[str]) -> int:
+    """Where the raw element that began before `at` ends: after the end tag that matches it, or at once if there is none."""
+    if name in missing:
+        return at
+    depth = 1
+    for found in _raw_ends[name].finditer(source, at):
+        if found[1]:
+            depth -= 1
+            if not depth:
+                return found.end()
+        elif not found[0].endswith("/>") and name in ("svg", "object"):
+            depth += 1
+    missing.add(name)
+    return at
+
+
+def blocks_of(source: str, marks: frozenset[int] | None = None) -> Iterator[Block]:
+    """The blocks of text of a page outside of boilerplate elements, in order, however deep they are. marks: hashes of the class words that belong to
+    a path besides the fixed ones; None: all do."""
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, steps of the path, within boilerplate
+    path: list[str] = []
+    line: list[str] = []
+    open_tags: dict[str, int] = {}
+    missing: set[str] = set()
+    known_marks: dict[str, str] = {}
+    size = linked = links = at = 0
+
+    def flush() -> Iterator[Block]:
+        nonlocal size, linked
+        if line:
+            text = " ".join(html.unescape("".join(line)).split())
+            line.clear()
+            if text and not stack[-1][2]:
+                yield Block(tuple(path), text, size, linked)
+            size = linked = 0
+
+    def close(to: int) -> None:
+        nonlocal links
+        for tag, _, _ in stack[to:]:
+            open_tags[tag] -= 1
+            links -= tag == "a"
+        del stack[to:]
+        del path[stack[-1][1] :]
+
+    def add(text: str) -> None:
+        nonlocal size, linked
+        if not stack[-1][2]:
+            line.append(text)
+            n = len(text.strip())
+            size += n
+            linked += n * (links > 0)
+
+    while True:
+        token = TOKEN.search(source, at)
+        stop = token.start() if token else len(source)
+        if stop > at:
+            add(source[at:stop])
+        if token is None:
+            break
         at = token.end()
         name = token["name"]
         if not name:
             continue
         name = name.lower()
+        if name in RAW:
+            if not token["end"] and not token["attrs"].endswith("/"):
+                at = _raw_end(source, name, at, missing)
+            continue
+        inline = name in INLINE
         if token["end"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == name:
-                    del stack[i:]
-                    break
-                if name in INLINE and stack[i].tag not in INLINE:
-                    break
+            if open_tags.get(name):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i][0] == name:
+                        if not inline:
+                            yield from flush()
+                        close(i)
+                        break
+                    if inline and stack[i][0] not in INLINE:
+                        break
+            elif not inline:
+                yield from flush()
+            continue
+        if name == "br":
+            add(" ")
             continue
-        ends = IMPLIED_END.get(name) or (None if name in INLINE else {"p"})
-        if ends:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends:
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPE:
-                    break
-        marks = ""
-        if token["attrs"] and name not in INLINE:
-            words = {w for m in _MARK.finditer(token["attrs"]) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())}
-            marks = " ".join(sorted(words))
-        element = Element(name, marks)
-        stack[-1].children.append(element)
-        if name not in VOID and not token["attrs"].endswith("/") and len(stack) < DEEPEST:
-            stack.append(element)
-    if at < len(source):
-        stack[-1].children.append(source[at:])
-    return root
+        if not inline:
+            yield from flush()
+            ends = IMPLIED_END.get(name, {"p"})
+            if any(open_tags.get(e) for e in ends):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i][0] in ends:
+                        close(i)
+                        break
+                    if stack[i][0] in SCOPE:
+                        break
+        if name in VOID or token["attrs"].endswith("/"):
+            continue
+        if not inline:
+            key = ""
+            if token["attrs"]:
+                key = known_marks.get(token["attrs"])
+                if key is None:
+                    words = words_of_attributes(token["attrs"])
+                    if marks is not None:
+                        words = {w for w in words if w in BOILERPLATE_WORDS or w in ARTICLE_WORDS or hash_of(w) in marks}
+                    key = known_marks[token["attrs"]] = " ".join(sorted(words))
+            if name not in PLAIN or name not in ("html", "body") and not BOILERPLATE_WORDS.isdisjoint(key.split()):
+                path.append(f"{name}.{key}" if key else name)
+        open_tags[name] = open_tags.get(name, 0) + 1
+        links += name == "a"
+        stack.append((name, len(path), stack[-1][2] or name in BOILERPLATE))
+    yield from flush()
 
 
 # ---- wrappers -----------------------------------------------------------------------------------
-# [key, optional, repeated, children, characters of text, of them in links]; the key "#" is a text slot, "(" begins a group's
-
-SLOT = "#"
-
-
-def _wrapper(element: Element) -> list:
-    items: list[list] = []
-
-    def text(element: Element, linked: bool) -> tuple[int, int]:
-        size = links = 0
-        for c in element.children:
-            if isinstance(c, str):
-                n = len(c.strip())
-                size, links = size + n, links + n * linked
-            elif c.tag in INLINE:
-                n, k = text(c, linked or c.tag == "a")
-                size, links = size + n, links + k
-        return size, links
-
-    def add(size: int, links: int) -> None:
-        if size and items and items[-1][0] == SLOT:
-            items[-1][4] += size
-            items[-1][5] += links
-        elif size:
-            items.append([SLOT, False, False, [], size, links])
-
-    for c in element.children:
-        if isinstance(c, str):
-            add(len(c.strip()), 0)
-        elif c.tag in INLINE:
-            add(*text(c, c.tag == "a"))
-            items += [_wrapper(g) for g in c.children if not isinstance(g, str) and g.tag not in INLINE]
-        elif c.tag not in RAW:
-            items.append(_wrapper(c))
-    return [element.key, False, False, _fold(items), 0, 0]
-
-
-def _fold(items: list[list]) -> list[list]:
-    """Neighbouring equal items, or runs of up to three items, become one repeated item or group."""
-    for size in (1, 2, 3):
+# A column: [label, repeated, pages, blocks, characters, of them in links]
+
+SLOT, LINKS, CONSTANT = "#", "L", "="
+
+
+def label_of(block: Block, constants: frozenset[int]) -> str:
+    """Path and kind. A constant's label has its text's hash, so it is aligned with itself only."""
+    kind = LINKS if 2 * block.linked > block.chars else SLOT
+    if constants:
+        h = hash_of(block.text)
+        if h in constants:
+            kind = f"{CONSTANT}{h}"
+    return "/".join(block.path) + "|" + kind
+
+
+def folded(columns: list[list], sizes: tuple[int, ...] = (1, 2, 3)) -> tuple[list[list], list[int]]:
+    """A stream with repeated groups of up to three columns folded to one, and the folded column of each given one."""
+    place = list(range(len(columns)))
+    for size in sizes:
         out: list[list] = []
-        for item in items:
-            out.append(item)
-            while len(out) >= 2 * size and [x[0] for x in out[-size:]] == [x[0] for x in out[-2 * size : -size]]:
-                last = out[-size:]
+        moved: list[int] = []
+        for column in columns:
+            out.append(column)
+            moved.append(len(out) - 1)
+            if len(out) >= 2 * size and all(out[-size + k][0] == out[-2 * size + k][0] for k in range(size)):
+                again = out[-size:]
                 del out[-size:]
-                for i, x in enumerate(last):
-                    out[i - size] = _merge(out[i - size], x)
-                if size == 1:
-                    out[-1][2] = out[-1][0] != SLOT
-                else:
-                    body = out[-size:]
-                    del out[-size:]
-                    out.append(["(" + " ".join(x[0] for x in body) + ")", False, True, body, 0, 0])
-                    break
-            if size > 1 and len(out) >= 1 + size and out[-1][0][0] != "(":
-                group = out[-1 - size]
-                if group[0][0] == "(" and [x[0] for x in group[3]] == [x[0] for x in out[-size:]]:
-                    group[3] = [_merge(a, b) for a, b in zip(group[3], out[-size:])]
-                    del out[-size:]
-        items = out
-    return items
-
-
-def _merge(a: list, b: list) -> list:
-    return [a[0], a[1] or b[1], a[2] or b[2], _align(a[3], b[3]), a[4] + b[4], a[5] + b[5]]
-
-
-def _align(a: list[list], b: list[list]) -> list[list]:
-    """Matches two item lists in order; items of one only are optional."""
-    if not a or not b:
-        return [[k, True, *rest] for k, _, *rest in a or b]
-    ka, kb = [x[0] for x in a], [x[0] for x in b]
-    if ka == kb:
-        return [_merge(x, y) for x, y in zip(a, b)]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if ka[i] == kb[j] else max(best[i + 1][j], best[i][j + 1])
+                for k, c in enumerate(again):
+                    out[k - size] = _sum(out[k - size], c, True)
+                for k in range(size):
+                    moved[len(moved) - size + k] -= size
+        columns, place = out, [moved[p] for p in place]
+    return columns, place
+
+
+def _sum(a: list, b: list, within: bool = False) -> list:
+    """Two equal columns as one: of one page (`within`: repeated), or of different pages."""
+    return [a[0], within or a[1] or b[1], max(a[2], b[2]) if within else a[2] + b[2], a[3] + b[3], a[4] + b[4], a[5] + b[5]]
+
+
+def matched(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """The longest common subsequence of two label streams, as index pairs."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    n, m = len(a) - head - tail, len(b) - head - tail
+    out = [(i, i) for i in range(head)]
+    if n and m:
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n - 1, -1, -1):
+            row, below, label = best[i], best[i + 1], a[head + i]
+            for j in range(m - 1, -1, -1):
+                row[j] = below[j + 1] + 1 if label == b[head + j] else max(below[j], row[j + 1])
+        i = j = 0
+        while i < n and j < m:
+            if a[head + i] == b[head + j]:
+                out.append((head + i, head + j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+    return out + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+
+
+def aligned(a: list[list], b: list[list]) -> list[list]:
+    """One wrapper of two: columns of both are added up, columns of one only stand between them (a's first)."""
+    out: list[list] = []
     i = j = 0
-    out = []
-    while i < n or j < m:
-        if i < n and j < m and ka[i] == kb[j]:
-            out.append(_merge(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append([a[i][0], True, *a[i][2:]])
-            i += 1
-        else:
-            out.append([b[j][0], True, *b[j][2:]])
-            j += 1
-    out = _fold(out)
-    if len(out) > WIDEST:  # order is forgotten: each key once, optional and repeated
-        known: dict[str, list] = {}
-        for x in (y for x in out for y in (x[3] if x[0][0] == "(" else [x])):
-            known[x[0]] = _merge(known[x[0]], x) if x[0] in known else x
-        if len(known) > WIDEST:  # marks that differ from page to page are forgotten too
-            plain: dict[str, list] = {}
-            for x in known.values():
-                key = x[0].split(".")[0]
-                x = [key, *x[1:]]
-                plain[key] = _merge(plain[key], x) if key in plain else x
-            known = plain
-        out = [[k, True, k != SLOT, *x[3:]] for k, x in sorted(known.items())]
+    for x, y in [*matched([c[0] for c in a], [c[0] for c in b]), (len(a), len(b))]:
+        out += a[i:x] + b[j:y]
+        if x < len(a):
+            out.append(_sum(a[x], b[y]))
+        i, j = x + 1, y + 1
     return out
 
 
-def wrapper(source: str) -> list:
-    return _wrapper(parse(source))
+def stream(page: list[Block], constants: frozenset[int] = frozenset()) -> tuple[list[list], list[int]]:
+    """A page's folded columns, and the column of each block."""
+    return folded([[label_of(b, constants), False, 1, 1, b.chars, b.linked] for b in page])
+
+
+def as_expression(columns: list[list], pages: int) -> str:
+    """The wrapper as a regular expression over labelled texts."""
+    return " ".join(f"({c[0]})" + ("*" if c[1] and c[2] < pages else "+" if c[1] else "?" if c[2] < pages else "") for c in columns)
+
+
+def _path(label: str) -> tuple[str, ...]:
+    path = label.rpartition("|")[0]
+    return tuple(path.split("/")) if path else ()
+
+
+def _marks(key: str) -> list[str]:
+    return key.partition(".")[2].split()
+
+
+def kept_columns(columns: list[list], pages: int) -> list[bool]:
+    """Which columns of a wrapper hold the article."""
+    paths = [_path(c[0]) for c in columns]
+    kinds = [c[0].rpartition("|")[2][0] for c in columns]
+    mass = [c[4] - c[5] if k == SLOT else 0 for c, k in zip(columns, kinds)]
+    total = sum(mass)
+
+    def flagged(path: tuple[str, ...], spared: tuple[str, ...]) -> int:
+        """Steps down to the first element that class words mark as boilerplate; 0: none."""
+        for i, key in enumerate(path, 1):
+            if key.partition(".")[0] not in ("article", "main") and path[:i] != spared and not BOILERPLATE_WORDS.isdisjoint(_marks(key)):
+                return i
+        return 0
+
+    spared: tuple[str, ...] = ("",)
+    marked = [flagged(p, spared) for p in paths]
+    clean = [0 if f else m for m, f in zip(mass, marked)]
+    while 5 * sum(clean) < total:  # nearly all text is in marked elements: the largest of them is the article's
+        by: dict[tuple[str, ...], int] = {}
+        for p, m, f in zip(paths, mass, marked):
+            if f:
+                by[p[:f]] = by.get(p[:f], 0) + m
+        most = max(sorted(by), key=by.__getitem__)
+        if 2 * by[most] < total or most == spared:
+            break
+        spared = most
+        marked = [flagged(p, spared) for p in paths]
+        clean = [0 if f else m for m, f in zip(mass, marked)]
+    constant = sum(c[4] for c, k, f in zip(columns, kinds, marked) if k == CONSTANT and not f)
+    copies = constant > sum(clean)  # pages that are copies of each other, not a template around different texts
+    if copies:
+        clean = [m if f or k != CONSTANT else c[4] for m, f, k, c in zip(clean, marked, kinds, columns)]
+    region = _region(paths, clean, columns, pages)
+    out = []
+    for c, p, k, f in zip(columns, paths, kinds, marked):
+        inside = not f and any(p[: len(r)] == r for r in region)
+        listed = k == LINKS and c[1] and (10 * c[2] >= 9 * pages if pages >= WRAPPED_PAGES else region == [()])
+        out.append(inside and not listed and (k != CONSTANT or copies))
+    return out
 
 
-def as_expression(w: list) -> str:
-    """The wrapper as a regular expression over tags and text slots."""
-    inner = " ".join(as_expression(x) for x in w[3])
-    body = "#text" if w[0] == SLOT else f"({inner})" if w[0][0] == "(" else f"<{w[0]}> {inner} </{w[0].split('.')[0]}>"
-    return (f"({body})+" if w[2] and w[0][0] != "(" else body + "+" * w[2]) if not w[1] else f"({body}){'*' if w[2] else '?'}"
+def _region(paths: list[tuple[str, ...]], mass: list[int], columns: list[list], pages: int) -> list[tuple[str, ...]]:
+    """Paths of the elements of the article: down from the root as long as one element has most of the text, and nothing that most pages
+    have stands beside it. For a host of a page or two, article and main elements and class words come first."""
+    total = sum(mass)
+    if pages < WRAPPED_PAGES:
+        for rule in (lambda k: k.partition(".")[0] == "article", lambda k: k.partition(".")[0] == "main" or "main" in _marks(k), lambda k: not ARTICLE_WORDS.isdisjoint(_marks(k))):
+            found: dict[tuple[str, ...], int] = {}
+            for p, m in zip(paths, mass):
+                for i, key in enumerate(p, 1):
+                    if rule(key):
+                        found[p[:i]] = found.get(p[:i], 0) + m
+                        break
+            found = {p: m for p, m in found.items() if m}
+            if found and 2 * sum(found.values()) >= total:
+                return sorted(found)
+    node: tuple[str, ...] = ()
+    while True:
+        direct = sum(c[2] for p, m, c in zip(paths, mass, columns) if p == node and m)
+        below: dict[tuple[str, ...], int] = {}
+        for p, m in zip(paths, mass):
+            if len(p) > len(node) and p[: len(node)] == node:
+                below[p[: len(node) + 1]] = below.get(p[: len(node) + 1], 0) + m
+        most = max(sorted(below), key=below.__getitem__, default=None)
+        if most is None or 2 * direct >= pages or 2 * below[most] < total:
+            return [node]
+        node = most
+
+
+def extract(source: str, wrapper: tuple[list[str], list[bool]] | None, constants: frozenset[int] = frozenset(), marks: frozenset[int] | None = None) -> str:
+    """The article's text, a block a line: the blocks whose tokens align with columns that the wrapper (labels, kept) keeps. Without a wrapper, or
+    if that leaves nothing, the page is its own wrapper."""
+    page = list(blocks_of(source, marks))
+    if wrapper is not None:
+        columns, place = stream(page, constants)
+        keep = [False] * len(columns)
+        for i, j in matched([c[0] for c in columns], wrapper[0]):
+            keep[i] = wrapper[1][j]
+        if any(keep):
+            return "\n".join(b.text for b, k in zip(page, place) if keep[k])
+    columns, place = stream(page)
+    keep = kept_columns(columns, 1)
+    return "\n".join(b.text for b, k in zip(page, place) if keep[k])
 
 
-def is_boilerplate(key: str) -> bool:
-    tag, _, marks = key.partition(".")
-    return tag in BOILERPLATE or tag not in ("html", "body", "article", "main") and not BOILERPLATE_WORDS.isdisjoint(marks.split())
+# ---- the operator -------------------------------------------------------------------------------
 
+#: Entries that a task adds up before it passes them on; parts in which a host's streams are aligned first.
+HELD, SALTS = 200_000, 16
 
-def main_paths(w: list) -> list[str]:
-    """Paths (keys joined by /) of the elements that hold the article: article elements, else main, else what is marked as content, else the
-    smallest element that holds most of the text; never within boilerplate."""
-    found: list[tuple[str, str, int, int]] = []  # path, key, characters, characters in links
 
-    def walk(w: list, path: str) -> tuple[int, int]:
-        size, links = w[4], w[5]
-        for x in w[3]:
-            if x[0][0] == "(":
-                n, k = walk(x, path)
-            elif x[0] == SLOT:
-                n, k = x[4], x[5]
-            elif is_boilerplate(x[0]):
-                continue
-            else:
-                here = f"{path}/{x[0]}"
-                n, k = walk(x, here)
-                found.append((here, x[0], n, k))
-            size, links = size + n, links + k
-        return size, links
-
-    total, _ = walk(w, "")
-    for rule in (lambda key: key.split(".")[0] == "article", lambda key: key.split(".")[0] == "main" or "main" in key.partition(".")[2].split()):
-        paths = [p for p, key, n, _ in found if rule(key) and n]
-        if paths:
-            return sorted({p for p in paths if not any(p != q and p.startswith(q + "/") for q in paths)})
-    content = [(n, p) for p, key, n, _ in found if n and 2 * n >= total and not ARTICLE_WORDS.isdisjoint(key.partition(".")[2].split())]
-    if content:
-        return [min(content, key=lambda x: (-len(x[1]), x[1]))[1]]
-    most = [(p, n) for p, _, n, k in found if 10 * n >= 7 * total and 2 * k <= n and n]
-    return [max(most, key=lambda x: (x[0].count("/"), x[1]))[0]] if most else [""]
-
-
-def _blocks(element: Element, out: list[str], line: list[str]) -> None:
-    for c in element.children:
-        if isinstance(c, str):
-            line.append(c)
-        elif c.tag == "br":
-            line.append(" ")
-        elif c.tag in INLINE:
-            _blocks(c, out, line)
-        elif c.tag in RAW or is_boilerplate(c.key):
-            _flush(out, line)
-        else:
-            _flush(out, line)
-            _blocks(c, out, line)
-            _flush(out, line)
-
-
-def _flush(out: list[str], line: list[str]) -> None:
-    text = " ".join(html.unescape("".join(line)).split())
-    line.clear()
-    if text:
-        out.append(text)
-
-
-def extract(source: str, paths: list[str]) -> str:
-    """The text under the given paths, a block a line; where the page has none of them, under the paths of its own wrapper."""
-    root = parse(source)
-    wanted = set(paths)
-
-    def find(element: Element, path: str, out: list[Element]) -> None:
-        for c in element.children:
-            if isinstance(c, str) or c.tag in RAW or is_boilerplate(c.key):
-                continue
-            here = path if c.tag in INLINE else f"{path}/{c.key}"
-            if here in wanted and c.tag not in INLINE:
-                out.append(c)
-            else:
-                find(c, here, out)
-
-    found: list[Element] = [root] if "" in wanted else []
-    if not found:
-        find(root, "", found)
-    if not found:
-        wanted = set(main_paths(_wrapper(root)))
-        if "" in wanted:
-            found = [root]
-        else:
-            find(root, "", found)
-    out: list[str] = []
-    for element in found:
-        _blocks(element, out, line := [])
-        _flush(out, line)
-    return "\n".join(out)
+def host_of(url: object):
+    return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-# ---- the operator -------------------------------------------------------------------------------
+def host_constants(pages: DataFrame) -> DataFrame:
+    """host, pages, constants (hashes of the texts that all its pages have, if it has WRAPPED_PAGES or more and the text isn't common elsewhere), marks (hashes of the class words that at
+    least MARK_SHARE of its pages have): one row a host of pages(host, html)."""
 
-#: Hosts whose wrappers a task holds before it passes them on.
-HELD_HOSTS = 5_000
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("html")
+        held: dict[tuple[str, int, int], int] = {}
 
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*held)) or [(), (), ()]
+            types = (pa.string(), pa.int32(), pa.int64())
+            batch = pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types)), pa.array(held.values(), pa.int64())], names=["host", "kind", "h", "n"])
+            held.clear()
+            return batch
 
-def host_of(url: object):
-    return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
+        for batch in batches:
+            for host, source in zip(batch.column(0).to_pylist(), batch.column(1)):
+                source = source.as_py() or ""
+                found = {(host, 0, 0)}
+                found.update((host, 1, hash_of(b.text)) for b in blocks_of(source, frozenset()))
+                found.update((host, 2, hash_of(w)) for t in set(re.findall(r"<[a-zA-Z][^<>]*(?:class|id|role)\s*=[^<>]*>", source)) for w in words_of_attributes(t))
+                for key in found:
+                    held[key] = held.get(key, 0) + 1
+                if len(held) >= HELD:
+                    yield out()
+        yield out()
+
+    counts = pages.select("host", "html").mapInArrow(run, "host string, kind int, h long, n long")
+    counts = checkpoint(counts.groupBy("host", "kind", "h").agg(F.sum("n").alias("n")))
+    hosts = checkpoint(counts.filter("kind = 0").select("host", F.col("n").alias("pages")))
+    rest = salted_lookup(counts.filter("kind > 0"), hosts, "host", is_small(hosts, 50_000), spread=F.col("h"))
+    texts = rest.filter((F.col("kind") == 1) & (F.col("pages") >= WRAPPED_PAGES))
+    everywhere = checkpoint(texts.filter(F.col("n") == F.col("pages")))
+    found = everywhere.select("h").distinct()
+    common = texts.join(F.broadcast(found) if is_small(everywhere) else found.hint("merge"), "h", "left_semi")
+    common = common.groupBy("h").agg(F.sum("n").alias("on"), F.sum("pages").alias("of")).filter(F.col("on") < F.col("of") * TEMPLATE_SHARE)
+    everywhere = everywhere.join(common.select("h"), "h", "left_anti").select("host", "kind", "h")
+    rest = everywhere.unionByName(rest.filter((F.col("kind") == 2) & (F.col("n") >= F.col("pages") * MARK_SHARE)).select("host", "kind", "h"))
+    # bounded: a constant is on the host's shortest page, and a page has a bounded share of frequent class words
+    lists = rest.groupBy("host").agg(*(F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.col("h")))).alias(name) for k, name in ((1, "constants"), (2, "marks"))))
+    none = F.array().cast("array<long>")
+    return hosts.join(lists, "host", "left").select("host", "pages", F.coalesce("constants", none).alias("constants"), F.coalesce("marks", none).alias("marks"))
 
 
 def host_wrappers(pages: DataFrame) -> DataFrame:
-    """host, pages, wrapper (JSON), expression: one row a host of pages(url, html)."""
-    schema = "host string, pages long, wrapper string"
+    """host, columns (JSON), n (pages): one wrapper a host. pages(host, html, pages, constants, marks); hosts of fewer than WRAPPED_PAGES pages have none."""
+
+    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("html")
+        held: dict[tuple[str, str], list] = {}
 
-    def batch_of(rows: list[tuple[str, int, str]]) -> pa.RecordBatch:
-        columns = list(zip(*rows)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], names=["host", "pages", "wrapper"])
+        def out() -> pa.RecordBatch:
+            keys = list(zip(*held)) or [(), ()]
+            salt = [hash_of(s) % SALTS for s in keys[1]]
+            sums = list(zip(*((n, json.dumps(c, separators=(",", ":"))) for n, c in held.values()))) or [(), ()]
+            batch = pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), pa.array(salt, pa.int32()), pa.array(keys[1], pa.string()), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.string())], names=["host", "salt", "labels", "n", "columns"])
+            held.clear()
+            return batch
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
         for batch in batches:
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1)):
-                w = wrapper(source.as_py() or "")
-                if host in held:
-                    held[host][0] += 1
-                    held[host][1] = _merge(held[host][1], w)
+            sets: dict[tuple, tuple[frozenset[int], frozenset[int]]] = {}
+            for host, source, constants, marks in zip(*(c.to_pylist() for c in batch.columns)):
+                if host not in sets:
+                    sets[host] = frozenset(constants), frozenset(marks)
+                constants, marks = sets[host]
+                columns, _ = stream(list(blocks_of(source or "", marks)), constants)
+                key = host, "\n".join(f"{c[0]}{'+' * c[1]}" for c in columns)
+                if key in held:
+                    held[key] = [held[key][0] + 1, [_sum(a, b) for a, b in zip(held[key][1], columns)]]
                 else:
-                    if len(held) >= HELD_HOSTS:
-                        yield batch_of([(h, n, json.dumps(x, separators=(",", ":"))) for h, (n, x) in held.items()])
-                        held.clear()
-                    held[host] = [1, w]
-        yield batch_of([(h, n, json.dumps(x, separators=(",", ":"))) for h, (n, x) in held.items()])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n, held = None, 0, None
-        for batch in batches:
-            for host, k, source in zip(*(c.to_pylist() for c in batch.columns)):
-                if held is not None and host != key:
-                    yield batch_of([(key, n, json.dumps(held, separators=(",", ":")))])
-                    n, held = 0, None
-                w = json.loads(source)
-                key, n, held = host, n + k, w if held is None else _merge(held, w)
-        if held is not None:
-            yield batch_of([(key, n, json.dumps(held, separators=(",", ":")))])
-
-    rows = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(local, schema)
-    return rows.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(merge, schema)
+                    held[key] = [1, columns]
+                    if len(held) >= 5_000:
+                        yield out()
+        yield out()
+
+    def merge(by: int):
+        """Aligns the rows of equal first `by` columns in their order; equal streams are added up first."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, n, held, same, last = None, 0, [], None, None
+
+            def settle() -> None:
+                nonlocal held, same
+                if same is not None:
+                    held = aligned(held, same) if held else same
+                same = None
+
+            def row() -> pa.RecordBatch:
+                settle()
+                return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1] if by == 2 else 0], pa.int32()), pa.array([""]), pa.array([n]), pa.array([json.dumps(held, separators=(",", ":"))])], names=["host", "salt", "labels", "n", "columns"])
+
+            for batch in batches:
+                for host, salt, labels, k, columns in zip(*(c.to_pylist() for c in batch.columns)):
+                    now = (host, salt)[:by]
+                    if key is not None and now != key:
+                        yield row()
+                        n, held, same = 0, [], None
+                    columns = json.loads(columns)
+                    if same is not None and now == key and labels == last and labels:
+                        same = [_sum(a, b) for a, b in zip(same, columns)]
+                    else:
+                        settle()
+                        same = columns
+                    key, last, n = now, labels, n + k
+            if key is not None:
+                yield row()
+
+        return run
+
+    schema = "host string, salt int, labels string, n long, columns string"
+    many = pages.filter(F.col("pages") >= WRAPPED_PAGES).select("host", "html", "constants", "marks")
+    parts = many.mapInArrow(streams, schema).repartition("host", "salt").sortWithinPartitions("host", "salt", "labels").mapInArrow(merge(2), schema)
+    return parts.repartition("host").sortWithinPartitions("host", "salt").mapInArrow(merge(1), schema).select("host", "n", "columns")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -364,28 +501,37 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     Null or empty html, and pages without an article, give the empty text. Pages with a null or odd url share the host "". Character references are
     decoded; white space within a block is one space. Equal pages of a host give equal texts; repeated rows are extracted alike; an empty table
     gives no rows; other columns are ignored."""
+    kind = pages.schema["page_id"].dataType.simpleString()
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
+    hosts = checkpoint(host_constants(rows))
+    small = is_small(hosts, 50_000)
 
-    def article(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, sources = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            paths = [json.dumps(main_paths(json.loads(s))) for s in sources]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string())], names=["host", "paths"])
+            plans = []
+            for n, columns in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                columns = json.loads(columns)
+                plans.append(json.dumps([[c[0] for c in columns], kept_columns(columns, n)], separators=(",", ":")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(plans, pa.string())], names=["host", "plan"])
 
-    plans = checkpoint(host_wrappers(pages).mapInArrow(article, "host string, paths string"))
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
-    rows = salted_lookup(rows, plans, "host", is_small(plans, 50_000), spread=F.col("page_id"))
-    kind = pages.schema["page_id"].dataType.simpleString()
+    wrappers = host_wrappers(salted_lookup(rows, hosts, "host", small, spread=F.col("page_id")))
+    plans = checkpoint(hosts.join(wrappers.mapInArrow(kept, "host string, plan string"), "host", "left").drop("pages"))
+    rows = salted_lookup(rows, plans, "host", small, spread=F.col("page_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[str]] = {}
+        worker_state("html")
+        known: dict[str, tuple] = {}
         for batch in batches:
             texts = []
-            for source, paths in zip(batch.column(2), batch.column(4).to_pylist()):
-                if paths not in known:
-                    if len(known) > 10_000:
+            hosts_, lists = batch.column(3).to_pylist(), [batch.column(k) for k in (4, 5, 6)]
+            for i, source in enumerate(batch.column(2)):
+                host = hosts_[i]
+                if host not in known:
+                    if len(known) > 5_000:
                         known.clear()
-                    known[paths] = json.loads(paths or "[]")
-                texts.append(extract(source.as_py() or "", known[paths]))
+                    constants, marks, plan = (c[i].as_py() for c in lists)
+                    known[host] = json.loads(plan) if plan else None, frozenset(constants), frozenset(marks) if plan else None
+                texts.append(extract(source.as_py() or "", *known[host]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(texts, pa.string())], names=["page_id", "url", "host", "text"])
 
-    return rows.select("page_id", "url", "html", "host", "paths").mapInArrow(run, f"page_id {kind}, url string, host string, text string")
+    return rows.select("page_id", "url", "html", "host", "constants", "marks", "plan").mapInArrow(run, f"page_id {kind}, url string, host string, text string")

@@ -10,6 +10,8 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import regex
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from seriesloom.llm import bpe as B
@@ -283,12 +285,87 @@ def test_html(spark):
     assert H.extract_pages(table.limit(0)).collect() == []
 
 
-def test_wrapper_expression():
-    a = H.wrapper("<ul><li>x</li><li>y</li></ul><p>t</p>")
-    b = H.wrapper("<ul><li>x</li></ul><div>n</div><p>t</p><p>u</p>")
-    assert H.as_expression(H._merge(a, b)) == "<#root> <ul> (<li> #text </li>)+ </ul> (<div> #text </div>)? (<p> #text </p>)+ </#root>"
-    groups = H.wrapper("<h2>a</h2><p>b</p><h2>c</h2><p>d</p><h2>e</h2><p>f</p>")
-    assert H.as_expression(groups) == "<#root> (<h2> #text </h2> <p> #text </p>)+ </#root>"
+def texts_of(source):
+    return [b.text for b in H.blocks_of(source)]
+
+
+def test_streams_fold_and_align():
+    one = "<ul><li><a>x</a></li><li><a>y</a></li></ul><div id=a>t<p>u<blockquote>q</blockquote>v<blockquote>r</blockquote></div>"
+    a, place = H.stream(list(H.blocks_of(one)))
+    assert H.as_expression(a, 1) == "(ul|L)+ (div.a|#)+ (div.a/blockquote|#)+" and place == [0, 0, 1, 1, 2, 1, 2]
+    b, _ = H.stream(list(H.blocks_of("<ul><li><a>x</a></li></ul><div class=ad>n</div><div id=a>t</div>")))
+    both = H.aligned(a, b)
+    assert H.as_expression(both, 2) == "(ul|L)+ (div.ad|#)? (div.a|#)+ (div.a/blockquote|#)*"
+    assert [c[2:4] for c in both] == [[2, 3], [1, 1], [2, 4], [1, 2]]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abc", max_size=7), st.text("abc", max_size=7))
+def test_alignment_is_longest(a, b):
+    pairs = H.matched(list(a), list(b))
+    assert all(a[i] == b[j] for i, j in pairs) and pairs == sorted(pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+
+    def longest(x, y):
+        return 0 if not x or not y else max(1 + longest(x[1:], y[1:]) if x[0] == y[0] else 0, longest(x[1:], y), longest(x, y[1:]))
+
+    assert len(pairs) == longest(a, b)
+    columns = [[[c, False, 1, 1, 1, 0] for c in t] for t in (a, b)]
+    out = H.aligned(*columns)
+    assert len(out) == len(a) + len(b) - len(pairs) and sum(c[3] for c in out) == len(a) + len(b)
+
+
+def test_raw_elements_and_depth():
+    assert texts_of("<p>a<svg/>b<object>c<p>d") == ["abc", "d"]
+    assert texts_of("<svg><svg>x</svg>y</svg><p>z") == ["z"]
+    assert texts_of("<select-box>kept</select-box><select><option>gone</select >end") == ["kept", "end"]
+    assert texts_of("<script>a</scripty></script>b<ScRipt/>c<style>d") == ["bcd"]
+    deep = "<div>" * 1000 + "<nav>" * 1000 + "menu" + "</nav>" * 1000 + "text" + "</div>" * 1000 + "<i>" * 5000 + "tail"
+    assert texts_of(deep) == ["text", "tail"]
+    assert H.extract(deep, None) == "text\ntail"
+    wide = "".join(f'<div class="k{chr(97 + i % 26)}{chr(97 + i // 26)}">t{i}</div>' for i in range(300))
+    assert H.extract(wide, None).count("\n") == 299
+
+
+def test_class_words_need_the_wrapper():
+    assert H.extract('<article><div class="main-content related-links-enabled">body text</div></article>', None) == "body text"
+    assert H.extract('<h1>T</h1><div class="promo-free"><p>a long body text</p><p>and more</p></div>', None).endswith("a long body text\nand more")
+    assert H.extract('<article><p>a body of some length</p><div class="comments">c</div></article>', None) == "a body of some length"
+
+
+def untold(i, k):
+    """A page without telling elements or classes."""
+    menu = "".join(f"<div><a href=/{j}>menu {j}</a></div>" for j in range(4))
+    body = "".join(f"<p>Host {k} page {i} paragraph {j} says something of its own.</p>" for j in range(2 + i % 3))
+    extra = f"<div id=x{i}><span><a>also {i}</a></span></div>" if i % 2 else ""
+    return f"<html><body><div>{menu}</div><div class=q><h2>Title {i} of {k}</h2>{body}<p>Subscribe to host {k} now.</p>{extra}<p>Copyright of host {k}.</p></div><div class=z>All rights reserved by {k}.</div></body></html>"
+
+
+def wanted(i, k):
+    return "\n".join([f"Title {i} of {k}", *(f"Host {k} page {i} paragraph {j} says something of its own." for j in range(2 + i % 3)), *([f"also {i}"] if i % 2 else [])])
+
+
+def test_host_wrapper_decides(spark):
+    pages = [(100 * k + i, f"http://h{k}.example.org/{i}", untold(i, k)) for k in range(3) for i in range(6)]
+    random.Random(4).shuffle(pages)
+    out = {}
+    for turn, parts in enumerate((1, 5)):
+        table = spark.createDataFrame(pages[::-1] if turn else pages, "page_id long, url string, html string").repartition(parts)
+        out[turn] = {r.page_id: r.text for r in H.extract_pages(table).collect()}
+    assert out[0] == out[1] == {100 * k + i: wanted(i, k) for k in range(3) for i in range(6)}
+    alone = H.extract(untold(1, 0), None)
+    assert "Subscribe" in alone and "Copyright" in alone  # one page can't tell
+
+
+def test_common_lines_and_copies_are_no_template(spark):
+    pages = []
+    for k in range(4):
+        for i in range(5):
+            line = "<p>A line that many articles have.</p>" if k == 0 or i == 1 else ""
+            pages.append((100 * k + i, f"http://h{k}.example.org/{i}", f"<div><p>Own text {k} {i} goes on for a while.</p>{line}</div>"))
+    pages += [(900 + i, "http://copy.example.org/", "<div><p>One article.</p><p>Of two blocks.</p></div>") for i in range(4)]
+    got = {r.page_id: r.text for r in H.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[0] == "Own text 0 0 goes on for a while.\nA line that many articles have." and got[301].endswith("have.")
+    assert got[900] == "One article.\nOf two blocks."
 
 
 def test_piece_borders(monkeypatch):

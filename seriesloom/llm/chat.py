@@ -1,9 +1,10 @@
 """Chat formatting by incremental black-box rendering.
 
 The template is any function from messages to text. Every prefix of a conversation's turns is rendered; where an output goes on from the one
-before, what was added is the turn's span. The text within a span is found by rendering the turn with two other texts: what stays the same
-before and after is the template's. Where an output doesn't begin with the one before it, the template rewrites history, and the conversation
-has no reliable mask."""
+before, what was added is the turn's span. The text within a span is found by rendering every turn with a probe text too: what stands before
+and after the probe is the template's, for this turn and no other. The actual span must begin and end alike, and what is between must read
+back as the turn's text. Where an output doesn't begin with the one before it, the template rewrites history; where a turn doesn't pass these
+tests, the template alters texts (trims, repeats or drops them). Such a conversation has no reliable mask, and is reported."""
 
 from __future__ import annotations
 
@@ -61,42 +62,51 @@ class MarkedTurns:
 
 @dataclass
 class Rendered:
-    """Output, span of each turn, span of its text, and the first turn at which an earlier output changed (-1: none)."""
+    """Output, span of each turn, span of its text, the first turn at which an earlier output changed and the first whose text isn't found in its span
+    as it is (-1: none)."""
 
     text: str
     turns: list[tuple[int, int]]
     texts: list[tuple[int, int]]
     rewritten: int
+    altered: int = -1
 
 
-def locate(template: Template, messages: list[Message]) -> Rendered:
-    before, turns, texts, rewritten = template([]), [], [], -1
-    probes: dict[tuple, tuple[int, int]] = {}
+#: Fixed value: the text that a turn is probed with; private characters between spaces, so that trimming shows.
+PROBE = " \ue0f3probe\ue0f4 "
+
+
+def locate(template: Template, messages: list[Message], restore: Callable[[str], str] = lambda text: text) -> Rendered:
+    """Renders every prefix, and every prefix with the probe as its last text. restore undoes the template's escapes."""
+    before, turns, texts, rewritten, altered = template([]), [], [], -1, -1
     prefix: list[Message] = []
     for i, message in enumerate(messages):
         prefix.append(message)
         now = template(prefix)
-        if not now.startswith(before):
+        start = len(before) if now.startswith(before) else len(os.path.commonprefix([before, now]))
+        span = None
+        if start < len(before):
             rewritten = i if rewritten < 0 else rewritten
-            turns.append((len(os.path.commonprefix([before, now])), len(now)))
-            texts.append((0, 0))
         else:
-            start = len(before)
-            known = (message["role"], i == 0)
-            if known not in probes:
-                probes[known] = _around(template, prefix, start)
-            head, tail = probes[known]
-            turns.append((start, len(now)))
-            texts.append((start + head, len(now) - tail))
+            span = _text_span(template, prefix, now, start, restore)
+            altered = i if span is None and altered < 0 else altered
+        turns.append((start, len(now)))
+        texts.append(span or (0, 0))
         before = now
-    return Rendered(before, turns, texts, rewritten)
+    return Rendered(before, turns, texts, rewritten, altered)
 
 
-def _around(template: Template, prefix: list[Message], start: int) -> tuple[int, int]:
-    """Characters that the template puts before and after the last turn's text."""
-    one, two = (template([*prefix[:-1], prefix[-1] | {"text": t}])[start:] for t in ("A", "ZZ"))
-    head = len(os.path.commonprefix([one, two]))
-    return head, len(one) - head - 1
+def _text_span(template: Template, prefix: list[Message], now: str, start: int, restore: Callable[[str], str]) -> tuple[int, int] | None:
+    """Where the last turn's text is in the output, which the turn's own part begins at `start`; None if the template doesn't keep it."""
+    probed = template([*prefix[:-1], prefix[-1] | {"text": PROBE}])
+    at = probed.find(PROBE, start)
+    if at < 0 or not probed.startswith(now[:start]) or probed.find(PROBE.strip(), at + len(PROBE)) >= 0:
+        return None
+    tail = len(probed) - at - len(PROBE)
+    last = len(now) - tail
+    if last < at or now[start:at] != probed[start:at] or now[last:] != probed[at + len(PROBE) :] or restore(now[at:last]) != prefix[-1]["text"]:
+        return None
+    return at, last
 
 
 def read_back(rendered: Rendered) -> list[Message]:
@@ -108,9 +118,10 @@ def read_back(rendered: Rendered) -> list[Message]:
     return out
 
 
-def format_chats(conversations: DataFrame, template: Callable[[], Template] = MarkedTurns, learned: tuple[str, ...] = ("assistant",)) -> DataFrame:
+def format_chats(conversations: DataFrame, template: Callable[[], Template] = MarkedTurns, learned: tuple[str, ...] = ("assistant",), restore: Callable[[str], str] = unescape) -> DataFrame:
     """One row a conversation: conv_id, formatted, turn_spans, text_spans (start and end in code points), roles, loss_spans (the texts of the
-    learned roles), rewritten (first turn that changed earlier output; -1: none. loss_spans is then empty).
+    learned roles), rewritten (first turn that changed earlier output; -1: none), altered (first turn whose text the template changes beyond what
+    restore undoes; -1: none). With either of them loss_spans is empty.
 
     Turns are taken by turn, then role and text; repeated rows are repeated turns. Null texts and roles are empty; a null conv_id is a
     conversation, and a null turn comes first. An empty table gives no rows; other columns are ignored. Turns are sorted by the shuffle,
@@ -123,17 +134,17 @@ def format_chats(conversations: DataFrame, template: Callable[[], Template] = Ma
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = template()
         pairs = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-        types = {"formatted": pa.string(), "turn_spans": pairs, "text_spans": pairs, "roles": pa.list_(pa.string()), "loss_spans": pairs, "rewritten": pa.int32()}
+        types = {"formatted": pa.string(), "turn_spans": pairs, "text_spans": pairs, "roles": pa.list_(pa.string()), "loss_spans": pairs, "rewritten": pa.int32(), "altered": pa.int32()}
         ids: list = []
         out: dict[str, list] = {k: [] for k in types}
         held = 0
 
         def add(conv: object, messages: list[Message]) -> int:
-            r = locate(render, messages)
+            r = locate(render, messages, restore)
             as_spans = lambda spans: [{"start": a, "stop": b} for a, b in spans]
             ids.append(conv)
-            loss = [s for m, s in zip(messages, r.texts) if m["role"] in learned] if r.rewritten < 0 else []
-            for k, v in (("formatted", r.text), ("turn_spans", as_spans(r.turns)), ("text_spans", as_spans(r.texts)), ("roles", [m["role"] for m in messages]), ("loss_spans", as_spans(loss)), ("rewritten", r.rewritten)):
+            loss = [s for m, s in zip(messages, r.texts) if m["role"] in learned] if r.rewritten < 0 and r.altered < 0 else []
+            for k, v in (("formatted", r.text), ("turn_spans", as_spans(r.turns)), ("text_spans", as_spans(r.texts)), ("roles", [m["role"] for m in messages]), ("loss_spans", as_spans(loss)), ("rewritten", r.rewritten), ("altered", r.altered)):
                 out[k].append(v)
             return len(r.text)
 
@@ -160,7 +171,7 @@ def format_chats(conversations: DataFrame, template: Callable[[], Template] = Ma
             add(key, messages)
             yield flush(id_type)
 
-    return rows.mapInArrow(run, f"conv_id {kind}, formatted string, turn_spans {span}, text_spans {span}, roles array<string>, loss_spans {span}, rewritten int")
+    return rows.mapInArrow(run, f"conv_id {kind}, formatted string, turn_spans {span}, text_spans {span}, roles array<string>, loss_spans {span}, rewritten int, altered int")
 
 
 def chat_digests(formatted: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import SPACE, by_ids, checkpoint
+from seriesloom.llm.common import SPACE, by_ids, checkpoint, unused
 
 #: Salts over which a group of copies is merged before the global stage.
 SALTS = 32
@@ -53,8 +53,8 @@ def drop_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     if repeated.isEmpty() and decided.filter("doc_id IS NULL").isEmpty():
         return by_ids(docs, dropped, "doc_id", "left_anti")
     # ids that repeat: decide by id and text
-    digest = F.sha2(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), SPACE, " "), 256)
-    kept = decided.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    rows = docs.withColumn("_digest", digest)
-    rows = rows.join(kept, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_sha") == F.col("_digest")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
+    own, sha, digest = unused(docs.columns, "own", "sha", "digest")
+    kept = decided.filter("kept").select(F.col("doc_id").alias(own), F.col("text_sha256").alias(sha)).distinct()
+    rows = docs.withColumn(digest, F.sha2(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), SPACE, " "), 256))
+    rows = rows.join(kept, F.col(own).eqNullSafe(F.col("doc_id")) & (F.col(sha) == F.col(digest)), "left_semi")
+    return rows.dropDuplicates(["doc_id", digest]).select(*docs.columns)

@@ -14,9 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from seriesloom.llm.common import held_out, mix, pieces, worker_state
+from seriesloom.llm.common import held_out, mix, pieces, smallest, worker_state
 
 #: Hashed features, and the lengths of the n-grams.
 FEATURE_BITS, ORDERS = 15, (1, 2, 3)
@@ -105,10 +104,11 @@ def document_frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def training_rows(rows: DataFrame, per_language: int) -> DataFrame:
-    """doc_id, lang, part (0: the whole text, then excerpts), features, counts of a bounded sample."""
-    ids = rows.select("doc_id", "lang", F.xxhash64(F.lit(3), F.col("doc_id")).alias("order"))
-    ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))).filter(F.col("rank") <= per_language)
-    sample = rows.select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id")  # bounded above
+    """doc_id, lang, part (0: the whole text, then excerpts), features, counts of a sample: per_language rows of different id or text a language at most."""
+    ids = rows.select("doc_id", "lang", F.xxhash64("text").alias("key"))
+    ids = smallest(ids, ["lang"], F.xxhash64(F.lit(3), F.col("doc_id"), F.col("key")), per_language).select("doc_id", "lang", "key").distinct()
+    rows = rows.select("doc_id", "lang", "text", F.xxhash64("text").alias("key")).join(F.broadcast(ids), ["doc_id", "lang", "key"])  # bounded above
+    sample = rows.dropDuplicates(["doc_id", "lang", "key"]).select("doc_id", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

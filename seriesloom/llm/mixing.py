@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import checkpoint, is_small, salted_lookup
+from seriesloom.llm.common import checkpoint, is_small, salted_lookup, unused
 
 #: Exponent of the default targets: a source's weight is its share of documents to this power, so that small sources gain.
 ALPHA = 0.5
@@ -54,12 +54,13 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, alpha: float = ALPHA,
     Adds copy (0-based), rate and mix_key, the hashed place in the order: rows are dealt by mix_key and sorted by it within each
     partition. Rows that repeat an id get equal counts; null ids are hashed as empty text; a source of weight 0 gives no rows; null
     sources are one source; an empty table stays empty. Columns named copy, rate or mix_key are replaced."""
-    rates = checkpoint(source_rates(docs, targets, alpha).select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_key"), F.col("rate").alias("_rate"), F.col("cdf").alias("_cdf")))
-    rows = docs.drop("copy", "rate", "mix_key").withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
-    rows = salted_lookup(rows, rates, "_key", is_small(rates, 50_000), spread=F.col("doc_id"))
-    u = uniform(seed, F.col("doc_id"))
-    count = F.coalesce(F.aggregate("_cdf", F.lit(0), lambda n, c: F.when(c <= F.col("_u"), n + 1).otherwise(n)), F.lit(0))
-    rows = rows.withColumn("_u", u).withColumn("_n", count).filter("_n > 0")
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n").cast("long") - 1))).withColumnRenamed("_rate", "rate")
+    key, cdf, given, number, draw = unused([*docs.columns, "rate", "copy", "mix_key"], "key", "cdf", "given", "number", "draw")
+    same = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    rates = checkpoint(source_rates(docs, targets, alpha).select(same.alias(key), F.col("rate").alias(given), F.col("cdf").alias(cdf)))
+    rows = docs.drop("copy", "rate", "mix_key").withColumn(key, same)
+    rows = salted_lookup(rows, rates, key, is_small(rates, 50_000), spread=F.col("doc_id"))
+    count = F.coalesce(F.aggregate(cdf, F.lit(0), lambda n, c: F.when(c <= F.col(draw), n + 1).otherwise(n)), F.lit(0))
+    rows = rows.withColumn(draw, uniform(seed, F.col("doc_id"))).withColumn(number, count).filter(F.col(number) > 0)
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col(number).cast("long") - 1))).withColumnRenamed(given, "rate")
     rows = rows.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(f"{seed}+"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")).cast("binary")))
-    return rows.drop("_key", "_cdf", "_u", "_n").repartition("mix_key").sortWithinPartitions("mix_key")
+    return rows.drop(key, cdf, draw, number).repartition("mix_key").sortWithinPartitions("mix_key")

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import checkpoint, held_out, mix, pieces, range_hashes, runs, worker_state
+from seriesloom.llm.common import checkpoint, held_out, mix, pieces, range_hashes, runs, smallest, worker_state
 
 #: Interchangeable identity terms, by group.
 IDENTITIES = (
@@ -72,23 +72,25 @@ _named = re.compile(r"(?<!\w)(" + "|".join(sorted(_terms, key=len, reverse=True)
 
 
 def swapped_sentences(text: str) -> list[tuple[str, str]]:
-    """Sentences that name an identity, each with the next term of the group in its place."""
+    """Sentences that name an identity, each with every other term of the group in its place."""
     out = []
     for sentence in re.split(r"[.!?\n]+", text.lower()):
         for found in _named.finditer(sentence):
-            group = _terms[found[1]]
-            other = group[(group.index(found[1]) + 1) % len(group)]
-            out.append((sentence, sentence[: found.start()] + other + sentence[found.end() :]))
+            out += [(sentence, sentence[: found.start()] + other + sentence[found.end() :]) for other in _terms[found[1]] if other != found[1]]
     return out
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, toxic_rows: int, clean_rows: int, seed: int = 5) -> DataFrame:
-    """doc_id, toxic, features (distinct), swap (features of sentence pairs): a bounded sample of the labelled documents not held out."""
+    """doc_id, toxic, key (digest of the features), features (distinct), swap (features of sentence pairs): a bounded sample of the labelled rows not
+    held out. A row is an id and a text: an id with several texts gives several rows, repeated ones count once."""
     known = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    known = known.withColumn("order", F.xxhash64(F.lit(seed), F.col("doc_id")))
-    part = [known.filter(F.col("toxic") == t).orderBy("order", "doc_id").limit(n) for t, n in ((1, toxic_rows), (0, clean_rows))]
-    sample = part[0].union(part[1]).drop("order")
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").join(F.broadcast(sample), "doc_id")  # bounded above
+    ids = [smallest(known.filter(F.col("toxic") == t), ["toxic"], F.xxhash64(F.lit(seed), F.col("doc_id")), n) for t, n in ((1, toxic_rows), (0, clean_rows))]
+    ids = checkpoint(ids[0].union(ids[1]))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("of")).filter("text IS NOT NULL")
+    own = texts.select("doc_id", "of").join(F.broadcast(ids), "doc_id")  # bounded above
+    chosen = [smallest(own.filter(F.col("toxic") == t), ["toxic"], F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("of")), n) for t, n in ((1, toxic_rows), (0, clean_rows))]
+    chosen = checkpoint(chosen[0].union(chosen[1]))
+    rows = texts.join(F.broadcast(chosen), ["doc_id", "of"]).dropDuplicates(["doc_id", "of", "toxic"])  # bounded above
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("toxicity")
@@ -145,8 +147,8 @@ def _place(hashes: np.ndarray, features: np.ndarray) -> np.ndarray:
 def screened(sample: DataFrame, learn: DataFrame) -> np.ndarray:
     """Sorted hashes of the FEATURES features whose presence tells most about the label, by log-odds times the root of their documents.
 
-    sample: training_rows; learn(doc_id): those that count. Sums by feature, then a top-k: only the chosen ones reach the driver."""
-    rows = sample.join(F.broadcast(learn), "doc_id").select("doc_id", F.col("toxic").cast("double").alias("toxic"), "features")
+    sample: training_rows; learn(key, toxic): those that count. Sums by feature, then a top-k: only the chosen ones reach the driver."""
+    rows = sample.dropDuplicates(["key"]).drop("toxic").join(F.broadcast(learn), "key").select(F.col("toxic").cast("double").alias("toxic"), "features")
     n, positive = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     found = rows.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("all"), F.sum("toxic").alias("pos"))
     found = found.filter(F.col("all") >= LEAST_DOCS)
@@ -163,32 +165,34 @@ def fit(sample: DataFrame, l1: float = L1, l2: float = L2, swap_weight: float =
     unique: dict[str, tuple[int, int]] = {}
     for r in sorted(sample.select("doc_id", "toxic", "key").collect()):  # a bounded sample: ids, labels and digests
         unique.setdefault(r["key"], (r["doc_id"], r["toxic"]))
-    known = list(unique.values())
-    n, positive = len(known), sum(t for _, t in known)
+    known = sorted((doc_id, toxic, key) for key, (doc_id, toxic) in unique.items())
+    n, positive = len(known), sum(t for _, t, _ in known)
     if positive in (0, n):
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), float(np.log((positive + 0.5) / (n - positive + 0.5))))
-    number = {doc_id: i for i, (doc_id, _) in enumerate(known)}
-    spark = sample.sparkSession
-    ids = lambda chosen: spark.createDataFrame([(known[i][0],) for i in chosen], "doc_id long")
-    hashes = screened(sample, ids(i for i in range(n) if i % 4))
+    number = {key: i for i, (_, _, key) in enumerate(known)}
+    learn = sample.sparkSession.createDataFrame([(key, t) for i, (_, t, key) in enumerate(known) if i % 4], "key string, toxic int")
+    hashes = screened(sample, learn)
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         as_bytes = lambda f: _place(hashes, np.sort(np.array(f, np.int64).view(np.uint64))).astype(np.int16).tobytes()
         for batch in batches:
             own = [as_bytes(f) for f in batch.column(1).to_pylist()]
             swap = [[[as_bytes(f) for f in p] for p in s] for s in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary()), pa.array(swap, pa.list_(pa.list_(pa.binary())))], names=["doc_id", "features", "swap"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary()), pa.array(swap, pa.list_(pa.list_(pa.binary())))], names=["key", "features", "swap"])
 
-    rows = sample.join(F.broadcast(ids(range(n))), "doc_id").select("doc_id", "features", "swap").mapInArrow(shrink, "doc_id long, features binary, swap array<array<binary>>").collect()
+    rows = sample.select("key", "features", "swap").mapInArrow(shrink, "key string, features binary, swap array<array<binary>>").collect()
     d = len(hashes)
     x, swaps = np.zeros((n, d), np.float32), []
-    for r in sorted(rows, key=lambda r: r["doc_id"]):
-        x[number[r["doc_id"]], np.frombuffer(r["features"], np.int16)] = 1
-        swaps += [(np.frombuffer(a, np.int16), np.frombuffer(b, np.int16)) for a, b in r["swap"]]
+    seen = set()
+    for r in sorted(rows):
+        if r["key"] not in seen:
+            seen.add(r["key"])
+            x[number[r["key"]], np.frombuffer(r["features"], np.int16)] = 1
+            swaps += [(np.frombuffer(a, np.int16), np.frombuffer(b, np.int16)) for a, b in r["swap"]]
     terms = [t for g in IDENTITIES for t in g]
     bare = dict(zip(terms, (_place(hashes, f) for f in _distinct(pa.array(terms)))))
-    swaps += [(bare[a], bare[b]) for g in IDENTITIES for a, b in zip(g, g[1:])]
-    y = np.array([t for _, t in known], float)
+    swaps += [(bare[a], bare[b]) for g in IDENTITIES for a in g for b in g if a < b]
+    y = np.array([t for _, t, _ in known], float)
     part = np.arange(n) % 4 != 0
     differences = _differences(swaps, d)
     w, b = _relaxed(x, y, differences, l1, l2, swap_weight, steps)

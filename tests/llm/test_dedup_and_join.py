@@ -75,6 +75,13 @@ def test_exact_dedup(spark, repeat):
     assert all(r.doc_id == min((i for i in by[norm(r.text)] if i is not None), default=None) for r in out)
 
 
+def test_exact_dedup_keeps_columns(spark):
+    names = ["_digest", "digest", "own", "sha", "_id", "_sha"]
+    docs = spark.createDataFrame([(1, "a b"), (1, "c"), (2, "a  b"), (None, "d")], "doc_id long, text string").selectExpr("*", *[f"'{n}' AS `{n}`" for n in names])
+    out = drop_copies(docs).collect()
+    assert sorted(((r.doc_id, r.text) for r in out), key=key) == [(None, "d"), (1, "a b"), (1, "c")] and all(r[n] == n for r in out for n in names)
+
+
 @pytest.mark.parametrize(("width", "num", "den"), [(4, 85, 100), (5, 80, 100), (2, 50, 100)])
 @pytest.mark.parametrize("repeat", [False, True])
 def test_similarity_classes(spark, width, num, den, repeat):

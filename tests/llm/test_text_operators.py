@@ -132,6 +132,13 @@ def test_mixing(spark):
     assert M.mix(docs, spark.createDataFrame([], "source string, weight double")).collect() == []
 
 
+def test_mixing_keeps_columns(spark):
+    names = ["_n", "_key", "_u", "_cdf", "_rate", "key", "cdf", "given", "number", "draw", "salt"]
+    docs = frame(spark, rows(11, 20)).drop("copy", "rate").selectExpr("*", *[f"'{n}' AS `{n}`" for n in names])
+    out = M.mix(docs)
+    assert set(docs.columns) <= set(out.columns) and all(r[n] == n for r in out.collect() for n in names)
+
+
 def test_mixing_mean(spark):
     docs = spark.range(4000).selectExpr("id AS doc_id", "'t' AS text", "if(id % 3 = 0, 'hot', concat('s', id % 7)) AS source")
     target = spark.createDataFrame([("hot", 1.0), ("s1", 1.0)], "source string, weight double")
@@ -215,7 +222,53 @@ def test_toxicity(spark):
 
 def test_swaps():
     pairs = X.swapped_sentences("The women left. Nobody saw black cats! Fine")
-    assert pairs == [("the women left", "the men left"), (" nobody saw black cats", " nobody saw white cats")]
+    assert pairs == [("the women left", "the men left"), *((" nobody saw black cats", f" nobody saw {x} cats") for x in ("white", "asian", "latino"))]
+
+
+def test_toxicity_of_repeated_ids_and_rows(spark):
+    rng = random.Random(9)
+    data = [(i, " ".join([words(rng, 12), *rng.choices(TOXIC, k=2 * (i % 3 == 0))])) for i in range(200)]
+    data += [(3, words(rng, 12)), (3, None), (6, data[6][1]), (6, data[6][1]), (None, "idiot scum moron"), (None, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").selectExpr("*", "'a' AS `of`", "1 AS toxic", "'k' AS key", "2 AS features")
+    known = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(200)] + [(6, 1, 1), (7, 1, 1)], "doc_id long, quality int, toxic int")
+    sample = X.training_rows(docs, known, 2000, 4000).collect()
+    aside = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 == 1]
+    want = {(i, int(i % 3 == 0)) for i in range(200) if i not in aside} | ({(7, 1)} if 7 not in aside else set())
+    assert {(r.doc_id, r.toxic) for r in sample} == want and len([r for r in sample if r.doc_id == 3]) == 2 * (3 not in aside)
+    assert len(X.training_rows(docs, known, 5, 7).collect()) == 12
+    got = X.toxicity(docs, known).collect()
+    assert len(got) == len(data) and len({r.score for r in got if r.doc_id == 6}) == 1
+
+
+def test_smallest(spark):
+    from pyspark.sql import functions as F
+
+    from seriesloom.llm.common import smallest
+
+    data = [(f"k{0 if i % 3 else i % 5}", i % 4000) for i in range(9000)]
+    rows_ = spark.createDataFrame(data, "key string, place long").repartition(5)
+    got = {}
+    for r in smallest(rows_, ["key"], F.xxhash64("place"), 50).collect():
+        got.setdefault(r.key, set()).add(r.place)
+    order = {r.place: r.h for r in rows_.select("place", F.xxhash64("place").alias("h")).distinct().collect()}
+    for k in got:
+        assert got[k] == set(sorted({p for n, p in data if n == k}, key=order.__getitem__)[:50])
+    assert set(got) == {k for k, _ in data}
+
+
+def test_language_id_of_repeated_rows(spark):
+    rng = random.Random(12)
+    data = [(i, " ".join("".join(rng.choice(a) for _ in range(5)) for _ in range(20)), lang) for i in range(120) for lang, a in [("en", "thequick"), ("de", "äöüßsch")][i % 2 : i % 2 + 1]]
+    data += data[:9] * 4 + [(3, "thequick thequick", "en"), (None, "äöü äöü", "de"), (None, None, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string").selectExpr("*", "'a' AS key", "'b' AS part", "'c' AS features", "'d' AS place")
+    got = language_id(docs, per_language=20).collect()
+    assert len(got) == len(data)
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, set()).add((r.lang_pred, r.score))
+    assert all(len(by[i]) == 1 for i in range(9) if i != 3) and by[None] == {("de", max(s for _, s in by[None])), ("und", 0.0)}
+    again = {(r.doc_id, r.lang_pred, r.score) for r in language_id(docs.repartition(3), per_language=20).collect()}
+    assert again == {(r.doc_id, r.lang_pred, r.score) for r in got}
 
 
 def test_language_id(spark):
@@ -267,6 +320,53 @@ def test_chat_detects_rewriting():
         assert C.unescape(C.escape(s)) == s and "<|" not in C.escape(s)
 
 
+def spans_by_definition(chat, write):
+    """Spans of each turn and text of a template that only adds, from its pieces."""
+    out, turns, texts = "", [], []
+    for i, m in enumerate(chat):
+        before, after = write(i, m)
+        start = len(out)
+        out += before + m["text"]
+        texts.append((len(out) - len(m["text"]), len(out)))
+        out += after
+        turns.append((start, len(out)))
+    return out, turns, texts
+
+
+@pytest.mark.parametrize("name", ["numbered", "by role", "by text"])
+def test_any_adding_template_is_located(name):
+    rng = random.Random(3)
+    chat = [{"role": rng.choice(["user", "assistant", "tool"]), "text": rng.choice(["", " a ", "b\nc", "7", "x" * 30])} for _ in range(25)]
+
+    def write(i, m):
+        if name == "numbered":
+            return f"[{i}] {m['role']}: ", f" /{10 ** (i % 4)}\n"
+        if name == "by role":
+            return ("<call>" if m["role"] == "tool" else f"{m['role']}> "), ("</call>\n" if m["role"] == "tool" else "\n" * (1 + (i > 0 and chat[i - 1]["role"] == "tool")))
+        return "<" * (1 + i % 3), ">" * (1 + i % 2)
+
+    def template(messages):
+        return "".join(a + m["text"] + b for i, m in enumerate(messages) for a, b in [write(i, m)])
+
+    found = C.locate(template, chat)
+    assert (found.text, found.turns, found.texts) == spans_by_definition(chat, write) and found.rewritten == found.altered == -1
+
+
+@pytest.mark.parametrize("change", [str.strip, str.upper, lambda t: t + t, lambda t: t[:3], lambda t: ""])
+def test_templates_that_alter_texts_are_reported(change):
+    chat = [{"role": "user", "text": "PLAIN"[:3]}, {"role": "assistant", "text": " an answer "}, {"role": "user", "text": "Z"}]
+    found = C.locate(lambda messages: "".join(f"[{m['role']}]{change(m['text'])};" for m in messages), chat)
+    assert found.altered >= 0
+
+
+def test_altered_chats_have_no_mask(spark):
+    table = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", " a "), (2, 0, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    table = table.selectExpr("*", "'x' AS formatted", "1 AS altered")
+    trimming = lambda: lambda messages: "".join(f"[{m['role']}]{m['text'].strip()}\n" for m in messages)
+    got = {r.conv_id: r for r in C.format_chats(table, trimming).collect()}
+    assert all(r.altered == 0 and r.loss_spans == [] for r in got.values())  # the probe's spaces are lost too
+
+
 PAGE = '<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">a</a></li><li><a href="/b">b</a></li></ul></nav>{ad}<article><h1>Title {i}</h1>{body}<aside>see also</aside><form>f</form></article><section class="comments"><article><p>reader</p></article></section><footer>&copy; x</footer></body></html>'
 
 

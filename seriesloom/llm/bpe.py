@@ -2,9 +2,13 @@
 
 The BPE encoding of each prefix of a byte string ends in one token, and that token is the only one that (a) ends the prefix, (b) encodes
 as itself, and (c) stays apart from the token before it, i.e. the bytes of the two encode as just these two. So one left-to-right pass keeps,
-for each position, the last token of the prefix. Whatever follows, the encoding of the whole passes through one of the last M positions,
-M being the length of the longest token: tokens on which the paths from all of these agree are final and are emitted. What is kept is the
-M positions and the few behind them on which the paths still differ."""
+for each position, the last token of the prefix; an automaton of all tokens lists what can end there.
+
+Lookahead. Whatever follows position e, the token that covers the border e begins at some s <= e, and what lies between is a proper prefix
+of a token that merges can make, or nothing. Such a token is no longer than the longest one that the merge list really makes out of its own
+bytes, M (a listed token that merges never reach doesn't count); so s is one of the M positions e - M + 1 to e, and the encoding of the whole
+passes through one of them. Tokens on which the paths from all of these agree are final and are emitted; M - 1 bytes of lookahead suffice.
+What is kept is the M positions and the few behind them on which the paths still differ."""
 
 from __future__ import annotations
 
@@ -15,6 +19,7 @@ import json
 from array import array
 from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -50,20 +55,22 @@ class Merges:
         vocab = {k: v for k, v in spec["model"]["vocab"].items() if k not in self.special}
         self.ids = {bytes(of[c] for c in k): v for k, v in vocab.items()}
         self.bytes_of = {v: k for k, v in self.ids.items()} | {v: k.encode() for k, v in self.special.items()}
+        self.single = [self.ids[bytes([b])] for b in range(256)]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.merge = {}
         for rank, (a, b) in enumerate(pairs):
             left, right = bytes(of[c] for c in a), bytes(of[c] for c in b)
             self.merge.setdefault((self.ids[left], self.ids[right]), (rank, self.ids[left + right]))
-        self.single = [self.ids[bytes([b])] for b in range(256)]
-        # lengths of the tokens that can end where the last three bytes (or two, if no longer token ends so) are these; longest first
-        self.by_two = {t: (2, 1) for t in self.ids if len(t) == 2}
-        found: dict[bytes, set[int]] = {}
-        for token in self.ids:
-            if len(token) > 2:
-                found.setdefault(token[-3:], {1} | ({2} if token[-2:] in self.by_two else set())).add(len(token))
-        self.by_three = {k: tuple(sorted(v, reverse=True)) for k, v in found.items()}
+        # in a list as training makes it, each token has one merge, which comes after those of its parts
+        self.parts = {made: pair for pair, (_, made) in self.merge.items()}
+        self.rank = {made: rank for rank, made in self.merge.values()}
+        self.ordered = len(self.parts) == len(self.merge) and all(self.rank.get(x, -1) < rank for pair, (rank, _) in self.merge.items() for x in pair)
+        self.ends = ahocorasick.Automaton()  # over bytes as characters; gives the tokens that end at each byte, longest first
+        for token, number in self.ids.items():
+            self.ends.add_word(token.decode("latin-1"), (len(token), number))
+        self.ends.make_automaton()
         self.pair_memo: dict[int, bool] = {}
+        self.made_memo: dict[int, bool] = {}
         self.word_memo: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
         self.lookahead = self.sufficient_lookahead()
@@ -71,8 +78,8 @@ class Merges:
         self.marks = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
     def sufficient_lookahead(self) -> int:
-        """Positions among which the path of any continuation must pass: the length of the longest token in bytes."""
-        return max(map(len, self.ids))
+        """M: the length of the longest token that merges make of its own bytes, found from the longest one down."""
+        return next((len(t) for t in sorted(self.ids, key=len, reverse=True) if self.plain(t) == [self.ids[t]]), 1)
 
     def plain(self, data: bytes) -> list[int]:
         """BPE by its definition: the leftmost pair of least rank is merged, again and again."""
@@ -85,19 +92,40 @@ class Merges:
             out[i : i + 2] = [self.merge[out[i], out[i + 1]][1]]
         return out
 
-    def apart(self, before: int, token: int) -> bool:
-        """Whether a token stands after another (-1: at the start) in an encoding."""
-        key = before << 32 | token
-        found = self.pair_memo.get(key)
+    def is_made(self, token: int) -> bool:
+        """Whether merges make this token of its own bytes."""
+        found = self.made_memo.get(token)
         if found is None:
-            data = self.bytes_of[token]
-            if before < 0:
-                found = self.plain(data) == [token]
-            else:
-                found = self.plain(self.bytes_of[before] + data) == [before, token]
-            if len(self.pair_memo) >= MEMO:
-                self.pair_memo.clear()
-            self.pair_memo[key] = found
+            found = self.made_memo[token] = self.plain(self.bytes_of[token]) == [token]
+        return found
+
+    def apart(self, before: int, token: int) -> bool:
+        """Whether a token stands after another (-1: at the start) in an encoding: by encoding the two, or, for an ordered merge list, faster:
+        the merges that made the two are undone from the last one on, the right part of the left token and the left part of the right one. If
+        at any time the two that touch could merge before the one that was undone last, they wouldn't have stayed apart."""
+        found = self.is_made(token)
+        if found and before >= 0 and not self.ordered:
+            found = self.plain(self.bytes_of[before] + self.bytes_of[token]) == [before, token]
+        elif found and before >= 0:
+            merge, rank, parts = self.merge, self.rank, self.parts
+            a, b, limit = before, token, len(merge) + 1
+            ra, rb = rank.get(a, -1), rank.get(b, -1)
+            while True:
+                joined = merge.get((a, b))
+                if joined is not None and joined[0] < limit:
+                    found = False
+                    break
+                if ra > rb:
+                    limit, a = ra, parts[a][1]
+                    ra = rank.get(a, -1)
+                elif rb >= 0:
+                    limit, b = rb + 1, parts[b][0]
+                    rb = rank.get(b, -1)
+                else:
+                    break
+        if len(self.pair_memo) >= MEMO:
+            self.pair_memo.clear()
+        self.pair_memo[before << 32 | token] = found
         return found
 
 
@@ -108,34 +136,36 @@ class Transducer:
 
     def __init__(self, merges: Merges) -> None:
         self.m = merges
-        self.base, self.data = 0, bytearray()  # data[0] stands at position base
-        self.last, self.parent = [-1], [-1]  # for positions base, base + 1, ...: the last token of the prefix, where it starts
-        self.due = self.STEP
+        self.base, self.seen = 0, 0  # the first position that is kept, and the last
+        self.last, self.parent = [-1], [-1]  # for positions base to seen: the last token of the prefix, where it starts
+        self.found = merges.ends.iter("")
 
     def push(self, data: bytes) -> list[int]:
         """Takes bytes; returns the ids that became final."""
-        m, out = self.m, []
-        ids = m.ids
-        for b in data:
-            self.data.append(b)
-            at = self.base + len(self.data)
-            have = len(self.data)
-            for n in m.by_three.get(bytes(self.data[-3:])) or m.by_two.get(bytes(self.data[-2:]), (1,)):
-                if n <= have:
-                    token = ids.get(bytes(self.data[have - n :]))
-                    if token is not None and m.apart(self.last[have - n], token):
-                        break
-            else:
-                n, token = 1, m.single[b]
-            self.last.append(token)
-            self.parent.append(at - n)
-            if have >= self.due:
-                out += self._settle()
+        out = []
+        for at in range(0, len(data), self.STEP):
+            self._step(data[at : at + self.STEP])
+            out += self._settle()
         return out
 
+    def _step(self, data: bytes) -> None:
+        known, apart, last, parent, base, seen = self.m.pair_memo.get, self.m.apart, self.last, self.parent, self.base, self.seen
+        self.found.set(data.decode("latin-1"))  # goes on where the bytes before ended
+        for end, (n, token) in self.found:
+            start = end + 1 - n
+            if end < seen or start < base:
+                continue
+            before = last[start - base]
+            fits = n == 1 or known(before << 32 | token)  # where no longer token fits, the byte's own one does
+            if fits or fits is None and apart(before, token):
+                last.append(token)
+                parent.append(start)
+                seen = end + 1
+        self.seen = seen
+
     def _settle(self) -> list[int]:
         """Emits the tokens before the point where the paths from the last `lookahead` positions meet."""
-        end = self.base + len(self.data)
+        end = self.seen
         heap = [-p for p in range(max(self.base, end - self.m.lookahead + 1), end + 1)]
         heapq.heapify(heap)
         while True:
@@ -146,12 +176,10 @@ class Transducer:
                 break
             heapq.heappush(heap, -self.parent[top - self.base])
         out = self._path(top)
-        drop = top - self.base
-        if drop:
+        if top > self.base:
             # the token that ends at the meeting point is kept: later tokens are checked against it
-            del self.data[:drop], self.last[:drop], self.parent[:drop]
+            del self.last[: top - self.base], self.parent[: top - self.base]
             self.base = top
-        self.due = len(self.data) + self.STEP
         return out
 
     def _path(self, at: int) -> list[int]:
@@ -162,30 +190,25 @@ class Transducer:
         return out[::-1]
 
     def finish(self) -> list[int]:
-        return self._path(self.base + len(self.data))
+        return self._path(self.seen)
 
 
 def short_word(m: Merges, data: bytes) -> list[int]:
     """The transducer's pass for a pretoken that is shorter than its step: nothing is emitted before the end."""
-    get, memo, three, two, one = m.ids.get, m.pair_memo, m.by_three.get, m.by_two.get, (1,)
-    last, parent = [-1], [0]
-    for at in range(1, len(data) + 1):
-        for n in (at > 2 and three(data[at - 3 : at])) or (at > 1 and two(data[at - 2 : at])) or one:
-            if n <= at:
-                token = get(data[at - n : at])
-                if token is not None:
-                    before = last[at - n]
-                    fits = memo.get(before << 32 | token)
-                    if fits or fits is None and m.apart(before, token):
-                        break
-        else:
-            n, token = 1, m.single[data[at - 1]]
-        last.append(token)
-        parent.append(at - n)
-    out, at = [], len(data)
+    known, apart, n = m.pair_memo.get, m.apart, len(data)
+    last, size, seen = [-1] * (n + 1), [0] * (n + 1), 0
+    for end, (k, token) in m.ends.iter(data.decode("latin-1")):
+        if end < seen:
+            continue
+        before = last[end + 1 - k]
+        fits = k == 1 or known(before << 32 | token)
+        if fits or fits is None and apart(before, token):
+            seen = end + 1
+            last[seen], size[seen] = token, k
+    out, at = [], n
     while at:
         out.append(last[at])
-        at = parent[at]
+        at -= size[at]
     return out[::-1]
 
 
@@ -219,8 +242,9 @@ def encode(m: Merges, text: str) -> Iterator[bytes]:
                 memo.clear()
             memo[word] = out
             return out
-        run = Transducer(m)
-        packed = array("I", run.push(word.encode()))
+        run, packed = Transducer(m), array("I")
+        for at in range(0, len(word), BLOCK):
+            packed.extend(run.push(word[at : at + BLOCK].encode()))
         packed.extend(run.finish())
         return packed.tobytes()
 

@@ -23,8 +23,9 @@ from seriesloom.llm.components import connected_components, stars
 from seriesloom.llm.prefix_trie import join_units
 from seriesloom.llm.signatures import signatures
 
-#: Bytes of text in a chunk of a block; two chunks meet in a task.
-CHUNK_BYTES = 3 << 20
+#: Bytes of text in a chunk of a block (two chunks meet in a task): the least, the most, and in between the root of the block's bytes times the third, so
+#: that chunks and the times that each is read grow alike.
+CHUNK_BYTES, LARGEST_CHUNK, CHUNK_ROOT = 1 << 19, 3 << 20, 1 << 16
 #: Signatures that a task combines at once; bytes of text of the units that are joined at once.
 SIGNATURES_AT_ONCE, JOINED_BYTES = 1_000_000, 1 << 18
 
@@ -127,7 +128,8 @@ def _units(texts: DataFrame, blocks: DataFrame) -> DataFrame:
     """unit, cross, side, node, copies, words: the texts that meet in a task. A block of c chunks gives a unit for each chunk and each pair of chunks."""
     rows = checkpoint(blocks.withColumnRenamed("component", "block").join(texts.select("node", "bytes", "copies").hint("merge"), "node"))
     sizes = rows.groupBy("block").agg(F.sum("bytes").alias("all_bytes"))
-    large = checkpoint(sizes.filter(F.col("all_bytes") > CHUNK_BYTES).select("block", F.ceil(F.col("all_bytes") / F.lit(CHUNK_BYTES)).cast("int").alias("chunks")))
+    chunk = F.greatest(F.lit(float(CHUNK_BYTES)), F.least(F.lit(float(LARGEST_CHUNK)), F.sqrt(F.col("all_bytes") * float(CHUNK_ROOT))))
+    large = checkpoint(sizes.filter(F.col("all_bytes") > CHUNK_BYTES).select("block", F.ceil(F.col("all_bytes") / chunk).cast("int").alias("chunks")))
     rows = salted_lookup(rows, large, "block", is_small(large), spread=F.col("node")).withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     rows = checkpoint(rows.select("node", "block", "copies", "chunk", "chunks"))

@@ -101,6 +101,7 @@ def test_large_block_is_split(spark, monkeypatch):
     import seriesloom.llm.ngram_join as module
 
     monkeypatch.setattr(module, "CHUNK_BYTES", 900)
+    monkeypatch.setattr(module, "CHUNK_ROOT", 300)
     data = rows(6, 90)
     got = similarity_classes(frame(spark, data), 3, 70, 100).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(classes_of(data, 3, 70, 100))
@@ -224,6 +225,7 @@ def test_every_link_is_counted(spark, monkeypatch, chunk, repeat):
 
     if chunk:
         monkeypatch.setattr(module, "CHUNK_BYTES", chunk)
+        monkeypatch.setattr(module, "CHUNK_ROOT", chunk)
     data = rows(11, 90)
     base = " ".join(f"w{i}" for i in range(60))
     data += [(10_000 + i, f"{base} tail{i}" if i % 2 else base.replace(f"w{i}", "other"), *data[0][2:]) for i in range(12)]

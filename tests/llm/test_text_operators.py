@@ -58,7 +58,7 @@ def test_transducer_memory_and_cuts(merges, library):
         data = text.encode()
         for i in range(0, len(data), 37):
             out += run.push(data[i : i + 37])
-            most = max(most, len(run.data))
+            most = max(most, len(run.last))
         assert out + run.finish() == merges.plain(data[:0]) + library.encode(text, add_special_tokens=False).ids
         assert most <= 2 * run.STEP + merges.lookahead
     text = "x  y  'll don't \r\n\t z " * 40 + "w" * 700
@@ -66,6 +66,51 @@ def test_transducer_memory_and_cuts(merges, library):
     assert [w for b in B.blocks(text, 300) for w in merges.cut.findall(b)] == merges.cut.findall(text)
 
 
+def small_merges(rng, letters, count):
+    """A random merge list over a few letters; some listed tokens are never made."""
+    import json
+
+    char = B.byte_characters()
+    tokens, pairs = list(letters), []
+    while len(pairs) < count:
+        a, b = rng.choice(tokens), rng.choice(tokens)
+        if a + b not in tokens and len(a + b) <= 6:
+            tokens.append(a + b)
+            pairs.append([a, b])
+    if rng.random() < 0.3:
+        rng.shuffle(pairs)
+    vocab = {t: i for i, t in enumerate(dict.fromkeys([*char, *tokens]))}
+    return B.Merges(json.dumps({"model": {"vocab": vocab, "merges": pairs}}))
+
+
+def test_lookahead_suffices_for_all_strings_of_small_merge_lists(monkeypatch):
+    import itertools
+
+    rng = random.Random(8)
+    monkeypatch.setattr(B.Transducer, "STEP", 1)  # settles after every byte
+    for _ in range(40):
+        m = small_merges(rng, "ab", rng.randint(1, 7))
+        assert m.lookahead <= max(map(len, m.ids))
+        for n in range(1, 10):
+            for t in itertools.product("ab", repeat=n):
+                data = "".join(t).encode()
+                run = B.Transducer(m)
+                early = run.push(data)
+                whole = m.plain(data)
+                assert early + run.finish() == whole == B.short_word(m, data)
+                for more in ("a", "b", "ab", "ba", "aab", "bba"):  # what was emitted stays
+                    assert m.plain(data + more.encode())[: len(early)] == early
+
+
+def test_transducer_memory_is_constant(merges):
+    run, most, n = B.Transducer(merges), 0, 0
+    rng = random.Random(4)
+    for _ in range(300):
+        n += len(run.push("".join(rng.choice("etaoinshr") for _ in range(1000)).encode()))
+        most = max(most, len(run.last))
+    assert most <= 2 * merges.lookahead + run.STEP and n > 100_000
+
+
 def test_decoder_is_incremental(merges, library):
     rng = random.Random(5)
     ids = [rng.randrange(50257) for _ in range(400)]

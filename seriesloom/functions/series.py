@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -52,6 +52,16 @@ def subsequence(values: Column, offset: int, width: int) -> Column:
     return let(F.slice(values, offset + 1, width), lambda v: znorm(v))
 
 
+def same_series(a: Column, b: Column, a_normalised: Column, b_normalised: Column) -> Column:
+    """Whether two series are equal point by point; an error if one is normalised and the other isn't."""
+    return F.when(a_normalised == b_normalised, a.eqNullSafe(b)).otherwise(F.raise_error(F.lit("a normalised series can't be compared with one that isn't")).cast("boolean"))
+
+
+def slice_dimensions(rows: DataFrame, offset: int, width: int) -> DataFrame:
+    """A subsequence of every dimension of series_id, dim, label, values, each normalised again."""
+    return rows.withColumn("values", subsequence(F.col("values"), offset, width))
+
+
 def prefix(values: Column, width: Column) -> Column:
     """B11 for a test series: its first points, normalised again."""
     return let(F.slice(values, F.lit(1), width), lambda v: znorm(v))
@@ -133,7 +143,8 @@ def symbol(value: Column, edges: Column) -> Column:
 
 
 def pack(symbols: Column, bits: int) -> Column:
-    """Symbol i at bit i * bits."""
+    """Symbol i at bit i * bits; at most 60 / bits symbols."""
+    symbols = F.slice(symbols, 1, 60 // bits)
     return F.aggregate(F.transform(symbols, lambda s, i: s.cast("long") * F.pow(F.lit(2.0), (i * bits).cast("double")).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
 
 

@@ -39,6 +39,12 @@ def bigram_bag(words: DataFrame, width: int, skip_zero: bool = True) -> DataFram
     return rows.groupBy("series_id", "label", F.col("p.prev").alias("prev"), F.col("p.word").alias("word")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def empty_classes(matrix: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """E5: the matrix with a row of null word and weight 0 for each label of labels(keys, label) that it lacks, so that every label is scored."""
+    missing = labels.select(*keys, "label").distinct().join(matrix.select(*keys, "label").distinct(), [*keys, "label"], "left_anti")
+    return matrix.unionByName(missing.select(*keys, "label", F.lit(None).cast("long").alias("word"), F.lit(0.0).alias("weight")))
+
+
 def tfidf(counts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Keys, label, word, weight: (1 + log10 tf) divided by log10(1 + C / df), C labels; 0 for words of all labels; each label's vector of
     length 1. keys tell apart matrices that are built together (folds, word lengths)."""
@@ -53,9 +59,9 @@ def tfidf(counts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return rows.join(norm, [*keys, "label"]).select(*keys, "label", "word", F.when(F.col("norm") > 0, F.col("raw") / F.col("norm")).otherwise(F.lit(0.0)).alias("weight"))
 
 
-def chi_squared(counts: DataFrame, features: list[str], limit: float = 2.0, cap: int | None = None) -> DataFrame:
+def chi_squared(counts: DataFrame, features: list[str], limit: float = 2.0, cap: int | None = None, within: tuple[str, ...] = ()) -> DataFrame:
     """The features and chi, the largest over labels of (observed - expected)^2 / expected by documents; kept if chi >= limit, with a cap the
-    largest (ties by feature)."""
+    largest (ties by feature) of all, or of each value of the `within` expressions (window length, single words or pairs)."""
     seen = counts.select("series_id", "label", *features).distinct()
     priors = counts.select("series_id", "label").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("of_label"))
     total = priors.agg(F.sum("of_label").alias("docs"))
@@ -66,7 +72,12 @@ def chi_squared(counts: DataFrame, features: list[str], limit: float = 2.0, cap:
     expected = F.col("all") * F.col("of_label") / F.col("docs")
     rows = rows.withColumn("chi", F.pow(F.coalesce("obs", F.lit(0)) - expected, F.lit(2.0)) / expected)
     out = rows.groupBy(*features).agg(F.max("chi").alias("chi")).filter(F.col("chi") >= limit)
-    return out if cap is None else out.orderBy(F.desc("chi"), *features).limit(cap)
+    if cap is None:
+        return out
+    if not within:
+        return out.orderBy(F.desc("chi"), *features).limit(cap)
+    rank = F.row_number().over(Window.partitionBy(*[F.expr(e) for e in within]).orderBy(F.desc("chi"), *features))
+    return out.withColumn("_rank", rank).filter(F.col("_rank") <= cap).drop("_rank")
 
 
 def chi_squared_tail(x: float, freedom: int) -> float:

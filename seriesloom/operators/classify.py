@@ -5,8 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, OneVsRest
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -71,14 +70,26 @@ def window_nearest(distances: DataFrame, digits: int = 9) -> DataFrame:
     return best.select("series_id", F.col("b.train_id").alias("train_id"), F.col("b.train_label").alias("predicted"), F.col("b.distance").alias("distance"))
 
 
-def window_sweep(train: DataFrame, widths: list[int], factor: float = 0.92) -> DataFrame:
-    """Width, correct, score of leave-one-out runs, kept by the ensemble's factor."""
+def window_sweep(train: DataFrame, widths: list[int], factor: float = 0.92, norms: tuple[bool, ...] = (True, False)) -> DataFrame:
+    """Width, with_mean, correct, score of leave-one-out runs, those within the factor of the best."""
     runs = None
-    for w in widths:
-        found = window_nearest(window_distances(train, train, w, same=True)).join(train.select("series_id", "label"), "series_id")
-        run = found.agg(F.sum((F.col("predicted") == F.col("label")).cast("int")).alias("correct"), F.count(F.lit(1)).alias("n")).withColumn("width", F.lit(w))
-        runs = run if runs is None else runs.unionByName(run)
-    return ensemble_filter(runs.withColumn("score", F.col("correct") / F.col("n")), factor)
+    for with_mean in norms:
+        for w in widths:
+            found = window_nearest(window_distances(train, train, w, same=True, with_mean=with_mean)).join(train.select("series_id", "label"), "series_id")
+            run = found.agg(F.sum((F.col("predicted") == F.col("label")).cast("int")).alias("correct"), F.count(F.lit(1)).alias("n"))
+            run = run.withColumn("width", F.lit(w)).withColumn("with_mean", F.lit(with_mean))
+            runs = run if runs is None else runs.unionByName(run)
+    scored = settled(runs.withColumn("score", F.coalesce(F.col("correct") / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0))))
+    return ensemble_filter(scored, factor).select("width", "with_mean", "correct", "n", "score")
+
+
+def window_vote(models: DataFrame, train: DataFrame, test: DataFrame) -> DataFrame:
+    """series_id, predicted: nearest neighbours of each kept width and norm vote with the models' scores; ties go to the larger label."""
+    votes = None
+    for m in models.orderBy("with_mean", "width").collect():  # one row a setting
+        found = window_nearest(window_distances(test, train, m["width"], with_mean=m["with_mean"])).select("series_id", F.col("predicted").alias("label"), F.lit(m["score"]).alias("weight"))
+        votes = found if votes is None else votes.unionByName(found)
+    return weighted_vote(votes)
 
 
 # ---- evaluation and ensembles -------------------------------------------------------------------
@@ -122,34 +133,57 @@ def harmonic(accuracy_: Column, earliness_: Column) -> Column:
 
 
 def vectors(counts: DataFrame, known: DataFrame, features: list[str], size: int) -> DataFrame:
-    """series_id, label, features; words outside the dictionary are dropped, series without any known word have an empty vector."""
+    """series_id, label, features (a sparse vector of `size`, the feature ids being its indexes); words outside the dictionary are dropped, series without
+    any known word have an empty vector."""
     ids = counts.select("series_id", "label").distinct()
-    rows = counts.join(known, features).groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("feature_id", "cnt"))).alias("v"))
-
-    @F.udf(VectorUDT())
-    def sparse(v):
-        v = v or []
-        return SparseVector(size, [int(x[0]) for x in v], [float(x[1]) for x in v])
-
-    return ids.join(rows, "series_id", "left").select("series_id", F.col("label").cast("double").alias("label"), sparse("v").alias("features"))
+    repeated = F.array_repeat(F.col("feature_id").cast("string"), F.col("cnt").cast("int"))
+    rows = counts.join(known, features).groupBy("series_id").agg(F.flatten(F.collect_list(repeated)).alias("tokens"))
+    rows = ids.join(rows, "series_id", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+    model = CountVectorizerModel.from_vocabulary([str(i) for i in range(size)], inputCol="tokens", outputCol="features")
+    return model.transform(rows).select("series_id", F.col("label").cast("double").alias("label"), "features")
+
+
+def linear_weights(train: DataFrame, features: list[str], chi: float = 2.0, cap: int | None = 10_000, within: tuple[str, ...] = (), iterations: int = 25) -> DataFrame:
+    """Features, label, weight: one-vs-rest logistic regression without intercept and with C = 1, over bags of train whose features
+    are selected by chi-squared (at most `cap` for each value of the `within` expressions). Labels may be any numbers. A row of null features tells a
+    label without any weight."""
+    train = settled(train)  # read for the features, the labels and the vectors
+    kept = chi_squared(train, features, chi, cap, within).select(*features)
+    known = settled(dictionary(kept, features))
+    size = known.count() + 1
+    labels = sorted(r["label"] for r in train.select(F.col("label").cast("double").alias("label")).distinct().collect())  # one a class
+    at = {label: float(i) for i, label in enumerate(labels)}
+    spark = train.sparkSession
+    schema = "feature_id long, label double, weight double"
+    if len(labels) > 1:
+        learn = vectors(train, known, features, size).persist()  # every class and step reads it
+        n = learn.count()
+        number = F.create_map(*[F.lit(x) for pair in at.items() for x in pair])
+        base = LogisticRegression(fitIntercept=False, standardization=False, regParam=1.0 / max(1, n), maxIter=iterations)
+        model = OneVsRest(classifier=base, parallelism=8).fit(learn.withColumn("label", number[F.col("label")]))
+        learn.unpersist()
+        found = [(int(i), label, float(w[i])) for label, w in zip(labels, (m.coefficients.toArray() for m in model.models)) for i in np.flatnonzero(w)]
+    else:
+        found = []
+    rows = spark.createDataFrame(found, schema).join(known, "feature_id").select(*features, "label", "weight")
+    bare = spark.createDataFrame([(label,) for label in labels], "label double").select(*[F.lit(None).cast(known.schema[f].dataType).alias(f) for f in features], "label", F.lit(0.0).alias("weight"))
+    return settled(rows.unionByName(bare))
+
+
+def linear_predict(weights: DataFrame, test: DataFrame, series: DataFrame, features: list[str]) -> DataFrame:
+    """series_id, label, predicted, probabilities (by ascending label) for each row of series(series_id, label). The margin of a label is the
+    sum of counts times weights; probabilities are sigmoids scaled to sum 1; ties go to the smaller label."""
+    labels = F.broadcast(weights.select(F.col("label").alias("to")).distinct())  # one row a class
+    hits = test.join(weights.withColumnRenamed("label", "to"), features).groupBy("series_id", "to").agg(F.sum(F.col("cnt") * F.col("weight")).alias("margin"))
+    rows = series.select("series_id", "label").join(labels, F.lit(True)).join(hits, ["series_id", "to"], "left")
+    rows = rows.withColumn("p", 1 / (1 + F.exp(-F.coalesce("margin", F.lit(0.0)))))
+    by = rows.groupBy("series_id", "label").agg(F.max_by("to", F.struct("p", -F.col("to"))).alias("predicted"), F.sort_array(F.collect_list(F.struct("to", "p"))).alias("all"), F.sum("p").alias("sum"))
+    return by.select("series_id", F.col("label").cast("double").alias("label"), "predicted", F.transform("all", lambda x: x["p"] / F.col("sum")).alias("probabilities"))
 
 
 def linear_fit_predict(train: DataFrame, test: DataFrame, features: list[str], chi: float = 2.0, cap: int | None = 10_000, iterations: int = 25) -> DataFrame:
-    """series_id, label, predicted, probabilities. Bags of train select features by chi-squared; one-vs-rest logistic regression without
-    intercept and with C = 1; probabilities are sigmoids scaled to sum 1."""
-    kept = chi_squared(train, features, chi, cap).select(*features)
-    known = settled(dictionary(kept, features))
-    size = known.count() + 1
-    learn = vectors(train, known, features, size).persist()  # every class and step reads it
-    n = learn.count()
-    base = LogisticRegression(fitIntercept=False, standardization=False, regParam=1.0 / max(1, n), maxIter=iterations)
-    model = OneVsRest(classifier=base, parallelism=8).fit(learn)
-    learn.unpersist()
-    out = model.transform(vectors(test, known, features, size))
-    raw = vector_to_array("rawPrediction")
-    sig = F.transform(raw, lambda x: 1 / (1 + F.exp(-x)))
-    out = out.withColumn("sig", sig).withColumn("probabilities", F.transform("sig", lambda x: x / F.aggregate(F.col("sig"), F.lit(0.0), lambda a, b: a + b)))
-    return out.select("series_id", "label", F.col("prediction").alias("predicted"), "probabilities")
+    """series_id, label, predicted, probabilities of the test bags by a linear model of the train bags."""
+    return linear_predict(linear_weights(train, features, chi, cap, (), iterations), test, test.select("series_id", "label").distinct(), features)
 
 
 def one_class_svm(x: np.ndarray, nu: float = 0.05, gamma: float = 1.0, eps: float = 1e-4, steps: int = 20_000) -> tuple[np.ndarray, float]:
@@ -184,23 +218,25 @@ def one_class_predict(x: np.ndarray, alpha: np.ndarray, rho: float, gamma: float
     return np.where(kernel @ alpha - rho >= 0, 1, -1)
 
 
-def master_features(label: Column, probabilities: Column) -> Column:
-    """The probabilities and the least gap between the best one and any other."""
-    best = F.array_max(probabilities)
-    gaps = F.filter(F.transform(probabilities, lambda p: best - p), lambda d: d > 0)
-    return F.concat(probabilities, F.array(F.coalesce(F.array_min(gaps), F.lit(0.0))))
+def master_features(probabilities: Column) -> Column:
+    """The probabilities and the gap between the best one and the next; 0 for a tie, 1 for a single class."""
+    ranked = F.sort_array(probabilities, asc=False)
+    gap = F.when(F.size(probabilities) < 2, F.lit(1.0)).otherwise(F.get(ranked, F.lit(0)) - F.get(ranked, F.lit(1)))
+    return F.concat(probabilities, F.array(gap))
 
 
-def early_decisions(snapshots: DataFrame, threshold: int, last: int) -> DataFrame:
+def early_decisions(snapshots: DataFrame, threshold: int, last: int | Column) -> DataFrame:
     """series_id, s, predicted: the first snapshot at which `threshold` accepted labels in a row are equal, or the last one.
 
-    snapshots: series_id, s, label_at, accepted. Rejected snapshots don't break a row; at snapshot `last` a label is always accepted."""
+    snapshots: series_id, s, label_at, accepted. Rejected snapshots don't break a row; at snapshot `last` (a number, or a column: the series' own length) a
+    label is always accepted."""
     w = Window.partitionBy("series_id").orderBy("s")
-    rows = snapshots.filter(F.col("accepted") | (F.col("s") >= last))
+    last = F.lit(last) if isinstance(last, int) else last
+    rows = snapshots.withColumn("_last", last).filter(F.col("accepted") | (F.col("s") >= F.col("_last")))
     rows = rows.withColumn("change", F.coalesce((F.col("label_at") != F.lag("label_at").over(w)).cast("int"), F.lit(1)))
     rows = rows.withColumn("run", F.sum("change").over(w))
     rows = rows.withColumn("in_row", F.row_number().over(Window.partitionBy("series_id", "run").orderBy("s")))
-    done = rows.filter((F.col("in_row") >= threshold) | (F.col("s") >= last))
+    done = rows.filter((F.col("in_row") >= threshold) | (F.col("s") >= F.col("_last")))
     return done.groupBy("series_id").agg(F.min(F.struct("s", "label_at")).alias("d")).select("series_id", F.col("d.s").alias("s"), F.col("d.label_at").alias("predicted"))
 
 

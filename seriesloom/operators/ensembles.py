@@ -7,12 +7,9 @@ import math
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.functions.series import prefix, window_fourier
 from seriesloom.functions.tables import settled
 from seriesloom.operators import bags as B
 from seriesloom.operators import classify as C
@@ -21,14 +18,22 @@ from seriesloom.operators import quantise as Q
 KEYS = ("width", "f")
 
 
-def bags_by_setting(series: DataFrame, edges_of: DataFrame, widths: Iterable[int], lengths: list[int], alphabet: int = 4, with_mean: bool = True) -> DataFrame:
-    """width, f, series_id, label, word, cnt: bags of every window and word length. Words are made once at the longest length; shorter ones are
-    their prefixes. Edges are learned from edges_of."""
-    bits, out = max(1, alphabet.bit_length() - 1), None
+def setting_edges(train: DataFrame, widths: Iterable[int], longest: int, alphabet: int = 4, with_mean: bool = True) -> DataFrame:
+    """Width, coef, edges: equi-depth edges of every window length, for words of up to `longest` symbols."""
+    out = None
     for width in widths:
-        length = min(max(lengths), width - width % 2)
-        edges = Q.equi_depth_edges(Q.fourier_values(edges_of, width, length, with_mean), alphabet)
-        words = B.packed_words(Q.window_words(series, edges, width, length, with_mean), bits)
+        one = Q.equi_depth_edges(Q.fourier_values(train, width, min(longest, width - width % 2), with_mean), alphabet).withColumn("width", F.lit(width))
+        out = one if out is None else out.unionByName(one)
+    return settled(out)
+
+
+def bags_by_setting(series: DataFrame, edges: DataFrame, lengths: Iterable[int], alphabet: int = 4, with_mean: bool = True) -> DataFrame:
+    """width, f, series_id, label, word, cnt: bags of every window length of edges(width, coef, edges) and every word length. Words are made once at the
+    longest length; shorter ones are their prefixes."""
+    bits, out = max(1, alphabet.bit_length() - 1), None
+    for row in edges.groupBy("width").agg(F.count(F.lit(1)).alias("length")).orderBy("width").collect():  # one row a window length
+        width, length = row["width"], row["length"]
+        words = B.packed_words(Q.window_words(series, edges.filter(F.col("width") == width).drop("width"), width, length, with_mean), bits)
         masks = F.array(*[F.struct(F.lit(f).alias("f"), F.lit((1 << bits * f) - 1).cast("long").alias("mask")) for f in lengths if f <= length])
         words = words.select("series_id", "label", "words", F.explode(masks).alias("m"))
         cut = B.reduced(F.transform("words", lambda w: w.bitwiseAND(F.col("m.mask"))))
@@ -52,43 +57,55 @@ def _best_lengths(scores: DataFrame) -> DataFrame:
 
 @dataclass
 class Ensemble:
-    """models(width, f, score) and the training bags of those settings."""
+    """models(width, f, score), the training bags of those settings, the edges by window length, and how the models vote."""
 
     models: DataFrame
     bags: DataFrame
+    edges: DataFrame
     votes: str
+    alphabet: int = 4
 
 
 def bag_ensemble(train: DataFrame, widths: Iterable[int], lengths: tuple[int, ...] = (6, 8, 10, 12, 14, 16), factor: float = 0.92) -> Ensemble:
     """Nearest neighbours by bags over all window lengths; leave-one-out on the training series scores each, and those within the factor of the
     best stay."""
-    bags = settled(bags_by_setting(train, train, widths, list(lengths)))
+    edges = setting_edges(train, widths, max(lengths))
+    bags = settled(bags_by_setting(train, edges, lengths))
     scores = settled(_best_lengths(_scores(C.bag_nearest(bags, bags, KEYS), train, KEYS)))
-    return Ensemble(C.ensemble_filter(scores, factor), bags, "nearest")
+    return _kept(scores, factor, bags, edges, "nearest")
+
+
+def _kept(scores: DataFrame, factor: float, bags: DataFrame, edges: DataFrame, votes: str) -> Ensemble:
+    models = settled(C.ensemble_filter(scores, factor))
+    few = F.broadcast(models.drop("score"))  # one row a window length
+    return Ensemble(models, settled(bags.join(few, list(KEYS), "left_semi")), settled(edges.join(F.broadcast(models.select("width")), "width", "left_semi")), votes)
 
 
 def vector_space_ensemble(train: DataFrame, widths: Iterable[int], lengths: tuple[int, ...] = (4, 6, 8, 10, 12, 14, 16), factor: float = 0.95, folds: int = 10) -> Ensemble:
-    """Class vectors over all window lengths, scored by stratified folds. A fold is a column: its matrix leaves its own series out."""
-    bags = settled(bags_by_setting(train, train, widths, list(lengths)))
+    """Class vectors over all window lengths, scored by stratified folds. A fold is a column: its matrix leaves its own series out; a label that
+    only the left out series have has an empty vector."""
+    edges = setting_edges(train, widths, max(lengths))
+    bags = settled(bags_by_setting(train, edges, lengths))
     fold = C.stratified_folds(train.select("series_id", "label"), folds).select("series_id", "fold")
     dealt = bags.join(fold, "series_id")
     others = dealt.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).filter("at <> fold").drop("fold").withColumnRenamed("at", "fold")
     keys = (*KEYS, "fold")
-    matrix = settled(B.tfidf(others, keys))  # read for its labels and for its weights
+    every = dealt.select(*keys).distinct().join(F.broadcast(train.select("label").distinct()), F.lit(True))  # one row a label
+    matrix = settled(B.empty_classes(B.tfidf(others, keys), every, keys))  # read for its labels and for its weights
     found = B.best_label(B.class_scores(dealt, matrix, keys), keys=keys)
     scores = settled(_best_lengths(_scores(found, train, KEYS)))
-    return Ensemble(C.ensemble_filter(scores, factor), bags, "vector")
+    return _kept(scores, factor, bags, edges, "vector")
 
 
-def ensemble_predict(model: Ensemble, train: DataFrame, test: DataFrame, widths: Iterable[int], lengths: tuple[int, ...]) -> DataFrame:
+def ensemble_predict(model: Ensemble, test: DataFrame) -> DataFrame:
     """series_id, predicted: votes of the models, weighted by their scores; ties go to the larger label."""
     kept = F.broadcast(model.models)  # one row a window length
-    known = model.bags.join(kept.drop("score"), list(KEYS), "left_semi")
-    bags = bags_by_setting(test, train, widths, list(lengths)).join(kept, list(KEYS), "left_semi")
+    lengths = [r["f"] for r in model.models.select("f").distinct().collect()]
+    bags = bags_by_setting(test, model.edges, lengths, model.alphabet).join(kept.drop("score"), list(KEYS), "left_semi")
     if model.votes == "nearest":
-        votes = C.bag_nearest(bags, known, KEYS)
+        votes = C.bag_nearest(bags, model.bags, KEYS)
     else:
-        votes = B.best_label(B.class_scores(bags, settled(B.tfidf(known, KEYS)), KEYS), keys=KEYS)
+        votes = B.best_label(B.class_scores(bags, settled(B.tfidf(model.bags, KEYS)), KEYS), keys=KEYS)
     return C.weighted_vote(votes.join(kept, list(KEYS)).select("series_id", F.col("predicted").alias("label"), F.col("score").alias("weight")))
 
 
@@ -104,93 +121,3 @@ def equidistant_widths(longest: int, least: int = 10) -> list[int]:
         out.append(int(at))
         at = int(at + step)
     return out
-
-
-def linear_bags(series: DataFrame, edges_of: DataFrame, widths: Iterable[int], length: int, alphabet: int = 4) -> DataFrame:
-    """Bags of words and pairs over window lengths: series_id, label, width, prev, word, cnt."""
-    out, bits = None, max(1, alphabet.bit_length() - 1)
-    for width in widths:
-        if width <= length:
-            continue
-        values = Q.fourier_values(edges_of, width, width - width % 2, True)
-        best = [r["coef"] for r in Q.anova_f(values).filter(F.col("rank") <= length).orderBy("rank").select("coef").collect()]  # at most `length` numbers
-        if not best:
-            continue
-        edges = Q.information_gain_edges(values.filter(F.col("coef").isin(best)), alphabet)
-        order = F.create_map(*[F.lit(x) for i, c in enumerate(best) for x in (c, i)])
-        edges = edges.withColumn("coef", order[F.col("coef")])
-        most = max(best) + 1 + (max(best) + 1) % 2
-        rows = Q.with_edges(series.withColumn("_f", window_fourier(F.col("values"), width, most, True)), edges)
-        picked = F.transform("_f", lambda w: Q.symbols(F.array(*[w[c] for c in best]), F.col("all_edges")))
-        one = B.bigram_bag(B.packed_words(rows.select("series_id", "label", picked.alias("words")), bits), width).withColumn("width", F.lit(width))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def select_linear(train: DataFrame, widths: list[int], lengths: tuple[int, ...] = (4, 6), folds: int = 10) -> tuple[int, float]:
-    """The word length with the most correct predictions over folds, and its share; the first perfect one ends the search."""
-    dealt = settled(C.stratified_folds(train, folds))
-    n, best = dealt.count(), (lengths[0], -1.0)
-    for length in lengths:
-        bags = linear_bags(train, train, widths, length).join(dealt.select("series_id", "fold"), "series_id")
-        bags = settled(bags)
-        right = 0
-        for k in range(folds):
-            out = C.linear_fit_predict(bags.filter(F.col("fold") != k), bags.filter(F.col("fold") == k), ["width", "prev", "word"])
-            right += out.filter("predicted = label").count()
-        if right / n > best[1]:
-            best = (length, right / n)
-        if right == n:
-            break
-    return best
-
-
-def early_classify(train: DataFrame, test: DataFrame, widths: list[int], length: int = 4, snapshots: int = 10, thresholds: tuple[int, ...] = (2, 3, 4, 5)) -> DataFrame:
-    """series_id, label, s, predicted, threshold, offset, size. At each snapshot a linear classifier learns the prefixes, a one-class machine
-    learns how its probabilities look when it is right, and a label counts when the machine accepts it. The run length that gives the best harmonic
-    mean of accuracy and earliness on the training series decides the test series. Prefixes are normalised again."""
-    longest = train.agg(F.max(F.size("values"))).first()[0] or 0
-    tables: dict[str, DataFrame | None] = {"train": None, "test": None}
-    for s in range(2, snapshots + 1):
-        size = math.floor(longest / snapshots * s + 0.5)
-        cut = lambda d: d.select("series_id", "label", prefix(F.col("values"), F.lit(size)).alias("values"))  # noqa: B023, E731
-        known = cut(train)
-        fitting = [w for w in widths if w <= size]
-        bags = linear_bags(known.unionByName(cut(test)), known, fitting, length)
-        if bags is None:
-            continue
-        bags = settled(bags)
-        own = bags.join(train.select("series_id"), "series_id", "left_semi")
-        out = C.linear_fit_predict(own, bags, ["width", "prev", "word"]).withColumn("s", F.lit(s)).withColumn("master", C.master_features(F.col("predicted"), F.col("probabilities")))
-        out = out.withColumn("right", F.col("predicted") == F.col("label"))
-        for name, d in (("train", train), ("test", test)):
-            part = out.join(d.select("series_id"), "series_id", "left_semi")
-            tables[name] = part if tables[name] is None else tables[name].unionByName(part)
-    if tables["train"] is None:  # one label or no window fits: nothing can be learned
-        return test.selectExpr("series_id", "label", "size(values) AS size", "CAST(NULL AS INT) AS s", "CAST(NULL AS DOUBLE) AS predicted", "CAST(NULL AS BIGINT) AS offset", f"{thresholds[0]} AS threshold")
-    learned, asked = (settled(tables[k]) for k in ("train", "test"))
-    gammas = {r["s"]: r["gamma"] for r in C.fit_masters(learned).collect()}  # one row a snapshot
-    machines = {}
-    for s, gamma in gammas.items():
-        rows = learned.filter((F.col("s") == s) & F.col("right")).orderBy(F.xxhash64("series_id"), "series_id").limit(2_000).select("master").collect()  # a bounded sample
-        x = np.array([r["master"] for r in rows])
-        machines[s] = (x, *C.one_class_svm(x, gamma=gamma), gamma)
-
-    @F.pandas_udf("boolean")
-    def accepted(s, master):
-        return pd.Series([bool(C.one_class_predict(x, a, rho, g, np.array([m]))[0] == 1) if k in machines else False for k, m in zip(s, master) for x, a, rho, g in [machines.get(k, (None,) * 4)]])
-
-    last = snapshots
-
-    def decided(rows: DataFrame, series: DataFrame, t: int) -> DataFrame:
-        seen = rows.select("series_id", "s", F.col("predicted").alias("label_at"), accepted("s", "master").alias("accepted"))
-        done = C.early_decisions(seen, t, last)
-        return series.select("series_id", "label", F.size("values").alias("size")).join(done, "series_id", "left").withColumn("offset", F.floor(F.lit(longest / snapshots) * F.col("s") + 0.5)).withColumn("threshold", F.lit(t))
-
-    best = (thresholds[0], -1.0)
-    for t in thresholds:
-        acc, early = decided(learned, train, t).agg(F.avg(F.coalesce((F.col("predicted") == F.col("label")).cast("int"), F.lit(0))), F.avg(F.least(F.lit(1.0), F.col("offset") / F.col("size")))).first()
-        mean = 2 * acc * (1 - early) / (acc + 1 - early) if acc and early is not None and acc + 1 - early else 0.0
-        if mean > best[1]:
-            best = (t, mean)
-    return decided(asked, test, best[0])

@@ -1,15 +1,18 @@
-"""Similarity search over windows: exact k nearest and range answers with a lower-bound filter, approximate search by word prefix, index tables.
+"""Similarity search over windows: exact k nearest and range answers for a table of queries, pruned by boxes and lower bounds, approximate search by word
+prefix, and index tables that can be written, loaded, merged, checked and described.
 
-The index is a table (series_id, offset, word, fourier, values) that can be written partitioned by a word prefix, so that a search by prefix prunes
-files. A query is one row; exact answers order by distance, so Spark keeps k rows a task."""
+The index is a table (series_id, offset, word, fourier, values) that can be written partitioned by a word prefix, so that a search reads only
+the prefixes whose box can hold an answer. Queries are rows; the best k are kept for each of them inside the tasks first."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from seriesloom.functions.representations import squared
 from seriesloom.functions.series import divisor, fourier, let, mean, raw_windows, znorm
+from seriesloom.functions.tables import settled
 from seriesloom.operators.quantise import symbols, with_edges
 
 
@@ -33,8 +36,28 @@ def prefix_of(word: Column, depth: int) -> Column:
 
 
 def write_index(index: DataFrame, path: str, depth: int = 2) -> None:
-    """Parquet partitioned by the first symbols; a hot prefix is spread over tasks by the rebalance."""
-    index.withColumn("prefix", prefix_of(F.col("word"), depth)).hint("rebalance", F.col("prefix")).write.partitionBy("prefix").parquet(path)
+    """Parquet partitioned by the first symbols; a hot prefix is spread over tasks by the rebalance. The boxes of the prefixes are written beside."""
+    rows = index.withColumn("prefix", prefix_of(F.col("word"), depth))
+    rows.hint("rebalance", F.col("prefix")).write.partitionBy("prefix").parquet(f"{path}/windows")
+    boxes(index, depth).write.parquet(f"{path}/boxes")
+
+
+def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The windows (with their prefix) and the boxes of a written index."""
+    windows = spark.read.option("basePath", f"{path}/windows").schema("series_id long, offset int, values array<double>, fourier array<double>, word array<int>, prefix string").parquet(f"{path}/windows")
+    return windows, spark.read.parquet(f"{path}/boxes")
+
+
+def merge_indexes(one: DataFrame, other: DataFrame) -> DataFrame:
+    """an index of the windows of both, which must have the same edges."""
+    return one.unionByName(other)
+
+
+def merge_boxes(one: DataFrame, other: DataFrame) -> DataFrame:
+    """the boxes of a merged index, without reading its windows."""
+    rows = one.unionByName(other).select("prefix", "size", F.posexplode(F.arrays_zip("low", "high")).alias("i", "b"))
+    ends = rows.groupBy("prefix", "i").agg(F.min("b.low").alias("lo"), F.max("b.high").alias("hi"), F.sum("size").alias("n"))
+    return _as_boxes(ends)
 
 
 def window_distance(window: Column, query: Column) -> Column:
@@ -53,47 +76,108 @@ def box_bound(fourier_: Column, low: Column, high: Column) -> Column:
     return F.aggregate(gap, F.lit(0.0), lambda s, g: s + 2.0 * g * g)
 
 
-def with_query(index: DataFrame, query: DataFrame) -> DataFrame:
-    """Adds q_values, q_fourier, q_word of the one query row."""
-    one = query.select(*[F.col(c).alias(f"q_{c}") for c in ("values", "fourier", "word")]).limit(1)
-    return index.join(F.broadcast(one), F.lit(True))
+def as_queries(rows: DataFrame) -> DataFrame:
+    """Rows of an index as queries: query_id (series_id), q_values, q_fourier, q_word."""
+    return rows.select(F.col("series_id").alias("query_id"), *[F.col(c).alias(f"q_{c}") for c in ("values", "fourier", "word")])
+
+
+def first_rows(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each query; ties (of distances rounded to nine decimals) by series and offset."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 9), "series_id", "offset"))
+    return found.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
+
+
+def _found(rows: DataFrame) -> DataFrame:
+    return rows.select("query_id", "series_id", "offset", squared(F.col("values"), F.col("q_values")).alias("distance"))
+
+
+def approximate(index: DataFrame, queries: DataFrame, k: int, depth: int) -> DataFrame:
+    """for each query the k nearest among the windows whose word begins as the query's. Queries meet windows by an equi-join on the prefix."""
+    rows = index.withColumn("_p", prefix_of(F.col("word"), depth)).join(queries.withColumn("_p", prefix_of(F.col("q_word"), depth)), "_p")
+    return first_rows(_found(rows), k)
 
 
-def nearest(index: DataFrame, query: DataFrame, k: int) -> DataFrame:
-    """the k nearest; ties by series and offset. A first look at the query's word gives a radius; what the bound puts beyond it is left
-    out before distances are taken."""
-    rows = with_query(index, query)
-    distance = squared(F.col("values"), F.col("q_values"))
-    seed = rows.filter(F.col("word") == F.col("q_word")).select(distance.alias("d")).orderBy("d").limit(k).agg(F.when(F.count(F.lit(1)) == k, F.max("d")).alias("radius"))
-    rows = rows.join(F.broadcast(seed), F.lit(True)).filter(F.col("radius").isNull() | (fourier_bound(F.col("fourier"), F.col("q_fourier")) <= F.col("radius") + 1e-9))
-    return rows.select("series_id", "offset", distance.alias("distance")).orderBy("distance", "series_id", "offset").limit(k)
+def candidates(index: DataFrame, box: DataFrame, asked: DataFrame, depth: int) -> DataFrame:
+    """windows with each query of asked(query_id, q_values, q_fourier, radius) whose radius reaches their prefix's box and, by the Fourier bound, them.
+    A null radius reaches all. Of a written index only the reached prefixes are read."""
+    reach = box_bound(F.col("q_fourier"), F.col("low"), F.col("high"))
+    pairs = box.select("prefix", "low", "high").join(F.broadcast(asked), F.col("radius").isNull() | (reach <= F.col("radius") + 1e-9)).drop("low", "high")
+    rows = index if "prefix" in index.columns else index.withColumn("prefix", prefix_of(F.col("word"), depth))
+    return rows.join(pairs, "prefix").filter(F.col("radius").isNull() | (fourier_bound(F.col("fourier"), F.col("q_fourier")) <= F.col("radius") + 1e-9))
 
 
-def within(index: DataFrame, query: DataFrame, epsilon: float) -> DataFrame:
-    """F8: strictly nearer than epsilon (squared distance); overlapping windows all count."""
-    rows = with_query(index, query).filter(fourier_bound(F.col("fourier"), F.col("q_fourier")) < epsilon)
-    return rows.select("series_id", "offset", squared(F.col("values"), F.col("q_values")).alias("distance")).filter(F.col("distance") < epsilon)
+def nearest(index: DataFrame, queries: DataFrame, k: int, box: DataFrame | None = None, depth: int = 2) -> DataFrame:
+    """query_id, series_id, offset, distance: the k nearest windows of each query. Those under the query's own prefix give a radius; only
+    prefixes whose box comes nearer are searched."""
+    box = settled(boxes(index, depth)) if box is None else box
+    seeds = approximate(index, queries, k, depth).groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.max("distance")).alias("radius"))
+    asked = settled(queries.select("query_id", "q_values", "q_fourier").join(seeds, "query_id", "left"))
+    return first_rows(_found(candidates(index, box, asked, depth)), k)
 
 
-def approximate(index: DataFrame, query: DataFrame, k: int, depth: int) -> DataFrame:
-    """the k nearest among the windows whose word begins as the query's."""
-    rows = with_query(index, query).filter(F.slice("word", 1, depth) == F.slice("q_word", 1, depth))
-    return rows.select("series_id", "offset", squared(F.col("values"), F.col("q_values")).alias("distance")).orderBy("distance", "series_id", "offset").limit(k)
+def within(index: DataFrame, queries: DataFrame, epsilon: float, box: DataFrame | None = None, depth: int = 2) -> DataFrame:
+    """F8: for each query the windows strictly nearer than epsilon (squared distance); overlapping windows all count."""
+    box = settled(boxes(index, depth)) if box is None else box
+    asked = queries.select("query_id", "q_values", "q_fourier").withColumn("radius", F.lit(float(epsilon)))
+    return _found(candidates(index, box, asked, depth)).filter(F.col("distance") < epsilon)
 
 
 def boxes(index: DataFrame, depth: int) -> DataFrame:
     """prefix, size, low and high of each Fourier value under it."""
     rows = index.select(prefix_of(F.col("word"), depth).alias("prefix"), F.posexplode("fourier").alias("i", "v"))
-    ends = rows.groupBy("prefix", "i").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
+    return _as_boxes(rows.groupBy("prefix", "i").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")))
+
+
+def _as_boxes(ends: DataFrame) -> DataFrame:
     return ends.groupBy("prefix").agg(F.max("n").alias("size"), F.sort_array(F.collect_list(F.struct("i", "lo", "hi"))).alias("box")).select("prefix", "size", F.col("box.lo").alias("low"), F.col("box.hi").alias("high"))
 
 
-def leaves(index: DataFrame, length: int, threshold: int) -> DataFrame:
-    """prefix, depth, size of the leaves of the trie: the shortest prefix of each word under which at most `threshold` windows lie, or the
-    whole word."""
-    counts = [index.groupBy(prefix_of(F.col("word"), d).alias(f"p{d}")).agg(F.count(F.lit(1)).alias(f"n{d}")) for d in range(1, length + 1)]
-    words = index.select(*[prefix_of(F.col("word"), d).alias(f"p{d}") for d in range(1, length + 1)]).distinct()
-    for d, c in enumerate(counts, 1):
-        words = words.join(c, f"p{d}")
-    leaf = F.coalesce(*[F.when(F.col(f"n{d}") <= threshold, F.struct(F.col(f"p{d}").alias("prefix"), F.lit(d).alias("depth"), F.col(f"n{d}").alias("size"))) for d in range(1, length)], F.struct(F.col(f"p{length}").alias("prefix"), F.lit(length).alias("depth"), F.col(f"n{length}").alias("size")))
-    return words.select(leaf.alias("leaf")).select("leaf.*").distinct()
+def leaves(index: DataFrame, length: int, threshold: int, least: int = 1) -> DataFrame:
+    """prefix, depth, size of the leaves of the trie: the shortest prefix of each word, of at least `least` symbols, under which at most `threshold`
+    windows lie, or the whole word."""
+    depths = range(least, length + 1)
+    words = index.groupBy("word").agg(F.count(F.lit(1)).alias("n")).select("n", *[prefix_of(F.col("word"), d).alias(f"p{d}") for d in depths])
+    words = settled(words)  # one row a word
+    for d in depths:
+        words = words.join(words.groupBy(f"p{d}").agg(F.sum("n").alias(f"n{d}")), f"p{d}")
+    leaf = lambda d: F.struct(F.col(f"p{d}").alias("prefix"), F.lit(d).alias("depth"), F.col(f"n{d}").alias("size"))
+    found = F.coalesce(*[F.when(F.col(f"n{d}") <= threshold, leaf(d)) for d in depths[:-1]], leaf(length))
+    return words.select(found.alias("leaf")).select("leaf.*").distinct()
+
+
+def compacted(found: DataFrame, threshold: int) -> DataFrame:
+    """parent, first, last, leaves, size: neighbouring leaves of one parent together, from the left, as long as they hold at most `threshold` windows.
+    A parent has as many children as the alphabet has symbols."""
+    by = found.groupBy(F.expr("substring(prefix, 1, length(prefix) - 1)").alias("parent")).agg(F.sort_array(F.collect_list(F.struct("prefix", F.col("size").cast("long").alias("size")))).alias("line"))
+
+    def step(acc: Column, leaf: Column) -> Column:
+        one = F.struct(leaf["prefix"].alias("first"), leaf["prefix"].alias("last"), F.lit(1).alias("leaves"), leaf["size"].alias("size"))
+        top = F.element_at(acc, -1)
+        joined = F.struct(top["first"].alias("first"), leaf["prefix"].alias("last"), (top["leaves"] + 1).alias("leaves"), (top["size"] + leaf["size"]).alias("size"))
+        fits = (F.size(acc) > 0) & (F.when(F.size(acc) > 0, top["size"]).otherwise(F.lit(0)) + leaf["size"] <= threshold)
+        return F.when(fits, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(one)))
+
+    kind = "array<struct<first: string, last: string, leaves: int, size: bigint>>"
+    groups = F.aggregate("line", F.array().cast(kind), lambda acc, leaf: step(acc, leaf).cast(kind))
+    return by.select("parent", F.explode(groups).alias("g")).select("parent", "g.*")
+
+
+def statistics(found: DataFrame) -> DataFrame:
+    """One row: windows, leaves, inner (nodes above the leaves, the root included), height, largest leaf."""
+    inner = found.select(F.explode(F.sequence(F.lit(0), F.col("depth") - 1)).alias("d"), "prefix").select(F.expr("substring(prefix, 1, d)").alias("node")).distinct()
+    counts = found.agg(F.sum("size").cast("long").alias("windows"), F.count(F.lit(1)).alias("leaves"), F.max("depth").cast("int").alias("height"), F.max("size").cast("long").alias("largest"))
+    return counts.join(inner.agg(F.count(F.lit(1)).alias("inner")), F.lit(True))
+
+
+def violations(index: DataFrame, box: DataFrame, depth: int) -> DataFrame:
+    """rows of an index that break its rules: no box for their prefix, a value outside of it, or a box whose size isn't its number of windows."""
+    rows = index.withColumn("prefix", prefix_of(F.col("word"), depth)).join(box, "prefix", "full")
+    outside = F.col("low").isNull() | F.col("series_id").isNull() | (box_bound(F.col("fourier"), F.col("low"), F.col("high")) > 0)
+    sizes = rows.groupBy("prefix").agg(F.count("series_id").alias("n"), F.max("size").alias("size")).filter("n <> size")
+    return rows.filter(outside).select("prefix", "series_id", "offset").unionByName(sizes.select("prefix", F.lit(None).cast("long").alias("series_id"), F.lit(None).cast("int").alias("offset")))
+
+
+def same_index(one: DataFrame, other: DataFrame) -> bool:
+    """whether two indexes hold the same windows with the same words."""
+    a, b = (d.groupBy("series_id", "offset", "word").count() for d in (one, other))
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

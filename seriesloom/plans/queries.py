@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions import representations as R
 from seriesloom.functions import series as S
+from seriesloom.functions.tables import settled
 from seriesloom.operators import bags as B
 from seriesloom.operators import classify as C
-from seriesloom.operators import ensembles as E
+from seriesloom.operators import models as M
 from seriesloom.operators import quantise as Q
 from seriesloom.operators import search as X
 from seriesloom.sources.readers import event_series, fixed_series, part_series, random_walks, with_derivatives
@@ -401,29 +402,31 @@ def index_of(spark, sf_dir) -> DataFrame:
     return X.window_index(series, Q.equi_width_edges(Q.fourier_values(series, W, L), A), W, L)
 
 
-def query_row(index: DataFrame) -> DataFrame:
-    return index.filter("series_id = 3 AND offset = 5")
+def query_rows(index: DataFrame) -> DataFrame:
+    """The sixth window of every series whose id is divisible by 50."""
+    return settled(X.as_queries(index.filter("series_id % 50 = 0 AND offset = 5")))
 
 
-ZW = f"ws AS (SELECT series_id, off, avg(x) AS m, {STD} AS s FROM win GROUP BY series_id, off HAVING count(*) = {W}), z AS (SELECT series_id, off, j, (x - m) / s AS z FROM win JOIN ws USING (series_id, off)), qz AS (SELECT j, z AS qz FROM z WHERE series_id = 3 AND off = 5), di AS (SELECT series_id, off, sum(pow(z - qz, 2)) AS d FROM z JOIN qz USING (j) GROUP BY series_id, off)"
+ZW = f"ws AS (SELECT series_id, off, avg(x) AS m, {STD} AS s FROM win GROUP BY series_id, off HAVING count(*) = {W}), z AS (SELECT series_id, off, j, (x - m) / s AS z FROM win JOIN ws USING (series_id, off)), qz AS (SELECT series_id AS query_id, j, z AS qz FROM z WHERE series_id % 50 = 0 AND off = 5), di AS (SELECT query_id, series_id, off, sum(pow(z - qz, 2)) AS d FROM z JOIN qz USING (j) GROUP BY query_id, series_id, off)"
+BEST = "SELECT query_id, series_id, off AS offset, round(d, 4) AS distance FROM {t} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), series_id, off) <= 10"
 
 
-@query(f"WITH {FX}, {win('fx')}, {ZW} SELECT series_id, off AS offset, round(d, 4) AS distance FROM di ORDER BY round(d, 9), series_id, off LIMIT 10")
+@query(f"WITH {FX}, {win('fx')}, {ZW} {BEST.format(t='di')}")
 def knn_search(spark, sf_dir):
-    index = index_of(spark, sf_dir)
-    return X.nearest(index, query_row(index), 10).withColumn("distance", rnd("distance", 4))
+    index = settled(index_of(spark, sf_dir))
+    return X.nearest(index, query_rows(index), 10).withColumn("distance", rnd("distance", 4))
 
 
-@query(f"WITH {FX}, {win('fx')}, {ZW} SELECT series_id, off AS offset, round(d, 4) AS distance FROM di WHERE d < 12")
+@query(f"WITH {FX}, {win('fx')}, {ZW} SELECT query_id, series_id, off AS offset, round(d, 4) AS distance FROM di WHERE d < 12")
 def range_search(spark, sf_dir):
-    index = index_of(spark, sf_dir)
-    return X.within(index, query_row(index), 12.0).withColumn("distance", rnd("distance", 4))
+    index = settled(index_of(spark, sf_dir))
+    return X.within(index, query_rows(index), 12.0).withColumn("distance", rnd("distance", 4))
 
 
-@query(f"WITH {ALL}, {ZW} SELECT di.series_id, off AS offset, round(d, 4) AS distance FROM di JOIN wd w USING (series_id, off) WHERE w.word & 63 = (SELECT word & 63 FROM wd WHERE series_id = 3 AND off = 5) ORDER BY round(d, 9), di.series_id, off LIMIT 10")
+@query(f"WITH {ALL}, {ZW}, ap AS (SELECT di.* FROM di JOIN wd w USING (series_id, off) JOIN wd q ON q.series_id = di.query_id AND q.off = 5 AND w.word & 63 = q.word & 63) {BEST.format(t='ap')}")
 def approx_search(spark, sf_dir):
-    index = index_of(spark, sf_dir)
-    return X.approximate(index, query_row(index), 10, 3).withColumn("distance", rnd("distance", 4))
+    index = settled(index_of(spark, sf_dir))
+    return X.approximate(index, query_rows(index), 10, 3).withColumn("distance", rnd("distance", 4))
 
 
 @query(f"WITH {ALL} SELECT array_to_string(syms[1:2], '') AS prefix, count(*) AS size, round(min(c0), 4) AS low0, round(max(c0), 4) AS high0, round(min(c3), 4) AS low3, round(max(c3), 4) AS high3 FROM wd JOIN wf USING (series_id, off) GROUP BY 1")
@@ -432,11 +435,31 @@ def prefix_index_stats(spark, sf_dir):
     return rows.select("prefix", "size", *[rnd(F.col(c)[i], 4).alias(f"{c}{i}") for i in (0, 3) for c in ("low", "high")])
 
 
-@query(f"WITH {ALL}, p AS (SELECT array_to_string(syms[1:1], '') AS p1, array_to_string(syms[1:2], '') AS p2, array_to_string(syms[1:3], '') AS p3, array_to_string(syms, '') AS p4 FROM wd), n AS (SELECT *, count(*) OVER (PARTITION BY p1) AS n1, count(*) OVER (PARTITION BY p2) AS n2, count(*) OVER (PARTITION BY p3) AS n3, count(*) OVER (PARTITION BY p4) AS n4 FROM p) SELECT DISTINCT CASE WHEN n1 <= 500 THEN p1 WHEN n2 <= 500 THEN p2 WHEN n3 <= 500 THEN p3 ELSE p4 END AS prefix, CASE WHEN n1 <= 500 THEN 1 WHEN n2 <= 500 THEN 2 WHEN n3 <= 500 THEN 3 ELSE 4 END AS depth, CASE WHEN n1 <= 500 THEN n1 WHEN n2 <= 500 THEN n2 WHEN n3 <= 500 THEN n3 ELSE n4 END AS size FROM n")
+LEAVES = f"p AS (SELECT array_to_string(syms[1:1], '') AS p1, array_to_string(syms[1:2], '') AS p2, array_to_string(syms[1:3], '') AS p3, array_to_string(syms, '') AS p4 FROM wd), n AS (SELECT *, count(*) OVER (PARTITION BY p1) AS n1, count(*) OVER (PARTITION BY p2) AS n2, count(*) OVER (PARTITION BY p3) AS n3, count(*) OVER (PARTITION BY p4) AS n4 FROM p), lv AS (SELECT DISTINCT CASE WHEN n1 <= 500 THEN p1 WHEN n2 <= 500 THEN p2 WHEN n3 <= 500 THEN p3 ELSE p4 END AS prefix, CASE WHEN n1 <= 500 THEN 1 WHEN n2 <= 500 THEN 2 WHEN n3 <= 500 THEN 3 ELSE 4 END AS depth, CASE WHEN n1 <= 500 THEN n1 WHEN n2 <= 500 THEN n2 WHEN n3 <= 500 THEN n3 ELSE n4 END AS size FROM n)"
+
+
+@query(f"WITH {ALL}, {LEAVES} SELECT * FROM lv")
 def trie_leaves(spark, sf_dir):
     return X.leaves(index_of(spark, sf_dir), L, 500)
 
 
+@query(f"WITH {ALL}, {LEAVES}, nd AS (SELECT DISTINCT prefix[1:d] AS node FROM (SELECT prefix, unnest(range(0, depth)) AS d FROM lv)) SELECT sum(size)::BIGINT AS windows, count(*) AS leaves, max(depth)::INT AS height, max(size)::BIGINT AS largest, (SELECT count(*) FROM nd) AS inner FROM lv")
+def index_statistics(spark, sf_dir):
+    return X.statistics(settled(X.leaves(index_of(spark, sf_dir), L, 500)))
+
+
+@query()
+def compacted_leaves(spark, sf_dir):
+    return X.compacted(X.leaves(index_of(spark, sf_dir), L, 500), 500)
+
+
+@query(f"WITH {ALL}, b AS (SELECT array_to_string(syms[1:2], '') AS prefix, count(*) AS size, round(min(c0), 4) AS low0, round(max(c0), 4) AS high0 FROM wd JOIN wf USING (series_id, off) GROUP BY 1) SELECT * FROM b")
+def merged_boxes(spark, sf_dir):
+    index = index_of(spark, sf_dir)
+    rows = X.merge_boxes(X.boxes(index.filter("series_id % 3 = 0"), 2), X.boxes(index.filter("series_id % 3 <> 0"), 2))
+    return rows.select("prefix", "size", rnd(F.col("low")[0], 4).alias("low0"), rnd(F.col("high")[0], 4).alias("high0"))
+
+
 # ---- classifiers --------------------------------------------------------------------------------
 
 
@@ -479,10 +502,37 @@ def window_1nn(spark, sf_dir):
     return C.window_nearest(C.window_distances(test, train, W)).withColumn("distance", rnd("distance", 4))
 
 
-@query()
-def window_ensemble(spark, sf_dir):
+def shot_runs(w: int, mean: bool) -> str:
+    """Leave-one-out runs over the whole table and the votes for its odd half, of one window length and norm: CTEs run_w_m and one_w_m."""
+    t = f"{w}_{int(mean)}"
+    shift = "m" if mean else "0"
+    return (
+        f"win_{t} AS (SELECT a.series_id, a.label, a.pos AS off, b.pos - a.pos AS j, b.x FROM fx a JOIN fx b ON a.series_id = b.series_id AND b.pos BETWEEN a.pos AND a.pos + {w - 1}), "
+        f"ws_{t} AS (SELECT series_id, off, avg(x) AS m, {STD} AS s FROM win_{t} GROUP BY series_id, off HAVING count(*) = {w}), "
+        f"wl_{t} AS (SELECT series_id, label, off, list((x - {shift}) / s ORDER BY j) AS v, sum(pow((x - {shift}) / s, 2)) AS q FROM win_{t} JOIN ws_{t} USING (series_id, off) GROUP BY series_id, label, off), "
+        f"sd_{t} AS (SELECT q.series_id, q.label, q.off, t.series_id AS train_id, t.label AS tl, min(q.q + t.q - 2 * list_dot_product(q.v, t.v)) AS d FROM wl_{t} q JOIN wl_{t} t ON q.off % {w} = 0 AND t.series_id % 2 = 0 AND q.series_id <> t.series_id GROUP BY ALL), "
+        f"sh_{t} AS (SELECT series_id, label, train_id, tl, round(sum(greatest(d, 0)), 9) AS d FROM sd_{t} GROUP BY ALL), "
+        f"one_{t} AS (SELECT series_id, label, tl AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY d, train_id) AS rn FROM sh_{t}) WHERE rn = 1), "
+        f"run_{t} AS (SELECT {w} AS width, {str(mean).upper()} AS with_mean, sum((predicted = label)::INT)::BIGINT AS correct, count(*) AS n FROM one_{t} WHERE series_id % 2 = 0)"
+    )
+
+
+SHOTS = [(w, mean) for mean in (True, False) for w in (16, 32, 64)]
+SHOT_SQL = ", ".join(shot_runs(*x) for x in SHOTS)
+SHOT_RUNS = " UNION ALL ".join(f"SELECT * FROM run_{w}_{int(m)}" for w, m in SHOTS)
+SHOT_VOTES = " UNION ALL ".join(f"SELECT series_id, predicted, (SELECT score FROM kp WHERE width = {w} AND with_mean = {str(m).upper()}) AS weight FROM one_{w}_{int(m)} WHERE series_id % 2 = 1" for w, m in SHOTS)
+
+
+@query(f"WITH {FX}, {SHOT_SQL}, ru AS ({SHOT_RUNS}), sc AS (SELECT *, correct / n AS score FROM ru), kp AS (SELECT * FROM sc WHERE score >= (SELECT max(score) FROM sc) * 0.92) SELECT width::INT AS width, with_mean, correct, n, round(score, 4) AS score FROM kp")
+def window_sweep(spark, sf_dir):
     train, _ = halves(fixed_series(spark, sf_dir))
-    return C.window_sweep(train, [8, 16, 32]).withColumn("score", rnd("score", 4))
+    return C.window_sweep(train, [16, 32, 64]).withColumn("score", rnd("score", 4))
+
+
+@query(f"WITH {FX}, {SHOT_SQL}, ru AS ({SHOT_RUNS}), sc AS (SELECT *, correct / n AS score FROM ru), kp AS (SELECT * FROM sc WHERE score >= (SELECT max(score) FROM sc) * 0.92), vt AS ({SHOT_VOTES}), sm AS (SELECT series_id, predicted, sum(weight) AS w FROM vt WHERE weight IS NOT NULL GROUP BY ALL) SELECT series_id, predicted FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(w, 9) DESC, predicted DESC) AS rn FROM sm) WHERE rn = 1")
+def window_ensemble(spark, sf_dir):
+    train, test = halves(fixed_series(spark, sf_dir))
+    return C.window_vote(settled(C.window_sweep(train, [16, 32, 64])), train, test)
 
 
 @query("SELECT vec_id AS series_id, label::DOUBLE AS label, ((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) % 10)::INT AS fold FROM embeddings")
@@ -502,7 +552,7 @@ def ensemble_filter(spark, sf_dir):
     return C.ensemble_filter(rows, 0.98).withColumn("score", rnd("score", 4))
 
 
-SNAP = "sn AS (SELECT user_id AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s, (length(event_type) % 3)::DOUBLE AS label_at, value > 20 AS accepted, count(*) OVER (PARTITION BY user_id) AS length FROM events), ac AS (SELECT * FROM sn WHERE s <= 30 AND (accepted OR s >= 30)), ch AS (SELECT *, CASE WHEN label_at = lag(label_at) OVER (PARTITION BY series_id ORDER BY s) THEN 0 ELSE 1 END AS c FROM ac), ru AS (SELECT *, sum(c) OVER (PARTITION BY series_id ORDER BY s) AS run FROM ch), ir AS (SELECT *, row_number() OVER (PARTITION BY series_id, run ORDER BY s) AS k FROM ru), de AS (SELECT series_id, min(s) AS s, min_by(label_at, s) AS predicted, min(length) AS length FROM ir WHERE k >= 3 OR s >= 30 GROUP BY series_id)"
+SNAP = "sn AS (SELECT user_id AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s, (length(event_type) % 3)::DOUBLE AS label_at, value > 20 AS accepted, count(*) OVER (PARTITION BY user_id) AS length FROM events), ac AS (SELECT * FROM sn WHERE accepted OR s >= length), ch AS (SELECT *, CASE WHEN label_at = lag(label_at) OVER (PARTITION BY series_id ORDER BY s) THEN 0 ELSE 1 END AS c FROM ac), ru AS (SELECT *, sum(c) OVER (PARTITION BY series_id ORDER BY s) AS run FROM ch), ir AS (SELECT *, row_number() OVER (PARTITION BY series_id, run ORDER BY s) AS k FROM ru), de AS (SELECT series_id, min(s) AS s, min_by(label_at, s) AS predicted, min(length) AS length FROM ir WHERE k >= 3 OR s >= length GROUP BY series_id)"
 
 
 def snapshots_of(spark, sf_dir) -> DataFrame:
@@ -515,14 +565,14 @@ def snapshots_of(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {SNAP} SELECT series_id, s, predicted FROM de")
 def early_decision(spark, sf_dir):
-    return C.early_decisions(snapshots_of(spark, sf_dir).filter("s <= 30"), 3, 30).withColumn("s", F.col("s").cast("long"))
+    return C.early_decisions(snapshots_of(spark, sf_dir), 3, F.col("length")).withColumn("s", F.col("s").cast("long"))
 
 
 @query(f"WITH {SNAP}, e AS (SELECT predicted AS label, count(*) AS n, avg(least(1.0, s / length)) AS e, avg((predicted = series_id % 3)::INT) AS a FROM de GROUP BY predicted) SELECT label, n, round(e, 4) AS earliness, round(2 * a * (1 - e) / (a + 1 - e), 4) AS harmonic FROM e")
 def earliness(spark, sf_dir):
     snaps = snapshots_of(spark, sf_dir)
     size = snaps.groupBy("series_id").agg(F.max("length").alias("length"))
-    done = C.early_decisions(snaps.filter("s <= 30"), 3, 30).join(size, "series_id").withColumnsRenamed({"predicted": "label", "s": "offset"})
+    done = C.early_decisions(snaps, 3, F.col("length")).join(size, "series_id").withColumnsRenamed({"predicted": "label", "s": "offset"})
     hit = done.groupBy("label").agg(F.avg((F.col("label") == F.col("series_id") % 3).cast("int")).alias("a"))
     out = C.earliness(done).join(hit, "label")
     return out.select("label", "n", rnd("earliness", 4).alias("earliness"), rnd(C.harmonic(F.col("a"), F.col("earliness")), 4).alias("harmonic"))
@@ -547,23 +597,47 @@ def walk_source(spark, sf_dir):
     return long(random_walks(spark, 100, 32), F.col("values"), "x", "series_id")
 
 
-SWEEP, LENGTHS = [12, 24, 32], (4, 6, 8)
-
-
 @query()
 def bag_ensemble(spark, sf_dir):
     train, test = halves(fixed_series(spark, sf_dir))
-    return E.ensemble_predict(E.bag_ensemble(train, SWEEP, LENGTHS), train, test, SWEEP, LENGTHS)
+    return M.predict(M.fit_bags(train, widths=list(range(64, 9, -6))), test).select("series_id", "predicted")
 
 
 @query()
 def vector_space_ensemble(spark, sf_dir):
     train, test = halves(fixed_series(spark, sf_dir))
-    return E.ensemble_predict(E.vector_space_ensemble(train, SWEEP, LENGTHS), train, test, SWEEP, LENGTHS)
+    return M.predict(M.fit_vector_space(train), test).select("series_id", "predicted")
+
+
+def odd_labels(series: DataFrame) -> DataFrame:
+    return series.withColumn("label", F.floor(F.col("series_id") / 2) % 2.0)
 
 
 @query()
 def early_classify(spark, sf_dir):
-    train, test = halves(event_series(spark, sf_dir).withColumn("label", F.floor(F.col("series_id") / 2) % 2.0))
-    out = E.early_classify(train, test, [8, 12], snapshots=4)
-    return out.select("series_id", "label", "s", "predicted", "threshold", "offset")
+    train, test = halves(odd_labels(event_series(spark, sf_dir)))
+    model = M.fit_early(train, lambda d: M.fit_linear(d, widths=[8, 12], lengths=(4,), norms=(True,)), snapshots=5)
+    return M.predict(model, test).select("series_id", "label", "s", "predicted", "offset")
+
+
+# ---- series as values, indexes ------------------------------------------------------------------
+
+
+@query(f"WITH {EV} SELECT count(*) AS pairs, sum(CASE WHEN a.vs = b.vs THEN 1 ELSE 0 END)::BIGINT AS equal FROM (SELECT series_id, list(x ORDER BY pos) AS vs FROM ev GROUP BY series_id) a JOIN (SELECT series_id, list(x ORDER BY pos) AS vs FROM ev GROUP BY series_id) b ON b.series_id IN (a.series_id, a.series_id + 1)")
+def equal_series(spark, sf_dir):
+    rows = event_series(spark, sf_dir).select("series_id", "values")
+    other = rows.select(F.explode(F.array(F.col("series_id"), F.col("series_id") - 1)).alias("series_id"), F.col("values").alias("other"))
+    same = S.same_series(F.col("values"), F.col("other"), F.lit(False), F.lit(False))
+    return rows.join(other, "series_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum(same.cast("long")).alias("equal"))
+
+
+@query(f"WITH {PT}, sub AS (SELECT series_id, dim, pos - 4 AS pos, x FROM pt WHERE pos >= 4 AND pos < 12), st AS (SELECT series_id, dim, avg(x) AS m, sqrt(greatest(avg(x*x) - pow(avg(x), 2), 0)) AS s FROM sub GROUP BY series_id, dim) SELECT series_id, dim, pos, round((x - m) / CASE WHEN s > 0 THEN s ELSE 1 END, 3) AS z FROM sub JOIN st USING (series_id, dim) WHERE s > 1e-6")
+def slice_dimensions(spark, sf_dir):
+    rows = S.slice_dimensions(part_series(spark, sf_dir).withColumn("std", S.stddev(F.slice("values", 5, 8))).filter("std > 1e-6"), 4, 8)
+    return rows.select("series_id", "dim", F.posexplode("values").alias("pos", "_x")).select("series_id", "dim", "pos", rnd("_x", 3).alias("z"))
+
+
+@query(f"WITH {ALL}, {BAG}, {TF.format(where=' WHERE label <> 3')}, every AS (SELECT DISTINCT label FROM fx) SELECT label, word, round(weight, 4) AS weight FROM mt UNION ALL SELECT label, NULL, 0 FROM every WHERE label NOT IN (SELECT label FROM mt)")
+def empty_classes(spark, sf_dir):
+    bags = bags_of(spark, sf_dir)
+    return B.empty_classes(B.tfidf(bags.filter("label <> 3")), bags).withColumn("weight", rnd("weight", 4))

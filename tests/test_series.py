@@ -13,6 +13,7 @@ from seriesloom.functions import series as S
 from seriesloom.operators import bags as B
 from seriesloom.operators import classify as C
 from seriesloom.operators import ensembles as E
+from seriesloom.operators import models as M
 from seriesloom.operators import quantise as Q
 from seriesloom.operators import search as X
 from seriesloom.sources import readers as I
@@ -130,13 +131,15 @@ def test_words_bound_and_search(spark):
     edges = Q.equi_width_edges(Q.fourier_values(rows, 16, 4), 8).cache()
     index = X.window_index(rows, edges, 16, 4).cache()
     assert index.count() == 20 * 33
-    query = index.filter("series_id = 2 AND offset = 7")
-    q = norm(data[2][2][7:23])
-    true = sorted((round(float(((norm(x[o : o + 16]) - q) ** 2).sum()), 9), i, o) for i, _, x in data for o in range(33))
-    got = [(r.series_id, r.offset) for r in X.nearest(index, query, 5).collect()]
-    assert got == [(i, o) for _, i, o in true[:5]]
-    assert X.within(index, query, 9.0).count() == sum(d < 9.0 for d, *_ in true)
-    near = X.with_query(index, query).select(X.squared("values", "q_values").alias("d"), X.fourier_bound(F.col("fourier"), F.col("q_fourier")).alias("lo"))
+    queries = X.as_queries(index.filter("series_id % 6 = 2 AND offset = 7")).cache()
+    true = {}
+    for k in (2, 8, 14):
+        q = norm(data[k][2][7:23])
+        true[k] = sorted((round(float(((norm(x[o : o + 16]) - q) ** 2).sum()), 9), i, o) for i, _, x in data for o in range(33))
+    got = {(r.query_id, r.series_id, r.offset) for r in X.nearest(index, queries, 5).collect()}
+    assert got == {(k, i, o) for k, t in true.items() for _, i, o in t[:5]}
+    assert X.within(index, queries, 9.0).count() == sum(d < 9.0 for t in true.values() for d, *_ in t)
+    near = index.crossJoin(queries).select(R.squared(F.col("values"), F.col("q_values")).alias("d"), X.fourier_bound(F.col("fourier"), F.col("q_fourier")).alias("lo"))
     assert near.filter("lo > d + 1e-6").count() == 0
     box = X.boxes(index, 1)
     joined = index.join(box, X.prefix_of(F.col("word"), 1) == F.col("prefix")).select(X.box_bound(F.col("fourier"), F.col("low"), F.col("high")).alias("b"))
@@ -144,6 +147,107 @@ def test_words_bound_and_search(spark):
     assert X.leaves(index, 4, 50).agg(F.sum("size")).first()[0] == index.count()
 
 
+def test_index_is_written_merged_and_pruned(spark, tmp_path):
+    data = [(i, float(i % 2), rng.normal(size=40).cumsum().tolist()) for i in range(24)]
+    rows = spark.createDataFrame(data, "series_id long, label double, values array<double>")
+    edges = Q.equi_width_edges(Q.fourier_values(rows, 16, 4), 4).cache()
+    index = X.window_index(rows, edges, 16, 4).cache()
+    X.write_index(index, f"{tmp_path}/i", 2)
+    windows, box = X.load_index(spark, f"{tmp_path}/i")
+    assert X.same_index(index, windows) and X.violations(windows, box, 2).isEmpty()
+    assert not X.same_index(index, windows.filter("offset > 0")) and not X.violations(windows.filter("offset > 0"), box, 2).isEmpty()
+    parts = [index.filter(f"series_id % 2 = {k}") for k in (0, 1)]
+    assert X.same_index(X.merge_indexes(*parts), index)
+    key = lambda df: {r.prefix: (r.size, r.low, r.high) for r in df.collect()}
+    assert key(X.merge_boxes(*(X.boxes(p, 2) for p in parts))) == key(box)
+    queries = X.as_queries(index.filter("series_id = 4 AND offset = 3"))
+    want = X.nearest(index, queries, 3).collect()
+    assert X.nearest(windows, queries, 3, box).select("series_id", "offset").collect() == [(r.series_id, r.offset) for r in want]
+    asked = queries.withColumn("radius", F.lit(0.5))
+    reached = X.candidates(windows, box, asked, 2).select("prefix").distinct().count()
+    assert 0 < reached < box.count() and X.candidates(windows, box, asked, 2).count() < index.count() / 4
+    assert X.within(windows, queries, 0.5, box).count() == X.within(index, queries, 0.5).count()
+
+
+def test_leaves_compact_and_count(spark):
+    words = ["00", "00", "00", "01", "02", "10", "11", "11", "20"]
+    index = spark.createDataFrame([(i, 0, [int(c) for c in w]) for i, w in enumerate(words)], "series_id long, offset int, word array<int>")
+    found = X.leaves(index, 2, 3)
+    assert {(r.prefix, r.depth, r["size"]) for r in found.collect()} == {("00", 2, 3), ("01", 2, 1), ("02", 2, 1), ("1", 1, 3), ("2", 1, 1)}
+    assert {(r["first"], r["last"], r.leaves, r["size"]) for r in X.compacted(found, 3).collect()} == {("00", "00", 1, 3), ("01", "02", 2, 2), ("1", "1", 1, 3), ("2", "2", 1, 1)}
+    assert X.statistics(found).first().asDict() == {"windows": 9, "leaves": 5, "height": 2, "largest": 3, "inner": 2}
+    assert {r.prefix for r in X.leaves(index, 2, 9, least=2).collect()} == set(words)
+
+
+def test_labels_may_be_any_numbers(spark):
+    counts = [(i, (-1.0, 3.0, 7.0)[i % 3], f"w{i % 3}", 2) for i in range(30)] + [(i, (-1.0, 3.0, 7.0)[i % 3], "all", 1) for i in range(30)]
+    bags = spark.createDataFrame(counts, "series_id long, label double, word string, cnt long")
+    out = C.linear_fit_predict(bags.filter("series_id < 20"), bags.filter("series_id >= 20"), ["word"], 0.5).collect()
+    assert len(out) == 10 and all(r.predicted == r.label and len(r.probabilities) == 3 for r in out)
+    one = C.linear_fit_predict(bags.filter("label = 3"), bags, ["word"], 0.0).collect()
+    assert {r.predicted for r in one} == {3.0}
+
+
+def test_master_gaps(spark):
+    rows = spark.createDataFrame([([0.2, 0.5, 0.3],), ([0.4, 0.4, 0.2],), ([1.0],)], "p array<double>")
+    gaps = [r.m[-1] for r in rows.select(C.master_features(F.col("p")).alias("m")).collect()]
+    assert gaps == pytest.approx([0.2, 0.0, 1.0])
+
+
+def test_equal_and_sliced(spark):
+    rows = spark.createDataFrame([([1.0, 2.0], [1.0, 2.0], True, True), ([1.0], [2.0], False, False)], "a array<double>, b array<double>, m boolean, n boolean")
+    same = lambda d: [r.s for r in d.select(S.same_series(F.col("a"), F.col("b"), F.col("m"), F.col("n")).alias("s")).collect()]
+    assert same(rows) == [True, False]
+    with pytest.raises(Exception, match="normalised"):
+        same(rows.withColumn("n", ~F.col("n")))
+    many = spark.createDataFrame([(1, d, 0.0, [float(x + d) ** 2 for x in range(9)]) for d in range(2)], "series_id long, dim int, label double, values array<double>")
+    for r in S.slice_dimensions(many, 2, 4).collect():
+        np.testing.assert_allclose(r["values"], norm([float(x + r.dim) ** 2 for x in range(2, 6)]), atol=1e-9)
+
+
+def waves(spark, n, length=36, dims=None, labels=(0.0, 1.0)):
+    r = np.random.default_rng(7)
+    make = lambda i, d: (np.sin(np.arange(length) * (0.4 + 0.6 * (i % 2)) + d) + 0.15 * r.normal(size=length)).tolist()
+    if dims is None:
+        return spark.createDataFrame([(i, labels[i % 2], make(i, 0)) for i in range(n)], "series_id long, label double, values array<double>")
+    return spark.createDataFrame([(i, d, labels[i % 2], make(i, d)) for i in range(n) for d in range(dims)], "series_id long, dim int, label double, values array<double>")
+
+
+FITS = {
+    "linear": lambda d: M.fit_linear(d, widths=[8, 12], lengths=(4,), norms=(True, False), folds=2),
+    "bags": lambda d: M.fit_bags(d, widths=[10, 16], lengths=(6, 8)),
+    "vectors": lambda d: M.fit_vector_space(d, widths=[10, 16], lengths=(4, 6), folds=3),
+    "windows": lambda d: M.fit_windows(d, widths=[8, 12]),
+    "one window": lambda d: M.fit_windows(d, widths=[8, 12], best_only=True),
+    "early": lambda d: M.fit_early(d, lambda p: M.fit_linear(p, widths=[6, 8], lengths=(4,), norms=(True,)), snapshots=3),
+}
+
+
+@pytest.mark.parametrize("name", FITS)
+def test_models_round_trip(spark, tmp_path, name):
+    labels = (-1.0, 4.0)
+    rows = waves(spark, 24, labels=labels)
+    train, test = rows.filter("series_id < 14"), rows.filter("series_id >= 14")
+    model = FITS[name](train)
+    M.save(model, f"{tmp_path}/m")
+    again = M.load(spark, f"{tmp_path}/m")
+    got = {r.series_id: r.predicted for r in M.predict(again, test).collect()}
+    assert got == {r.series_id: r.predicted for r in M.predict(model, test).collect()} and set(got) == set(range(14, 24))
+    score = M.evaluate(again, test).first()
+    assert score.n == 10 and score.accuracy >= 0.8 and score.correct == sum(got[i] == labels[i % 2] for i in got)
+
+
+def test_multivariate_models(spark, tmp_path):
+    rows = waves(spark, 16, 24, dims=2)
+    train, test = rows.filter("series_id < 10"), rows.filter("series_id >= 10")
+    model = M.fit_multivariate(train, widths=[6, 8], lengths=(2,), norms=(True,), binnings=("depth", "width"), folds=2)
+    assert M.evaluate(model, test).first().accuracy >= 0.8 and model.settings["binning"] in ("depth", "width")
+    early = M.fit_early(train, lambda p: M.fit_multivariate(p, widths=[6], lengths=(2,), norms=(True,), binnings=("width",)), snapshots=3, least=4)
+    M.save(early, f"{tmp_path}/m")
+    out = M.predict(M.load(spark, f"{tmp_path}/m"), test).collect()
+    assert len(out) == 6 and all(r.s in (2, 3) and r.offset <= 24 for r in out) and np.mean([r.predicted == r.label for r in out]) >= 0.8
+
+
 def test_supervised_words_and_linear(spark):
     data = [(i, float(i % 2), (np.sin(np.arange(60) * (0.4 + 0.5 * (i % 2))) + 0.1 * rng.normal(size=60)).tolist()) for i in range(24)] + [(99, 1.0, [1.0, 2.0])]
     rows = spark.createDataFrame(data, "series_id long, label double, values array<double>")
@@ -231,7 +335,7 @@ def test_ensembles(spark):
     train, test = rows.filter("series_id < 14"), rows.filter("series_id >= 14")
     for fit in (E.bag_ensemble, lambda *a: E.vector_space_ensemble(*a, folds=3)):
         model = fit(train, [10, 16], (4, 6))
-        got = {r.series_id: r.predicted for r in E.ensemble_predict(model, train, test, [10, 16], (4, 6)).collect()}
+        got = {r.series_id: r.predicted for r in E.ensemble_predict(model, test).collect()}
         assert np.mean([got[i] == i % 2 for i in range(14, 24)]) >= 0.8
 
 

@@ -24,7 +24,7 @@ import sys
 class No:
     def find_spec(self, name, path=None, target=None):
         if name == "corpus_pipeline" or name.startswith("seriesloom.llm"):
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, No())
 import __spark_entry__ as e
 assert e.queries() and not any(k.startswith("op") or k == "pipeline" for k in e.queries())

@@ -10,7 +10,7 @@ from seriesloom.functions import series as S
 from seriesloom.functions.tables import settled
 from seriesloom.operators import bags as B
 from seriesloom.operators import classify as C
-from seriesloom.operators import models as M
+from seriesloom.operators import models
 from seriesloom.operators import quantise as Q
 from seriesloom.operators import search as X
 from seriesloom.sources.readers import event_series, fixed_series, part_series, random_walks, with_derivatives
@@ -600,13 +600,13 @@ def walk_source(spark, sf_dir):
 @query()
 def bag_ensemble(spark, sf_dir):
     train, test = halves(fixed_series(spark, sf_dir))
-    return M.predict(M.fit_bags(train, widths=list(range(64, 9, -6))), test).select("series_id", "predicted")
+    return models.predict(models.fit_bags(train, widths=list(range(64, 9, -6))), test).select("series_id", "predicted")
 
 
 @query()
 def vector_space_ensemble(spark, sf_dir):
     train, test = halves(fixed_series(spark, sf_dir))
-    return M.predict(M.fit_vector_space(train), test).select("series_id", "predicted")
+    return models.predict(models.fit_vector_space(train), test).select("series_id", "predicted")
 
 
 def odd_labels(series: DataFrame) -> DataFrame:
@@ -616,8 +616,8 @@ def odd_labels(series: DataFrame) -> DataFrame:
 @query()
 def early_classify(spark, sf_dir):
     train, test = halves(odd_labels(event_series(spark, sf_dir)))
-    model = M.fit_early(train, lambda d: M.fit_linear(d, widths=[8, 12], lengths=(4,), norms=(True,)), snapshots=5)
-    return M.predict(model, test).select("series_id", "label", "s", "predicted", "offset")
+    model = models.fit_early(train, lambda d: models.fit_linear(d, widths=[8, 12], lengths=(4,), norms=(True,)), snapshots=5)
+    return models.predict(model, test).select("series_id", "label", "s", "predicted", "offset")
 
 
 # ---- series as values, indexes ------------------------------------------------------------------

@@ -16,6 +16,9 @@ from seriesloom.llm.prefix_trie import merged
 #: Edges that a task contracts at once.
 EDGES_AT_ONCE = 500_000
 
+#: Rows for each task of a round, and the fewest tasks; beyond, as many tasks as the shuffle has partitions.
+TASK_ROWS, FEWEST_TASKS = 50_000, 8
+
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges from each node of these edges to the smallest one that it is connected with; loops only for nodes that have nothing else."""
@@ -53,7 +56,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Edges are contracted within partitions, then two steps alternate until nothing changes: every node links its larger neighbours to its
     smallest one, then its smaller neighbours and itself. Both keep connectivity; a star is done in a round and a path of n nodes in about log n.
-    No node's neighbours are gathered: minima are aggregated and joined back, the nodes of very many edges by a broadcast of bounded size. Loops
+    No node's neighbours are gathered: minima are aggregated and joined back, the nodes of very many edges by a broadcast of bounded size. A round has
+    tasks by its counted edges, so that few edges don't cost a task for each shuffle partition. Loops
     and repeated edges are harmless, though a node with only a loop is returned too; rows with a null end are ignored; an empty table gives
     an empty result."""
     given = checkpoint(contracted(edges.filter("a IS NOT NULL AND b IS NOT NULL")))
@@ -62,15 +66,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     discard(given)
     count, state = edges.count(), None
     while count:
+        tasks = max(FEWEST_TASKS, count // TASK_ROWS)
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = checkpoint(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("size")))
-        large = split_lookup(both.filter("v > u"), least, "u", "size", 2 * count)
-        large = checkpoint(large.select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
+        least = checkpoint(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("size")).coalesce(tasks))
+        large = split_lookup(both.filter("v > u"), least, "u", "size", 2 * count).coalesce(tasks)
+        large = checkpoint(large.select(F.col("v").alias("a"), F.col("m").alias("b")).distinct().coalesce(tasks))
         discard(edges, least)
         # contraction leaves each node one smaller neighbour a part, so what follows has as many rows of an a as there were parts at most
-        small = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+        small = large.withColumn("m", F.min("b").over(Window.partitionBy("a"))).coalesce(tasks)
         ends = F.explode(F.array_distinct(F.array("a", F.when(F.col("b") != F.col("m"), F.col("b")).otherwise(F.col("a")))))
-        edges = checkpoint(small.select(ends.alias("a"), F.col("m").alias("b")).distinct())
+        edges = checkpoint(small.select(ends.alias("a"), F.col("m").alias("b")).distinct().coalesce(tasks))
         discard(large)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:

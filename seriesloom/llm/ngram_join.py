@@ -28,6 +28,8 @@ from seriesloom.llm.signatures import signatures
 CHUNK_BYTES, LARGEST_CHUNK, CHUNK_ROOT = 1 << 19, 3 << 20, 1 << 16
 #: Signatures that a task combines at once; bytes of text of the units that are joined at once.
 SIGNATURES_AT_ONCE, JOINED_BYTES = 1_000_000, 1 << 18
+#: Grams are frequent if more than one text in so many holds them, and more than so many texts; at most so many grams are kept.
+FREQUENT_SHARE, LEAST_FREQUENT, MOST_FREQUENT = 1_000, 20, 1 << 18
 
 
 def _docs(docs: DataFrame) -> DataFrame:
@@ -65,8 +67,42 @@ def distinct_texts(docs: DataFrame, lower: bool) -> DataFrame:
     return found.select(F.monotonically_increasing_id().alias("node"), "sha", "words", "least", "copies", F.octet_length("words").cast("long").alias("bytes"))
 
 
+def frequent_grams(texts: DataFrame, width: int) -> np.ndarray:
+    """Sorted hashes of grams that more than one in FREQUENT_SHARE of the texts(words) hold, the MOST_FREQUENT most frequent of them (2 MB).
+
+    Counted over all texts; a gram's count in a part of a task only counts if it is that frequent there, so it may come out low. Which grams are
+    found has no influence on results, only on the size of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("n-gram join")
+        held: list[np.ndarray] = []
+        size = sets = 0
+
+        def out() -> pa.RecordBatch:
+            gram, count = np.unique(np.concatenate(held), return_counts=True)
+            often = count > max(1, sets // FREQUENT_SHARE)
+            return pa.RecordBatch.from_arrays([pa.array(gram[often].view(np.int64)), pa.array(count[often])], names=["gram", "count"])
+
+        for batch in batches:
+            for _, grams, cut in shingle_sets(batch.column(0), width, False):
+                held.append(grams)
+                size += len(grams)
+                sets += len(cut) - 1
+                if size >= SIGNATURES_AT_ONCE:
+                    yield out()
+                    held, size, sets = [], 0, 0
+        if size:
+            yield out()
+
+    least = max(LEAST_FREQUENT, texts.count() // FREQUENT_SHARE)
+    found = texts.select("words").mapInArrow(run, "gram long, count long").groupBy("gram").agg(F.sum("count").alias("count")).filter(F.col("count") > least)
+    rows = found.orderBy(F.desc("count"), "gram").limit(MOST_FREQUENT).collect()
+    return np.sort(np.array([r.gram for r in rows], np.int64).view(np.uint64))
+
+
 def candidate_edges(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(a, b): edges that connect any two nodes of texts(node, words) that can link."""
+    frequent = texts.sparkSession.sparkContext.broadcast(frequent_grams(texts, width))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("n-gram join")
@@ -90,7 +126,7 @@ def candidate_edges(texts: DataFrame, width: int, num: int, den: int) -> DataFra
         for batch in batches:
             nodes = batch.column(0).to_numpy(zero_copy_only=False)
             for at, grams, cut in shingle_sets(batch.column(1), width, False):
-                of, sign = signatures(grams, cut, num, den)
+                of, sign = signatures(grams, cut, num, den, frequent.value)
                 held.append((nodes[at + of], sign))
                 count += len(sign)
                 if count >= SIGNATURES_AT_ONCE:

@@ -5,8 +5,12 @@ into more than d slices, the two agree on at least one of them whole. So a set g
 sets of its own size class and for the next larger class, and linked sets share a signature. Slices hold about five grams each, so what shares one is
 nearly always alike: frequent grams and shared passages alone don't connect documents.
 
+Grams that very many sets hold (any given set of them) are left out of the first cut: what is left of two linked sets differs no more than they do,
+so the argument holds, and a passage that a third of all documents share ties none of them.
+
 A slice that is empty in both sets says nothing. A set with so many empty slices that d changes could fall on all the others gives the
-signatures of another cut too, and after ROUNDS cuts a signature for each gram; two sets that both do so meet there. So no link is missed."""
+signatures of another cut too, of all its grams, and after ROUNDS cuts a signature for each gram; two sets that both do so meet there. So no link
+is missed."""
 
 from __future__ import annotations
 
@@ -14,7 +18,7 @@ import numpy as np
 
 from seriesloom.llm.common import mix
 
-ROUNDS = 4
+ROUNDS = 5
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -32,8 +36,16 @@ def slices_of(bounds: np.ndarray, num: int, den: int) -> np.ndarray:
     return most + 1 + most // 32
 
 
-def signatures(grams: np.ndarray, cut: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set, signature) pairs of sets grams[cut[i] : cut[i + 1]] (sorted distinct 64-bit hashes). Empty sets have none."""
+def members(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted table."""
+    if not len(table):
+        return np.zeros(len(values), bool)
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+
+
+def signatures(grams: np.ndarray, cut: np.ndarray, num: int, den: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(set, signature) pairs of sets grams[cut[i] : cut[i + 1]] (sorted distinct 64-bit hashes). Empty sets have none. frequent: sorted hashes, the
+    same for all sets that are to meet."""
     size = np.diff(cut)
     sets, found = [], []
     if not len(grams):
@@ -41,6 +53,7 @@ def signatures(grams: np.ndarray, cut: np.ndarray, num: int, den: int) -> tuple[
     bounds = class_bounds(int(size.max()), num, den)
     slices = slices_of(bounds, num, den)
     own = np.searchsorted(bounds, size, "right") - 1
+    rare = ~members(grams, frequent)
     for up in (0, 1):
         which = np.flatnonzero(size)
         scheme = own[which] + up
@@ -59,13 +72,17 @@ def signatures(grams: np.ndarray, cut: np.ndarray, num: int, den: int) -> tuple[
                 sets.append(which[owner])
                 found.append(mix(h + salt[owner]))
                 break
-            if turn:
+            if turn == 0:
+                h, owner = h[rare[at]], owner[rare[at]]
+            elif turn > 1:
                 h = mix(h + mix(np.full(1, turn, np.uint64)))
             place = ((h >> np.uint64(32)) * count[owner].astype(np.uint64)) >> np.uint64(32)
-            code = (np.cumsum(count) - count)[owner] + place.astype(np.int64)  # ascending in the first turn, as grams are
-            if turn:
+            code = (np.cumsum(count) - count)[owner] + place.astype(np.int64)  # ascending in the first two turns, as grams are
+            if turn > 1:
                 order = np.argsort(code, kind="stable")
                 code, h, owner = code[order], h[order], owner[order]
+            if not len(code):
+                continue
             first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
             total = np.add.reduceat(mix(h ^ _K[3]), first)
             of = owner[first]

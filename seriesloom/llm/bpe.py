@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import worker_state
+from seriesloom.llm.common import short_batches, worker_state
 
 #: Fixed value: the pattern that cuts text before byte-level merges.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -288,7 +288,7 @@ class _Source:
 
 
 #: Bytes of output after which a batch is passed on.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bpe(docs: DataFrame, path: str, decoded: bool = True, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -299,7 +299,7 @@ def bpe(docs: DataFrame, path: str, decoded: bool = True, keep: tuple[str, ...]
     Equal texts have equal ids; an empty table gives no rows; repeated rows are encoded alike. Other columns are ignored."""
     source = _Source(docs.sparkSession, path)
     columns = [*keep, "_text"]
-    rows = docs.select(*[F.col(c) for c in keep], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    rows = short_batches(docs).select(*[F.col(c) for c in keep], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text") + ", ids binary" + ", decoded string" * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -139,6 +139,34 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(bucket_of(doc_id, 3) == 1, F.lit(False))
 
 
+# ---- batches for Python workers ----------------------------------------------------------------
+
+#: Rows of text that go to a Python worker at once: a batch stands in the executor's direct memory and in the worker.
+TEXT_ROWS = 1_000
+
+
+def short_batches(df: DataFrame) -> DataFrame:
+    """df, after bounding the rows of an Arrow batch by TEXT_ROWS in its session, which stays so: the planner reads the setting when a query runs.
+    A lower bound that the session has is kept. Results don't depend on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= TEXT_ROWS:
+        df.sparkSession.conf.set(key, str(TEXT_ROWS))
+    return df
+
+
+def gathered(batches: Iterable[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in the same order in batches of at least so many, but for the last; for narrow rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
+
+
 # ---- state of Python workers --------------------------------------------------------------------
 
 _state: dict[object, object] = {}

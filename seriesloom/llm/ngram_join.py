@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 
-from seriesloom.llm.common import by_ids, checkpoint, discard, is_small, mix, normalised_texts, salted_lookup, sha256s, shingle_sets, split_lookup, worker_state
+from seriesloom.llm.common import by_ids, checkpoint, discard, gathered, is_small, mix, normalised_texts, salted_lookup, sha256s, shingle_sets, short_batches, split_lookup, worker_state
 from seriesloom.llm.components import connected_components, stars
 from seriesloom.llm.prefix_trie import join_units
 from seriesloom.llm.signatures import signatures
@@ -33,7 +33,7 @@ FREQUENT_SHARE, LEAST_FREQUENT, MOST_FREQUENT = 1_000, 20, 1 << 18
 
 
 def _docs(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def set_sizes(docs: DataFrame, width: int, lower: bool) -> DataFrame:
@@ -138,7 +138,7 @@ def candidate_edges(texts: DataFrame, width: int, num: int, den: int) -> DataFra
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come in the order of their keys: those of one key are tied to the first."""
         last, hub_before = None, 0
-        for batch in batches:
+        for batch in gathered(batches):
             key, node = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             if not len(key):
                 continue

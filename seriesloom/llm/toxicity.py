@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import checkpoint, held_out, mix, pieces, range_hashes, runs, smallest, worker_state
+from seriesloom.llm.common import checkpoint, held_out, mix, pieces, range_hashes, runs, short_batches, smallest, worker_state
 
 #: Interchangeable identity terms, by group.
 IDENTITIES = (
@@ -86,7 +86,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic_rows: int, clean_row
     known = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     ids = [smallest(known.filter(F.col("toxic") == t), ["toxic"], F.xxhash64(F.lit(seed), F.col("doc_id")), n) for t, n in ((1, toxic_rows), (0, clean_rows))]
     ids = checkpoint(ids[0].union(ids[1]))
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("of")).filter("text IS NOT NULL")
+    texts = short_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("of")).filter("text IS NOT NULL")
     own = texts.select("doc_id", "of").join(F.broadcast(ids), "doc_id")  # bounded above
     chosen = [smallest(own.filter(F.col("toxic") == t), ["toxic"], F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("of")), n) for t, n in ((1, toxic_rows), (0, clean_rows))]
     chosen = checkpoint(chosen[0].union(chosen[1]))
@@ -284,7 +284,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 part = batch.slice(at, 1_000)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores(part.column(1)))], names=["doc_id", "score"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return short_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -305,4 +305,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
                 part = batch.slice(at, 1_000)
                 yield part.filter(pa.array(model.scores(part.column(names.index("text")).cast(pa.string())) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return short_batches(docs).mapInArrow(run, docs.schema)

@@ -4,10 +4,12 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from seriesloom.llm.common import gathered, short_batches
 from seriesloom.llm.components import connected_components
 from seriesloom.llm.exact_dedup import drop_copies, exact_dedup
 from seriesloom.llm.ngram_join import drop_near_copies, similarity_classes
@@ -258,3 +260,23 @@ def test_near_copies_go_by_row(spark):
     full = [d for d in got if (d[1] or "").strip()]
     assert sorted((d for d in full if d[1][0] not in "fg"), key=key) == sorted([(1, base[0]), (1, base[1]), (None, base[2]), (None, base[3]), (2, base[4])], key=key)
     assert [d[0] for d in full if d[1][0] == "f"] == [None] and [d[0] for d in full if d[1][0] == "g"] == [3]
+
+
+def test_gathered_batches_keep_rows_and_order():
+    whole = pa.RecordBatch.from_arrays([pa.array([5, None, 7, 1, 1, 0, 9])], names=["x"])
+    got = list(gathered([whole.slice(0, 2), whole.slice(2, 0), whole.slice(2, 1), whole.slice(3, 3), whole.slice(6, 1)], 3))
+    assert [b.num_rows for b in got] == [3, 3, 1]
+    assert pa.Table.from_batches(got).equals(pa.Table.from_batches([whole]))
+    assert not list(gathered([])) and not list(gathered([whole.slice(0, 0)]))
+
+
+def test_short_batches_keep_a_lower_bound(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given_rows, then in (("10000", "1000"), ("0", "1000"), ("-1", "1000"), ("64", "64")):
+            spark.conf.set(key, given_rows)
+            short_batches(spark.range(1))
+            assert spark.conf.get(key) == then
+    finally:
+        spark.conf.set(key, before)

@@ -58,6 +58,21 @@ def test_windows(table):
     assert values(table, S.derivative(v))[1] == [0.0] and values(table, S.mean(v))[0] is None
 
 
+def test_window_fourier_rounds_as_the_sql(spark):
+    """Bit for bit: a value that should be 0 is off by the same last digit as in the SQL, so it falls on the same side of an edge at 0."""
+    x = np.array([(7 * i * i + 3 * i) % 11 / 100 for i in range(60)])
+    rows = spark.createDataFrame([(0, x.tolist())], "series_id long, values array<double>")
+    got = np.array(values(rows, S.window_fourier(F.col("values"), 8, 2))[0])
+    for i, (a, b) in enumerate(got):
+        sums = [0.0] * 4
+        for j in reversed(range(8)):
+            v = float(x[i + j])
+            sums = [s + t for s, t in zip(sums, (v * math.cos(2 * math.pi * j / 8), v * math.sin(2 * math.pi * j / 8), v, v * v))]
+        spread = sums[3] / 8 - sums[2] / 8 * (sums[2] / 8)
+        std = math.sqrt(spread) if spread > 0 else 1.0
+        assert (a, b) == (sums[0] / math.sqrt(8) / std, sums[1] / math.sqrt(8) / std)
+
+
 def test_representations(spark):
     n, length = 24, 8
     data = [(i, rng.normal(size=n).cumsum().tolist()) for i in range(12)]

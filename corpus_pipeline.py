@@ -10,6 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seriesloom.functions.tables import swept
 from seriesloom.llm.bpe import bpe
 from seriesloom.llm.common import checkpoint
 from seriesloom.llm.exact_dedup import drop_copies
@@ -61,7 +62,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             if place:
-                docs.write.parquet(f"{place}/{k}-{name}")
+                with swept(spark):
+                    docs.write.parquet(f"{place}/{k}-{name}")
                 docs = spark.read.parquet(f"{place}/{k}-{name}")
             else:
                 docs = checkpoint(docs)

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from seriesloom.functions.tables import swept
+
 #: The white space that separates words, as a Java/RE2 character class.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -44,9 +46,10 @@ def _own_folder() -> str:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage: writes df as a Parquet table in the shared folder and reads it again.
 
-    A lost executor costs a read, not the work before, and the planner knows the table's true size."""
+    A lost executor costs a read, not the work before, and the planner knows the table's true size. Shuffle files go at once."""
     path = f"{shared_folder(df.sparkSession)}/seriesloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with swept(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _written[out] = path
     return out

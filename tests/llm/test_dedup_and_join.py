@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -9,7 +10,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from seriesloom.llm.common import gathered, short_batches
+from seriesloom.functions.tables import settled
+from seriesloom.llm.common import checkpoint, gathered, short_batches
 from seriesloom.llm.components import connected_components
 from seriesloom.llm.exact_dedup import drop_copies, exact_dedup
 from seriesloom.llm.ngram_join import drop_near_copies, similarity_classes
@@ -280,3 +282,19 @@ def test_short_batches_keep_a_lower_bound(spark):
             assert spark.conf.get(key) == then
     finally:
         spark.conf.set(key, before)
+
+
+def test_checkpoints_give_their_shuffle_files_back(spark):
+    """Before, they stayed until the driver collected garbage, so a join's disk was the sum of its steps."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in (str(x.getName()) for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles())) if f.startswith("shuffle_")}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = files(), spark.conf.get(key, None)
+    for keep in (checkpoint, settled):
+        table = keep(spark.range(1_000).selectExpr("id", "id % 7 AS k").repartition(3, "k"))
+        assert table.count() == 1_000
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(key, None) == setting

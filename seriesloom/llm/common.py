@@ -13,7 +13,6 @@ from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -289,13 +288,34 @@ def encoded_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.D
 
 
 #: Seed of the word hash.
-WORD_SEED = 0x5EED0F3A11C7
+WORD_SEED = np.uint64(0x5EED0F3A11C7)
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word raw[start:end]: its length and its bytes, eight at a time, each through the finaliser, which is a bijection; so words
+    of one length up to eight bytes never share one."""
+    size = ends - starts
+    eights = np.ndarray(len(raw) + 1, "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), 0, (1,))
+    h, which, at, left = mix(size.astype(np.uint64) * _LEN + WORD_SEED), None, starts, size
+    while len(left):
+        taken = eights[at]
+        short = np.flatnonzero(left < 8)
+        taken[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+        if which is None:
+            h = mix(h ^ taken)
+        else:
+            h[which] = mix(h[which] + _BASE ^ taken)
+        more = np.flatnonzero(left > 8)
+        which, at, left = more if which is None else which[more], at[more] + 8, left[more] - 8
+    return h
 
 
 def dictionary_hashes(words: pa.DictionaryArray) -> np.ndarray:
-    """A 64-bit hash (xxh3, seeded) of each word of the dictionary."""
-    one = xxhash.xxh3_64_intdigest
-    return np.array([one(w, WORD_SEED) for w in words.dictionary.to_pylist()], np.uint64)
+    """word_hashes of the words of the dictionary."""
+    found = words.dictionary.cast(pa.large_binary())
+    offsets = np.frombuffer(found.buffers()[1], np.int64)[found.offset : found.offset + len(found) + 1]
+    raw = np.frombuffer(found.buffers()[2], np.uint8) if found.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return word_hashes(raw, offsets[:-1], offsets[1:])
 
 
 def words_by_document(texts: pa.Array, lower: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -306,10 +326,7 @@ def words_by_document(texts: pa.Array, lower: bool) -> Iterator[tuple[int, int,
         if lower:
             raw = np.where((raw >= 65) & (raw <= 90), raw | 32, raw)
         s, e = runs(~is_space(raw), starts[starts < len(raw)]) if len(raw) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        hashes = np.zeros(0, np.uint64)
-        if len(s):
-            coded = encoded_words(raw, s, e)
-            hashes = dictionary_hashes(coded)[coded.indices.to_numpy()]
+        hashes = word_hashes(raw, s, e)
         if held_at >= 0 and at != held_at:
             yield _one(held_at, held)
             held_at = -1
@@ -379,9 +396,10 @@ def shingle_sets(texts: pa.Array, width: int, lower: bool) -> Iterator[tuple[int
         doc, left, begins = shingle_places(np.diff(cut), width)
         begins = np.flatnonzero(begins)
         doc, value = doc[begins], shingle_hashes(hashes, left, begins, width)
-        order = np.lexsort((value, doc))
-        doc, value = doc[order], value[order]
         if len(value):
+            ends = np.flatnonzero(np.append(doc[1:] != doc[:-1], True)) + 1  # documents are in order already
+            for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist()):
+                value[lo:hi].sort()
             new = np.ones(len(value), bool)
             new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
             doc, value = doc[new], value[new]

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from seriesloom.functions.tables import settled
-from seriesloom.llm.common import checkpoint, gathered, short_batches
+from seriesloom.llm.common import checkpoint, dictionary_hashes, gathered, shingle_sets, short_batches, word_hashes
 from seriesloom.llm.components import connected_components
 from seriesloom.llm.exact_dedup import drop_copies, exact_dedup
 from seriesloom.llm.ngram_join import drop_near_copies, similarity_classes
@@ -298,3 +298,19 @@ def test_checkpoints_give_their_shuffle_files_back(spark):
             break
         time.sleep(0.2)
     assert not files() - before and spark.conf.get(key, None) == setting
+
+
+def test_words_have_one_hash_wherever_they_stand():
+    words = [b"a", b"a\0", b"\0", b"\0\0", b"abcdefgh", b"abcdefghi", b"abcdefgh\0", b"abcdefghabcdefgh", b"abcdefghabcdefg", b"x" * 40, b"x" * 41, "größe".encode()]
+    hashes = {}
+    for order in (words, words[::-1], words[3:] + words[:3]):
+        raw = np.frombuffer(b" ".join(order), np.uint8)
+        ends = np.cumsum([len(w) + 1 for w in order]) - 1
+        found = word_hashes(raw, ends - [len(w) for w in order], ends).tolist()
+        coded = pa.array(order, pa.large_binary()).dictionary_encode()
+        assert dictionary_hashes(coded)[coded.indices.to_numpy()].tolist() == found
+        for word, h in zip(order, found):
+            assert hashes.setdefault(word, h) == h
+    assert len(set(hashes.values())) == len(words)
+    sets = list(shingle_sets(pa.array(["b a b a b", None, "a"]), 2, False))
+    assert [len(g) for _, g, _ in sets] == [3] and sets[0][2].tolist() == [0, 2, 2, 3] and (np.diff(sets[0][1][:2].astype(object)) > 0).all()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions import representations as R
 from seriesloom.functions import series as S
 from seriesloom.operators import bags as B
+from seriesloom.operators import blocks as K
 from seriesloom.operators import classify as C
 from seriesloom.operators import ensembles as E
 from seriesloom.operators import models as M
@@ -344,6 +345,41 @@ def test_window_distances(spark):
     assert not got
 
 
+@pytest.mark.parametrize("numbers", [1 << 22, 100])
+def test_nearest_windows_by_blocks(spark, monkeypatch, numbers):
+    """The least of all pairs, of one broadcast block and of several; equal series tie to the smaller id."""
+    monkeypatch.setattr(K, "BLOCK_NUMBERS", numbers)
+    data = [(i, float(i % 2), (rng.normal(size=n) + 3).tolist()) for i, n in enumerate((20, 23, 5, 30, 8, 40))]
+    rows = spark.createDataFrame([*data, (6, 0.0, data[1][2]), (7, 1.0, data[1][2]), (8, 1.0, []), (9, 0.0, [2.0] * 20)], "series_id long, label double, values array<double>")
+    for same, mean in ((True, True), (False, False)):
+        want = {r.series_id: r for r in C.window_nearest(C.window_distances(rows, rows, 8, same=same, with_mean=mean)).collect()}
+        got = {r.series_id: r for r in C.window_nearest(K.nearest_windows(rows, rows, 8, same=same, with_mean=mean)).collect()}
+        assert {k: (r.train_id, r.predicted) for k, r in got.items()} == {k: (r.train_id, r.predicted) for k, r in want.items()} and 8 not in got
+        assert all(r.distance == pytest.approx(want[k].distance, abs=1e-8) for k, r in got.items())
+
+
+@pytest.mark.parametrize(("dense", "numbers"), [(1_024, 1 << 22), (0, 1 << 22), (1_024, 80)])
+def test_nearest_bags_by_blocks(spark, monkeypatch, dense, numbers):
+    """As by a join on the words, for dense and sparse bags, several settings and blocks."""
+    monkeypatch.setattr(K, "BLOCK_NUMBERS", numbers)
+    monkeypatch.setattr(K, "PAIRS_AT_ONCE", 60)
+    made = {(f, i): {int(w): int(rng.integers(1, 6)) for w in rng.choice(12 if i < 18 else 4000, 5, replace=False)} for f in (1, 2) for i in range(24)}
+    made[1, 5] = made[1, 3]
+    rows = spark.createDataFrame([(f, i, float(i % 3), w, c) for (f, i), bag in made.items() for w, c in bag.items()], "f int, series_id long, label double, word long, cnt long").cache()
+    monkeypatch.setattr(K, "DENSE_WORDS", dense)
+    got = {(r.f, r.series_id): (r.train_id, r.predicted, r.distance) for r in C.bag_nearest(rows.filter("series_id % 2 = 1"), rows, ("f",)).collect()}
+    for (f, i), q in made.items():
+        if i % 2:
+            found = []
+            for j in range(24):
+                t = made[f, j]
+                d = sum(t[w] ** 2 - 2 * q[w] * t[w] for w in q if w in t)
+                distance = sum(c * c for c in q.values()) + d
+                if d and distance:
+                    found.append((distance, j, j % 3))
+            assert got.get((f, i)) == ((min(found)[1], min(found)[2], min(found)[0]) if found else None)
+
+
 def test_ensembles(spark):
     data = [(i, float(i % 2), (np.sin(np.arange(40) * (0.4 + 0.6 * (i % 2))) + 0.1 * rng.normal(size=40)).tolist()) for i in range(24)]
     rows = spark.createDataFrame(data, "series_id long, label double, values array<double>")

@@ -185,6 +185,23 @@ def test_index_is_written_merged_and_pruned(spark, tmp_path):
     assert X.within(windows, queries, 0.5, box).count() == X.within(index, queries, 0.5).count()
 
 
+@pytest.mark.parametrize("numbers", [1 << 22, 50])
+def test_scan_without_an_index_finds_the_same(spark, monkeypatch, numbers):
+    """Searches that make the windows as they go, against those of a written index; equal windows tie by series and offset."""
+    monkeypatch.setattr(K, "BLOCK_NUMBERS", numbers)
+    monkeypatch.setattr(K, "ROWS_AT_ONCE", 7)
+    data = [(i, float(i % 2), rng.normal(size=int(n)).cumsum().tolist()) for i, n in enumerate(rng.integers(10, 60, 30))]
+    data += [(30 + i, 0.0, data[2][2]) for i in range(6)] + [(40, 0.0, [1.0] * 30)]
+    rows = spark.createDataFrame(data, "series_id long, label double, values array<double>")
+    edges = Q.equi_width_edges(Q.fourier_values(rows, 16, 4), 4).cache()
+    index = X.window_index(rows, edges, 16, 4).cache()
+    queries = X.as_queries(index.filter("series_id % 5 = 2 AND offset = 1")).cache()
+    key = lambda df: sorted((r.query_id, r.series_id, r.offset, round(r.distance, 7)) for r in df.collect())
+    assert key(X.scanned(rows, edges, 16, 4, queries, 2, k=5)) == key(X.nearest(index, queries, 5))
+    assert key(X.scanned(rows, edges, 16, 4, queries, 3, k=5, own_prefix=True)) == key(X.approximate(index, queries, 5, 3))
+    assert key(X.scanned(rows, edges, 16, 4, queries, 2, epsilon=9.0)) == key(X.within(index, queries, 9.0))
+
+
 def test_leaves_compact_and_count(spark):
     words = ["00", "00", "00", "01", "02", "10", "11", "11", "20"]
     index = spark.createDataFrame([(i, 0, [int(c) for c in w]) for i, w in enumerate(words)], "series_id long, offset int, word array<int>")

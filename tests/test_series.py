@@ -407,6 +407,17 @@ def test_ensembles(spark):
         assert np.mean([got[i] == i % 2 for i in range(14, 24)]) >= 0.8
 
 
+@pytest.mark.parametrize("fit", [E.bag_ensemble, lambda *a: E.vector_space_ensemble(*a, folds=3)])
+def test_bags_of_one_window_length_stand_at_a_time(spark, monkeypatch, fit):
+    data = [(i, float(i % 2), (np.sin(np.arange(30) * (0.4 + 0.6 * (i % 2))) + 0.1 * rng.normal(size=30)).tolist()) for i in range(10)]
+    rows, kept, gone = spark.createDataFrame(data, "series_id long, label double, values array<double>"), [], []
+    write, drop = E.settled, E.discard
+    monkeypatch.setattr(E, "settled", lambda df: kept.append(write(df)) or kept[-1])
+    monkeypatch.setattr(E, "discard", lambda df: gone.append(df.select("width").distinct().count()) or drop(df))
+    model = fit(rows, [10, 16], (4, 6))
+    assert gone == [1, 1] and sum("cnt" in df.columns for df in kept) == 3 and "cnt" in model.bags.columns
+
+
 def test_equidistant_widths():
     assert E.equidistant_widths(9) == [] and E.equidistant_widths(10) == [10] and E.equidistant_widths(12) == [12]
     widths = E.equidistant_widths(100)

@@ -33,6 +33,8 @@ TOXIC_ROWS, CLEAN_ROWS = 2_000, 4_000
 FEATURES, LEAST_DOCS, BEGINNINGS = 3_000, 4, (3, 4, 5, 6, 7)
 #: Penalties of the selection; share of the first that is left for the selected features; weight of the swaps; steps.
 L1, L2, RELAXED, SWAP_WEIGHT, STEPS = 2e-3, 1e-5, 0.02, 1.0, 300
+#: Rows of the sample whose features are turned to floats at once, in the driver; elsewhere a feature of a row is a byte.
+FLOAT_ROWS = 128
 THRESHOLD = 0.7
 
 _inside = np.zeros(256, bool)
@@ -182,7 +184,7 @@ def fit(sample: DataFrame, l1: float = L1, l2: float = L2, swap_weight: float =
 
     rows = sample.select("key", "features", "swap").mapInArrow(shrink, "key string, features binary, swap array<array<binary>>").collect()
     d = len(hashes)
-    x, swaps = np.zeros((n, d), np.float32), []
+    x, swaps = np.zeros((n, d), bool), []
     seen = set()
     for r in sorted(rows):
         if r["key"] not in seen:
@@ -199,7 +201,7 @@ def fit(sample: DataFrame, l1: float = L1, l2: float = L2, swap_weight: float =
     aside = y[~part]
     if 0 < aside.sum() < len(aside) and 0 < y[part].sum() < part.sum():
         w_part, b_part = _relaxed(x[part], y[part], differences, l1, l2, swap_weight, steps)
-        b += float(np.log(THRESHOLD / (1 - THRESHOLD))) - _cut(x[~part] @ w_part + b_part, aside)
+        b += float(np.log(THRESHOLD / (1 - THRESHOLD))) - _cut(_sums(x[~part], w_part) + b_part, aside)
     used = np.flatnonzero(w)
     return ToxicityModel(hashes[used], w[used].astype(float), b)
 
@@ -231,8 +233,19 @@ def _cut(margin: np.ndarray, y: np.ndarray) -> float:
     return float((margin[i] + margin[i + 1]) / 2)
 
 
+def _parts(x: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Places and floats of FLOAT_ROWS rows after the other of a matrix of booleans, which as floats would take four times its room."""
+    for at in range(0, len(x), FLOAT_ROWS):
+        yield slice(at, at + FLOAT_ROWS), x[at : at + FLOAT_ROWS].astype(np.float32)
+
+
+def _sums(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w for booleans x."""
+    return np.concatenate([rows @ w for _, rows in _parts(x)])
+
+
 def _relaxed(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, l1: float, l2: float, swap_weight: float, steps: int) -> tuple[np.ndarray, float]:
-    """Weights of mean log-loss + l1 |w| + l2 w^2 + swap_weight * mean squared score change of the swaps, both labels weighing alike; what is
+    """For booleans x: weights of mean log-loss + l1 |w| + l2 w^2 + swap_weight * mean squared score change of the swaps, both labels weighing alike; what is
     selected is then fitted again and shrunk less."""
     n, positive = len(y), y.sum()
     weight = np.where(y == 1, n / (2 * positive), n / (2 * (n - positive)))
@@ -246,9 +259,9 @@ def _relaxed(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, l1: float, l2: flo
 def _descend(x: np.ndarray, y: np.ndarray, weight: np.ndarray, swaps: np.ndarray, scale: float, l1: float, l2: float, steps: int) -> tuple[np.ndarray, float]:
     n, d = x.shape
     v, size = np.ones(d, np.float32), 1.0  # power iteration for the step
-    rows = weight[:, None].astype(np.float32) * x
+    single = weight.astype(np.float32)
     for _ in range(20):
-        v = rows.T @ (x @ v) / (4 * n) + 2 * scale * (swaps.T @ (swaps @ v))
+        v = sum(rows.T @ (single[at] * (rows @ v)) for at, rows in _parts(x)) / (4 * n) + 2 * scale * (swaps.T @ (swaps @ v))
         size = float(np.linalg.norm(v)) or 1.0
         v /= size
     step = 1 / (1.2 * size + 2 * l2 + 0.25)
@@ -258,8 +271,10 @@ def _descend(x: np.ndarray, y: np.ndarray, weight: np.ndarray, swaps: np.ndarray
     for _ in range(steps):
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         wz, bz = w + (t - 1) / t_new * (w - w_old), b + (t - 1) / t_new * (b - b_old)
-        off = weight * (1 / (1 + np.exp(-np.clip(x @ wz + bz, -30, 30))) - y) / n
-        g = x.T @ off.astype(np.float32) + 2 * l2 * wz + 2 * scale * (swaps.T @ (swaps @ wz))
+        off, g = np.zeros(n), 2 * l2 * wz + 2 * scale * (swaps.T @ (swaps @ wz))
+        for at, rows in _parts(x):
+            off[at] = weight[at] * (1 / (1 + np.exp(-np.clip(rows @ wz + bz, -30, 30))) - y[at]) / n
+            g += rows.T @ off[at].astype(np.float32)
         w_old, b_old, t = w, b, t_new
         w = wz - step * g
         w = (np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)).astype(np.float32)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -285,6 +286,42 @@ def test_toxicity_of_repeated_ids_and_rows(spark):
     assert len(got) == len(data) and len({r.score for r in got if r.doc_id == 6}) == 1
 
 
+def test_toxicity_trains_in_little_memory(spark):
+    rng, n, d = np.random.default_rng(8), 1_500, X.FEATURES
+    telling = rng.permutation(d)[:20]
+    data = []
+    for i in range(n):
+        has = {*rng.choice(d, 60, replace=False).tolist()} - {*telling.tolist()} | ({*rng.choice(telling, 3).tolist()} if i % 3 == 0 else set())
+        data.append((i, int(i % 3 == 0), str(i), sorted(has), []))
+    sample = spark.createDataFrame(data, "doc_id long, toxic int, key string, features array<long>, swap array<array<array<long>>>").repartition(8)
+    tracemalloc.start()
+    try:
+        model = X.fit(sample, steps=20)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    weights = dict(zip(model.hashes.tolist(), model.weights))
+    assert {*telling.tolist()} <= {h for h, w in weights.items() if w > 0}
+    assert most < 6 * n * d  # bytes: one matrix of floats with a copy takes 8 n d
+
+
+def test_toxicity_fits_as_on_floats():
+    rng = np.random.default_rng(12)
+    x, y = rng.random((700, 40)) < 0.2, (np.arange(700) % 3 == 0).astype(float)
+    x[:, 5] |= (y == 1) & (rng.random(700) < 0.7)
+    weight, swaps = rng.random(700) + 0.5, rng.normal(size=(3, 40)).astype(np.float32)
+    w, b = X._descend(x, y, weight, swaps, 0.1, 1e-3, 1e-5, 400)
+    assert np.allclose(X._sums(x, w), x.astype(float) @ w, atol=1e-5)
+
+    def loss(w, b):
+        z = x.astype(float) @ w + b
+        return np.mean(weight * (np.logaddexp(0, z) - y * z)) + 1e-3 * np.abs(w).sum() + 1e-5 * (w @ w) + 0.1 * np.sum((swaps.astype(float) @ w) ** 2)
+
+    least = loss(w.astype(float), b)
+    for _ in range(200):
+        assert loss(w + rng.normal(size=40) * 0.02, b + rng.normal() * 0.02) > least - 1e-7
+
+
 def test_smallest(spark):
     from pyspark.sql import functions as F
 

@@ -169,6 +169,12 @@ def gathered(batches: Iterable[pa.RecordBatch], rows: int = 20_000) -> Iterator[
         yield pa.concat_batches(held)
 
 
+def sliced(batch: pa.RecordBatch, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """The batch in batches of at most so many rows: a batch that comes back stands whole in the executor's direct memory, which keeps the room."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 # ---- state of Python workers --------------------------------------------------------------------
 
 _state: dict[object, object] = {}

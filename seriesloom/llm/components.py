@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seriesloom.llm.common import checkpoint, discard, split_lookup
+from seriesloom.llm.common import checkpoint, discard, sliced, split_lookup
 from seriesloom.llm.prefix_trie import merged
 
 #: Edges that a task contracts at once.
@@ -43,10 +43,10 @@ def contracted(edges: DataFrame) -> DataFrame:
             held.append(tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)))
             n += batch.num_rows
             if n >= EDGES_AT_ONCE:
-                yield out()
+                yield from sliced(out())
                 held, n = [], 0
         if n:
-            yield out()
+            yield from sliced(out())
 
     return edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(run, "a long, b long")
 

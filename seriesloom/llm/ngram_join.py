@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 
-from seriesloom.llm.common import by_ids, checkpoint, discard, gathered, is_small, mix, normalised_texts, salted_lookup, sha256s, shingle_sets, short_batches, split_lookup, worker_state
+from seriesloom.llm.common import by_ids, checkpoint, discard, gathered, is_small, mix, normalised_texts, salted_lookup, sha256s, shingle_sets, short_batches, sliced, split_lookup, worker_state
 from seriesloom.llm.components import connected_components, stars
 from seriesloom.llm.prefix_trie import join_units
 from seriesloom.llm.signatures import signatures
@@ -26,8 +26,8 @@ from seriesloom.llm.signatures import signatures
 #: Bytes of text in a chunk of a block (two chunks meet in a task): the least, the most, and in between the root of the block's bytes times the third, so
 #: that chunks and the times that each is read grow alike.
 CHUNK_BYTES, LARGEST_CHUNK, CHUNK_ROOT = 1 << 19, 3 << 20, 1 << 16
-#: Signatures that a task combines at once; bytes of text of the units that are joined at once.
-SIGNATURES_AT_ONCE, JOINED_BYTES = 1_000_000, 1 << 18
+#: Signatures that a task combines at once, grams that it counts at once; bytes of text of the units that are joined at once.
+SIGNATURES_AT_ONCE, GRAMS_AT_ONCE, JOINED_BYTES = 500_000, 1_000_000, 1 << 18
 #: Grams are frequent if more than one text in so many holds them, and more than so many texts; at most so many grams are kept.
 FREQUENT_SHARE, LEAST_FREQUENT, MOST_FREQUENT = 1_000, 20, 1 << 18
 
@@ -88,7 +88,7 @@ def frequent_grams(texts: DataFrame, width: int) -> np.ndarray:
                 held.append(grams)
                 size += len(grams)
                 sets += len(cut) - 1
-                if size >= SIGNATURES_AT_ONCE:
+                if size >= GRAMS_AT_ONCE:
                     yield out()
                     held, size, sets = [], 0, 0
         if size:
@@ -130,10 +130,10 @@ def candidate_edges(texts: DataFrame, width: int, num: int, den: int) -> DataFra
                 held.append((nodes[at + of], sign))
                 count += len(sign)
                 if count >= SIGNATURES_AT_ONCE:
-                    yield out()
+                    yield from sliced(out())
                     held, count = [], 0
         if count:
-            yield out()
+            yield from sliced(out())
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come in the order of their keys: those of one key are tied to the first."""

@@ -11,8 +11,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from seriesloom.functions.tables import settled
-from seriesloom.llm.common import checkpoint, dictionary_hashes, gathered, shingle_sets, short_batches, word_hashes
-from seriesloom.llm.components import connected_components
+from seriesloom.llm.common import checkpoint, dictionary_hashes, gathered, shingle_sets, short_batches, sliced, word_hashes
+from seriesloom.llm.components import connected_components, contracted
 from seriesloom.llm.exact_dedup import drop_copies, exact_dedup
 from seriesloom.llm.ngram_join import drop_near_copies, similarity_classes
 from seriesloom.llm.prefix_trie import join_units, shingle_ids
@@ -272,6 +272,23 @@ def test_gathered_batches_keep_rows_and_order():
     assert not list(gathered([])) and not list(gathered([whole.slice(0, 0)]))
 
 
+def test_large_batches_come_back_in_slices(spark):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(53)), pa.array([None if i % 3 else i for i in range(53)])], names=["a", "b"])
+    parts = list(sliced(batch, 20))
+    assert [b.num_rows for b in parts] == [20, 20, 13] and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert list(sliced(batch.slice(0, 0))) == []
+
+    class Plan:
+        """Gives the function that a task would run."""
+
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+
+    place = np.arange(50_000)
+    out = list(contracted(Plan())(iter([pa.RecordBatch.from_arrays([pa.array(2 * place), pa.array(2 * place + 1)], names=["a", "b"])])))
+    assert max(b.num_rows for b in out) <= 20_000 and {*pa.Table.from_batches(out)["b"].to_pylist()} == {*range(0, 100_000, 2)}
+
+
 def test_short_batches_keep_a_lower_bound(spark):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)

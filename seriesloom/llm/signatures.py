@@ -2,8 +2,12 @@
 
 Two sets of a and b grams that link with num / den lack at most d = (den - num) (a + b) / (num + den) grams of each other. If hash space is cut
 into more than d slices, the two agree on at least one of them whole. So a set gives one signature a slice, made of all its grams there, for
-sets of its own size class and for the next larger class, and linked sets share a signature. Slices hold about five grams each, so what shares one is
-nearly always alike: frequent grams and shared passages alone don't connect documents.
+sets of its own size class and for the next larger class, and linked sets share a signature.
+
+There are about a third more slices than that, and a set keeps its d + 1 fullest. This loses nothing: if n slices of a set hold grams, at least n - d of them are
+whole in the other set, and a set drops n - d - 1 at most. Both drop by one order (grams, then place), so of the slices that they share they drop together
+no more than the one that drops more. What is kept holds two grams, mostly three and more, so what shares one is nearly always alike: a few grams or a passage
+in common don't connect documents, not even very long ones, of whose slices many hold a single gram.
 
 Grams that very many sets hold (any given set of them) are left out of the first cut: what is left of two linked sets differs no more than they do,
 so the argument holds, and a passage that a third of all documents share ties none of them.
@@ -31,9 +35,9 @@ def class_bounds(largest: int, num: int, den: int) -> np.ndarray:
 
 
 def slices_of(bounds: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Slices of each class but the last: more than the grams in which linked sets of the class can differ."""
+    """Slices of each class but the last: more than the grams in which linked sets of the class can differ, by about a third."""
     most = (den - num) * 2 * (bounds[1:] - 1) // (num + den) + 1
-    return most + 1 + most // 32
+    return most + 1 + most * 5 // 16
 
 
 def members(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -85,10 +89,13 @@ def signatures(grams: np.ndarray, cut: np.ndarray, num: int, den: int, frequent:
                 continue
             first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
             total = np.add.reduceat(mix(h ^ _K[3]), first)
-            of = owner[first]
-            sets.append(which[of])
-            found.append(mix(total + mix(salt[of] + (code[first] - (np.cumsum(count) - count)[of]).astype(np.uint64) * _K[2])))
+            of, held = owner[first], np.diff(np.append(first, len(code)))
             differ = (den - num) * (n + other) // (num + den)
-            bad = np.bincount(of, minlength=len(which)) <= differ
+            full = np.bincount(of, minlength=len(which))
+            order = np.lexsort((-held, of))  # stable: of equal ones the first slices
+            kept = order[np.arange(len(order)) - (np.cumsum(full) - full)[of] <= differ[of]]
+            sets.append(which[of[kept]])
+            found.append(mix(total[kept] + mix(salt[of[kept]] + (code[first[kept]] - (np.cumsum(count) - count)[of[kept]]).astype(np.uint64) * _K[2])))
+            bad = full <= differ
             which, scheme, other = which[bad], scheme[bad], other[bad]
     return np.concatenate(sets), np.concatenate(found)

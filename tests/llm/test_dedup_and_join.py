@@ -209,6 +209,16 @@ def test_linked_sets_share_a_signature(seed, size, threshold):
                 assert held[i] & held[j]
 
 
+@pytest.mark.parametrize("threshold", [(85, 100), (80, 100)])
+def test_long_sets_with_few_grams_in_common_share_no_signature(threshold):
+    r = np.random.default_rng(3)
+    common = r.integers(0, 2**63, 40, dtype=np.uint64)  # one gram in a hundred
+    sets = [np.unique(np.concatenate([common, r.integers(0, 2**63, 3960, dtype=np.uint64)])) for _ in range(40)]
+    of, sign = signatures(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), *threshold, np.zeros(0, np.uint64))
+    held = [set(sign[of == i].tolist()) for i in range(len(sets))]
+    assert sum(bool(a & b) for i, a in enumerate(held) for b in held[:i]) <= 2
+
+
 def test_words_that_break_polynomial_hashes_stay_apart(spark):
     one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
     other = one.translate(str.maketrans("ab", "ba"))

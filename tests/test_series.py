@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions import representations as R
 from seriesloom.functions import series as S
+from seriesloom.operators import bag_rows as W
 from seriesloom.operators import bags as B
 from seriesloom.operators import blocks as K
 from seriesloom.operators import classify as C
@@ -422,3 +423,31 @@ def test_equidistant_widths():
     assert E.equidistant_widths(9) == [] and E.equidistant_widths(10) == [10] and E.equidistant_widths(12) == [12]
     widths = E.equidistant_widths(100)
     assert widths[0] == 10 and widths[-1] <= 100 and len(widths) <= 12
+
+
+def test_bag_rows_are_those_of_the_column_functions(spark):
+    data = [(i, float(i % 2), [round(float(x), 1) for x in rng.normal(size=n)]) for i, n in enumerate([40, 40, 33, 9, 40])] + [(5, 1.0, [1.0] * 20), (6, 0.0, [None, *map(float, range(1, 30))]), (7, 1.0, None)]
+    rows = spark.createDataFrame(data, "series_id long, label double, values array<double>")
+    edges = E.setting_edges(rows.filter("series_id < 5"), [9, 12], 8)
+    got = E.bags_by_setting(rows, edges, (4, 8))
+    for width in (9, 12):
+        words = B.packed_words(Q.window_words(rows, edges.filter(F.col("width") == width).drop("width"), width, 8), 2)
+        for f in (4, 8):
+            want = B.bag(words.withColumn("words", F.transform("words", lambda w: w.bitwiseAND(F.lit((1 << 2 * f) - 1)))))  # noqa: B023
+            one = got.filter((F.col("width") == width) & (F.col("f") == f)).select(want.columns)
+            assert sorted(map(tuple, one.collect())) == sorted(map(tuple, want.collect())) != []
+    twice = E.bags_by_setting(rows.unionByName(rows), edges, (4, 8)).agg(F.sum("cnt"), F.count(F.lit(1))).first()
+    assert twice[0] == 2 * got.agg(F.sum("cnt")).first()[0] and twice[1] == got.count()
+
+
+def test_votes_over_folds_are_those_of_each_fold_alone(spark, monkeypatch):
+    monkeypatch.setattr(W, "ROWS_AT_ONCE", 7)
+    made = [(8 + i % 2, i % 3, i // 6, float(i // 6 % 3), int(w), int(rng.integers(1, 4))) for i in range(120) for w in rng.choice(25, 6, replace=False)]
+    bags = spark.createDataFrame(made, "width int, f int, series_id long, label double, word long, cnt long").cache()
+    fold = spark.createDataFrame([(i, i % 4 if i % 3 else 1) for i in range(20)], "series_id long, fold int")  # all series of label 0 are in one fold
+    got, want, keys = {tuple(r)[:3]: r.predicted for r in W.fold_votes(bags, fold, 4).collect()}, {}, ("width", "f")
+    for k in range(4):
+        left, own = (bags.join(fold.filter(c), "series_id", "left_semi") for c in (f"fold <> {k}", f"fold = {k}"))
+        matrix = B.empty_classes(B.tfidf(left, keys), bags, keys)
+        want |= {(r.width, r.f, r.series_id): r.predicted for r in B.best_label(B.class_scores(own, matrix, keys), keys=keys).collect()}
+    assert got == want and len(got) == bags.select(*keys, "series_id").distinct().count()

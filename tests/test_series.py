@@ -451,3 +451,13 @@ def test_votes_over_folds_are_those_of_each_fold_alone(spark, monkeypatch):
         matrix = B.empty_classes(B.tfidf(left, keys), bags, keys)
         want |= {(r.width, r.f, r.series_id): r.predicted for r in B.best_label(B.class_scores(own, matrix, keys), keys=keys).collect()}
     assert got == want and len(got) == bags.select(*keys, "series_id").distinct().count()
+
+
+def test_bags_are_gathered_once_for_all_blocks(spark, monkeypatch):
+    """The other side's bags are written once, not made again for each block of train."""
+    monkeypatch.setattr(K, "BLOCK_NUMBERS", 40)
+    written, write = [], K.settled
+    monkeypatch.setattr(K, "settled", lambda df: written.append(df.columns) or write(df))
+    rows = spark.createDataFrame([(i, float(i % 2), w, 1 + (i + w) % 3) for i in range(12) for w in range(i % 4, 5)], "series_id long, label double, word long, cnt long")
+    C.bag_nearest(rows, rows).collect()
+    assert sum("counts" in c for c in written) == 1 and len(written) > 2
